@@ -154,16 +154,9 @@ def neighbours(
 
 
 def carry_last(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column | str],
-    values: Mapping[str, Column],
-    backwards: bool = False,
+    df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, Column]
 ) -> DataFrame:
-    """Add the last non-null value seen so far, own row included.
-
-    ``backwards`` reads the chunks from last to first; ``order`` must then be descending, too.
-    """
+    """Add the last non-null value seen so far in ascending order, own row included."""
     spread = df.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()]).repartition(*by, CHUNK)
     so_far = (
         Window.partitionBy(*by, CHUNK)
@@ -174,17 +167,15 @@ def carry_last(
         *df.columns,
         *[F.last(f"_v_{n}", ignorenulls=True).over(so_far).alias(f"_in_{n}") for n in values],
     )
-    # The last value of a chunk: the greatest (order, value) among its rows with a value.
-    place = F.struct(*[c if isinstance(c, Column) else F.col(c) for c in _plain(order)])
-    pick = F.min_by if backwards else F.max_by
+    # max_by leaves out rows whose place is null, so only rows with a value compete.
+    place = F.struct(*order)
     chunks = spread.groupBy(*by, CHUNK).agg(
         *[
-            pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_end_{n}")
+            F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_end_{n}")
             for n in values
         ]
     )
-    direction = F.col(CHUNK).desc() if backwards else F.col(CHUNK).asc()
-    earlier = _window(by, direction).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _window(by, CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     before = chunks.select(
         *by,
         CHUNK,
@@ -195,13 +186,6 @@ def carry_last(
     )
 
 
-def _plain(order: Sequence[Column | str]) -> list[str]:
-    names = [o for o in order if isinstance(o, str)]
-    if len(names) != len(order):
-        raise TypeError("order by column names here")
-    return names
-
-
 def lagged(
     df: DataFrame,
     by: Sequence[str],
