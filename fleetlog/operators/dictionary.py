@@ -32,8 +32,9 @@ def fit_labels(df: DataFrame, column: str) -> DataFrame:
 def encode(df: DataFrame, dictionary: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """Replace known values by their id; unseen values stay as they are."""
     kind = df.schema[column].dataType
-    code = F.col("id").cast(kind) if isinstance(kind, T.StringType) else F.col("id")
-    coded = df.join(dictionary, F.col(column) == F.col("cat"), "left")
+    known = dictionary.select(F.col("cat").alias("_cat"), F.col("id").alias("_id"))
+    code = F.col("_id").cast(kind) if isinstance(kind, T.StringType) else F.col("_id")
+    coded = df.join(known, F.col(column) == F.col("_cat"), "left")
     value = F.coalesce(code, F.col(column))
     return coded.select(*[c for c in df.columns if c != (out or column)], value.alias(out or column))
 
@@ -41,17 +42,16 @@ def encode(df: DataFrame, dictionary: DataFrame, column: str, out: str | None =
 def decode(df: DataFrame, dictionary: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """Back from ids to values; unknown ids stay as they are."""
     kind = dictionary.schema["cat"].dataType
-    known = F.col(column).try_cast("long") == F.col("id")
-    value = F.coalesce(F.col("cat"), F.col(column).cast(kind))
-    return df.join(dictionary, known, "left").select(
+    known = dictionary.select(F.col("cat").alias("_cat"), F.col("id").alias("_id"))
+    value = F.coalesce(F.col("_cat"), F.col(column).cast(kind))
+    return df.join(known, F.col(column).try_cast("long") == F.col("_id"), "left").select(
         *[c for c in df.columns if c != (out or column)], value.alias(out or column)
     )
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    return df.join(
-        fit_labels(df, column).withColumnRenamed("id", out), F.col(column) == F.col("cat"), "left"
-    ).drop("cat")
+    labels = fit_labels(df, column).select(F.col("cat").alias("_cat"), F.col("id").alias(out))
+    return df.join(labels, F.col(column) == F.col("_cat"), "left").drop("_cat")
 
 
 def target_encode(df: DataFrame, category: str, target: str, m: float = 1) -> DataFrame:

@@ -96,13 +96,11 @@ def recall_ensemble(
             maxIter=s.trees,
             subsamplingRate=s.subsample,
             seed=s.seed,
-            predictionCol=f"_p{i}",
-            probabilityCol=f"_proba{i}",
-            rawPredictionCol=f"_raw{i}",
             maxMemoryInMB=1024,
             **({"validationIndicatorCol": "_valid"} if valid is not None else {}),
         ).fit(used)
-        rows = model.transform(rows).withColumn(f"_m{i}", vector_to_array(f"_proba{i}")[1])
+        scored = model.transform(rows).withColumn(f"_m{i}", vector_to_array("probability")[1])
+        rows = scored.drop("rawPrediction", "probability", "prediction")
         names.append(f"_m{i}")
     used.unpersist()
     return rows.select(*df.columns, _mean(names).alias(out))
@@ -185,6 +183,7 @@ def multilabel_time_model(
         outs.append(f"proba_{i}")
     used.unpersist()
     scored = rows.select(*[c for c in df.columns if c not in features], *outs)
+    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
     thresholds = [
         best_f1_threshold(scored, p, y, 0.0, 0.9, n_thresholds).first()["best_threshold"]
         for p, y in zip(outs, labels)

@@ -125,5 +125,8 @@ def run_to_table(
     return latest.select(*key, "_last.*")
 
 
-def events_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def events_stream(
+    spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet"
+) -> DataFrame:
+    """The Parquet files of a folder whose names fit, as a stream."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
