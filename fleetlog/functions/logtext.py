@@ -62,8 +62,7 @@ def message_segments(segments: Column) -> dict[str, Column]:
 def extract_meta(msg: Column) -> Column:
     """Array of (ctx, token): every hex or cpu token with up to two tokens before it."""
 
-    def of_segment(segment: Column) -> Column:
-        tokens = _segment_tokens(segment)
+    def of_tokens(tokens: Column) -> Column:
         pairs = F.transform(
             tokens,
             lambda w, i: F.struct(
@@ -79,8 +78,10 @@ def extract_meta(msg: Column) -> Column:
             | (p["token"].contains("cpu") & (F.length(p["token"]) > 3)),
         )
 
+    # Segments are split in a step of their own, not once more for every token.
+    found = F.flatten(F.transform(F.transform(_segments(msg), _segment_tokens), of_tokens))
     none = F.array().cast("array<struct<ctx:string,token:string>>")
-    return F.when(F.length(msg) > 0, F.flatten(F.transform(_segments(msg), of_segment))).otherwise(none)
+    return F.when(F.length(msg) > 0, found).otherwise(none)
 
 
 def first_meta(meta: Column) -> Column:

@@ -55,7 +55,10 @@ def bin_stats(
     out = df.groupBy(*key).agg(*aggregates) if aggregates else df.select(*key).distinct()
     for column, name in medians:
         out = out.join(
-            scan.group_quantiles(df, key, column, {name: 0.5}, weight), list(key), "left"
+            # A per-second table has at most as many rows in a window as the window has seconds.
+            scan.group_quantiles(df, key, column, {name: 0.5}, weight, bounded=weight is not None),
+            list(key),
+            "left",
         )
     return out
 

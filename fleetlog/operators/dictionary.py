@@ -92,35 +92,27 @@ def feature_report(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     x, n = F.col("_x"), F.col("_n")
-    known = F.sum(F.when(x.isNotNull(), n).otherwise(0))
-    basic = counts.groupBy("feature").agg(
-        F.sum(F.when(x.isNull(), n).otherwise(0)).alias("missing"),
-        F.count(F.lit(1)).alias("uniques"),
-        known.alias("count"),
-        (F.sum(x * n) / known).alias("mean"),
-        F.min("_x").alias("min"),
-        F.max("_x").alias("max"),
-    )
-    off = F.col("_x") - F.col("mean")
-    spread = (
-        counts.join(basic.select("feature", "mean"), "feature")
-        .groupBy("feature")
-        .agg(
-            F.sqrt(
-                F.try_divide(
-                    F.sum(off * off * n), F.sum(F.when(x.isNotNull(), n).otherwise(0)) - 1
-                )
-            ).alias("std")
-        )
+    known = F.when(x.isNotNull(), n).otherwise(0)
+    ranked = scan.rank_counts(counts.withColumn("_k", known), ["feature"], "_x", F.col("_k"))
+    # Squares are taken around a value from the middle of the column.
+    middle = F.coalesce(
+        *[F.when(F.col("feature") == c, F.lit(p[len(p) // 2])) for c, p in points.items() if p],
+        F.lit(0.0),
     )
+    off, count = x - middle, F.sum("_k")
+    squares = F.sum(off * off * n) - F.sum(off * n) * F.sum(off * n) / count
     named = {f"p{round(q * 100)}": q for q in quantiles}
-    ranks = scan.quantiles_of_counts(counts.where("_x is not null"), ["feature"], "_x", "_n", named)
     kind = F.create_map(*[F.lit(v) for c in columns for v in (c, kinds[c])])
-    return (
-        basic.join(spread, "feature", "left")
-        .join(ranks, "feature", "left")
-        .withColumn("type", kind[F.col("feature")])
-    )
+    return ranked.groupBy("feature").agg(
+        F.sum(n - F.col("_k")).alias("missing"),
+        F.count(F.lit(1)).alias("uniques"),
+        count.alias("count"),
+        (F.sum(x * n) / count).alias("mean"),
+        F.sqrt(F.try_divide(F.greatest(squares, F.lit(0.0)), count - 1)).alias("std"),
+        F.min("_x").alias("min"),
+        F.max("_x").alias("max"),
+        *scan.quantile_aggregates("_x", "_k", named),
+    ).withColumn("type", kind[F.col("feature")])
 
 
 def failure_from_log(

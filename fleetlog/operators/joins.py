@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlog.operators import scan
@@ -227,9 +227,10 @@ def lookback_quantile(
 ) -> DataFrame:
     """Quantiles (linear interpolation) of a log column per ticket, null without logs."""
     found = lookback_join(tickets, logs, days, ticket_id=ticket_id, keep_empty=False, **how)
-    return tickets.join(
-        scan.group_quantiles(found, [ticket_id], value, quantiles), ticket_id, "left"
-    )
+    # The value ranges are taken from the log, which is cheaper than running the join for them.
+    points = scan.cut_points(logs.select(value).distinct(), {"k": scan.order_key(logs, value)})["k"]
+    found = scan.group_quantiles(found, [ticket_id], value, quantiles, points=points)
+    return tickets.join(found, ticket_id, "left")
 
 
 def lookback_time_stats(
@@ -256,17 +257,22 @@ def lookback_time_stats(
         ticket_id,
         keep_empty=False,
     )
+    # At most one row per second of the look-back from here on, whatever the log volume.
     seconds = found.groupBy(ticket_id, fault_time, time).agg(F.count(F.lit(1)).alias("_n"))
-    near = scan.neighbours(
-        scan.by_time(seconds, time, scan.SECOND_GRAIN_CHUNK), [ticket_id], time
-    )
+    previous = F.lag(time).over(Window.partitionBy(ticket_id).orderBy(time))
+    near = seconds.withColumn("_prev", previous)
+    one = F.lit(1).cast("long")
     kinds = F.array(
-        F.struct(F.lit("rel").alias("_kind"), (F.col(time) / F.col(fault_time)).alias("_x"), F.col("_n").alias("_w")),
+        F.struct(
+            F.lit("rel").alias("_kind"),
+            (F.col(time) / F.col(fault_time)).alias("_x"),
+            F.col("_n").alias("_w"),
+        ),
         F.struct(F.lit("gap").alias("_kind"), F.lit(0.0).alias("_x"), (F.col("_n") - 1).alias("_w")),
         F.struct(
             F.lit("gap").alias("_kind"),
             (F.col(time) - F.col("_prev")).cast("double").alias("_x"),
-            F.lit(1).cast("long").alias("_w"),
+            one.alias("_w"),
         ),
     )
     values = (
@@ -274,28 +280,23 @@ def lookback_time_stats(
         .select(ticket_id, "_k.*")
         .where("_x is not null and _w > 0")
     )
-    counted = values.groupBy(ticket_id, "_kind", "_x").agg(F.sum("_w").alias("_w"))
     group = [ticket_id, "_kind"]
-    plain = counted.groupBy(*group).agg(
-        F.min("_x").alias("min"),
-        F.max("_x").alias("max"),
-        F.sum("_w").alias("_c"),
-        F.sum(F.col("_x") * F.col("_w")).alias("_s"),
-    )
-    mean = F.col("_s") / F.col("_c")
-    centred = counted.join(plain.select(*group, mean.alias("_m")), group)
-    spread = centred.groupBy(*group).agg(
-        F.sqrt(
-            F.sum((F.col("_x") - F.col("_m")) * (F.col("_x") - F.col("_m")) * F.col("_w"))
-            / F.sum("_w")
-        ).alias("std")
-    )
-    middle = scan.quantiles_of_counts(
-        scan.by_quantile(counted, "_x"), group, "_x", "_w", {"median": 0.5}
+    counted = values.groupBy(*group, "_x").agg(F.sum("_w").alias("_w"))
+    ranked = scan.rank_counts(counted, group, "_x", F.col("_w"), bounded=True)
+    # Ratios lie just below 1: squares are taken around 1, so that nothing cancels out.
+    off = F.col("_x") - F.when(F.col("_kind") == "rel", 1.0).otherwise(0.0)
+    w, total = F.col("_w"), F.sum("_w")
+    drift = F.sum(off * w) / total
+    low, high = F.min("_x"), F.max("_x")
+    stats = ranked.groupBy(*group).agg(
+        low.alias("min"),
+        high.alias("max"),
+        F.sqrt(F.greatest(F.sum(off * off * w) / total - drift * drift, F.lit(0.0))).alias("std"),
+        (high - low).alias("ptp"),
+        (F.sum(F.col("_x") * w) / total).alias("mean"),
+        *scan.quantile_aggregates("_x", "_w", {"median": 0.5}),
     )
-    stats = plain.withColumn("mean", mean).join(spread, group).join(middle, group)
     names = ["min", "max", "std", "ptp", "mean", "median"]
-    stats = stats.withColumn("ptp", F.col("max") - F.col("min"))
     wide = stats.groupBy(ticket_id).agg(
         *[
             F.max(F.when(F.col("_kind") == kind, F.col(n))).alias(f"{kind}_{n}")

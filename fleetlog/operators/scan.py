@@ -225,22 +225,45 @@ def group_quantiles(
     value: str,
     quantiles: Mapping[str, float],
     weight: str | None = None,
+    bounded: bool = False,
+    points: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Exact quantiles per group with linear interpolation, for groups of any size.
+    """Exact quantiles per group with linear interpolation. Nulls are left out.
 
-    Equal values are counted first; ranks come from running counts over value ranges, so no
-    task holds a group. Nulls are left out.
+    Equal values are counted first; ranks come from running counts over value ranges, so a group
+    may be of any size. ``bounded`` groups are small by construction and ranked in one sort.
+    ``points`` are cut points already at hand.
     """
     times = F.sum(weight) if weight else F.count(F.lit(1))
     seen = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(times.alias("_n"))
-    return quantiles_of_counts(by_quantile(seen, value), by, value, "_n", quantiles)
+    if not bounded:
+        key = order_key(seen, value)
+        if points is None:
+            points = cut_points(seen, {"k": key})["k"]
+        seen = seen.withColumn(CHUNK, chunk_of(key, points))
+    ranked = rank_counts(seen, by, value, F.col("_n"), bounded)
+    return ranked.groupBy(*by).agg(*quantile_aggregates(value, "_n", quantiles))
 
 
-def quantiles_of_counts(
-    counts: DataFrame, by: Sequence[str], value: str, n: str, quantiles: Mapping[str, float]
+def rank_counts(
+    counts: DataFrame, by: Sequence[str], value: str, n: Column, bounded: bool = False
 ) -> DataFrame:
-    """As ``group_quantiles``, from (group, value, count) rows that carry the chunk column."""
-    ranked = running_sums(counts, by, value, {"_upto": F.col(n)}, totals=True)
+    """Add ``_upto``, the rows of the group up to a value, and ``_upto_total``, all its rows.
+
+    Unbounded groups need the chunk column.
+    """
+    if not bounded:
+        return running_sums(counts, by, value, {"_upto": n}, totals=True)
+    whole = Window.partitionBy(*by)
+    return counts.select(
+        "*",
+        F.sum(n).over(whole.orderBy(value)).alias("_upto"),
+        F.sum(n).over(whole).alias("_upto_total"),
+    )
+
+
+def quantile_aggregates(value: str, n: str, quantiles: Mapping[str, float]) -> list[Column]:
+    """Aggregates over ranked counts that pick and interpolate the quantiles of a group."""
     outs = []
     for name, q in quantiles.items():
         place = (F.col("_upto_total") - 1) * F.lit(float(q))
@@ -251,4 +274,4 @@ def quantiles_of_counts(
         low, high = ends
         share = F.max(place - F.floor(place))
         outs.append((low + share * (high - low)).alias(name))
-    return ranked.groupBy(*by).agg(*outs)
+    return outs

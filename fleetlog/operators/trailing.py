@@ -180,7 +180,9 @@ def trailing_distinct(
     if strategy != "sweep":
         raise ValueError("strategy is 'sweep' or 'range'")
 
-    near = scan.neighbours(scan.by_time(seen, time, chunk_seconds), [*by, "_value"], time)
+    # One row per machine, value and second: the history's seconds bound the window's partition.
+    along = Window.partitionBy(*by, "_value").orderBy(time)
+    near = seen.select("*", F.lag(time).over(along).alias("_prev"), F.lead(time).over(along).alias("_next"))
     t, known = F.col(time), F.col("_value").isNotNull()
     starts, ends = [], []
     for i, w in enumerate(windows):
