@@ -13,7 +13,7 @@ NOT_WORD = r"[^\p{L}\p{N}_]+"
 def _segment_tokens(segment: Column) -> Column:
     """Lower-case word tokens of one message segment; ``_`` separates words, too."""
     plain = F.replace(F.lower(F.trim(segment)), F.lit("_"), F.lit(" "))
-    return F.filter(F.split(plain, NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(plain, NOT_WORD), "")
 
 
 def _segments(msg: Column) -> Column:

@@ -187,7 +187,7 @@ def extract_message_meta(x: Tables):
     meta = x.msg().select("id", logtext.extract_meta(F.col("msg")).alias("m"))
     first = logtext.first_meta(F.col("m"))
     joined = F.array_join(F.transform("m", lambda p: F.concat(p["ctx"], F.lit("="), p["token"])), ";")
-    return meta.where(F.size("m") > 0).select(
+    return meta.select(
         "id",
         joined.alias("meta"),
         F.map_keys(first)[0].alias("first_ctx"),
