@@ -37,13 +37,16 @@ def bin_stats(
     """max, min, sum, mean, median, sample std of row features per window: ``<col>_<stat>``.
 
     ``weight`` tells how many log rows a row stands for (per-second tables); it matters to
-    mean and median. Medians come from ranks, so a crowded window needs no list.
+    mean and median. Medians of raw rows come from ranks, so a crowded window needs no list.
     """
     aggregates, medians = [], []
     for column, names in stats.items():
         for name in names:
             out = f"{column}_{name}"
-            if name == "median":
+            if name == "median" and weight:
+                # A per-second table has at most as many rows in a window as the window has seconds.
+                aggregates.append(F.percentile(column, F.lit(0.5), F.col(weight)).alias(out))
+            elif name == "median":
                 medians.append((column, out))
             elif name == "mean" and weight:
                 known = F.when(F.col(column).isNotNull(), F.col(weight))
@@ -55,10 +58,7 @@ def bin_stats(
     out = df.groupBy(*key).agg(*aggregates) if aggregates else df.select(*key).distinct()
     for column, name in medians:
         out = out.join(
-            # A per-second table has at most as many rows in a window as the window has seconds.
-            scan.group_quantiles(df, key, column, {name: 0.5}, weight, bounded=weight is not None),
-            list(key),
-            "left",
+            scan.group_quantiles(df, key, column, {name: 0.5}), list(key), "left"
         )
     return out
 
