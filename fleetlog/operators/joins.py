@@ -1,9 +1,10 @@
 """Joins on machine and time.
 
 Range conditions never join a whole machine with a whole machine: the time axis is cut into
-slots, the shorter table gets one row per slot its range touches, and the equi-join key is
-(machine, slot). The rows of a noisy machine are thereby spread over its days. No side is
-broadcast by hint; Spark does it where its own size check allows.
+slots of a tenth of the range, the shorter table gets one row per slot its range touches (eleven
+at most), and the equi-join key is (machine, slot). The rows of a noisy machine are thereby
+spread over its history. No side is broadcast by hint; Spark does it where its own size check
+allows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from fleetlog.operators import scan
 
 DAY = 86_400
+HOUR = 3_600
 
 
 def band_join(
@@ -26,7 +28,7 @@ def band_join(
     at: Column,
     low: Column,
     high: Column,
-    slot: int = DAY,
+    slot: int,
     how: str = "inner",
 ) -> DataFrame:
     """Join each point to the bands of its group with ``low <= at <= high``.
@@ -99,7 +101,7 @@ def time_to_failure_label(
         bands = failures.select(*by, minute.alias("_fm"), low.alias("_from"))
     at = F.floor(F.col(time) / 60)
     joined = band_join(
-        rows, bands, by, at, F.col("_from"), F.col("_fm"), slot=1440, how="left"
+        rows, bands, by, at, F.col("_from"), F.col("_fm"), slot=max(60, days * 144), how="left"
     )
     ahead = F.col("_fm") - at
     return joined.select(
@@ -143,13 +145,14 @@ def anchored_join(
     """Logs from ``anchor - seconds`` (itself left out with ``open_start``) to the anchor."""
     low = F.col(anchor_time) - seconds + (1 if open_start else 0)
     high = F.col(anchor_time)
-    found = band_join(logs, anchors, by, F.col(time), low, high)
+    slot = max(HOUR, seconds // 10)
+    found = band_join(logs, anchors, by, F.col(time), low, high, slot)
     rest = [c for c in logs.columns if c not in by]
     found = found.select(*anchors.columns, *rest)
     if not keep_empty:
         return found
     narrow = anchors.select(*by, anchor_id, anchor_time)
-    hit = band_join(logs.select(*by, time), narrow, by, F.col(time), low, high).select(anchor_id)
+    hit = band_join(logs.select(*by, time), narrow, by, F.col(time), low, high, slot).select(anchor_id)
     empty = anchors.join(hit.distinct(), anchor_id, "left_anti")
     return found.unionByName(empty, allowMissingColumns=True)
 
@@ -180,6 +183,7 @@ def alarm_failure_match(
         F.col(time),
         F.col("_from"),
         F.col("_failure") - 1,
+        slot=max(HOUR, days * DAY // 10),
         how="left",
     )
     return matched.select(

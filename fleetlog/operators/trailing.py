@@ -222,16 +222,21 @@ def trailing_variance(
     value: str,
     by: Sequence[str] = ("sn", "memory", "rankid", "bankid"),
     time: str = "t",
+    weight: Column | None = None,
     **how,
 ) -> DataFrame:
-    """Population variance of the values in the past W minutes: ``var_<W>m``."""
+    """Population variance of the values in the past W minutes: ``var_<W>m``.
+
+    ``weight`` tells how many log rows a row stands for.
+    """
+    w = F.lit(1) if weight is None else weight
     # Counting from the rounded mean keeps whole numbers whole and the squares small.
     centre = log.agg(F.round(F.avg(value)).alias("c")).scalar()
     x = (F.col(value) - F.coalesce(centre, F.lit(0))).cast("double")
     amounts = {
-        "_n": F.when(F.col(value).isNotNull(), 1).otherwise(0),
-        "_s": F.coalesce(x, F.lit(0.0)),
-        "_q": F.coalesce(x * x, F.lit(0.0)),
+        "_n": F.when(F.col(value).isNotNull(), w).otherwise(0),
+        "_s": F.coalesce(x * w, F.lit(0.0)),
+        "_q": F.coalesce(x * x * w, F.lit(0.0)),
     }
     sums = trailing_sums(log, windows, amounts, by=by, time=time, **how)
     outs = []

@@ -1,19 +1,22 @@
 """From the three hardware logs of a machine to one labelled feature table.
 
-Every family is a table with one row per machine and observation window. Families of a large
-fleet are worth saving one by one (``sources.logs.save_features``) before they are joined.
+Every family is a table with one row per machine and observation window. The logs are collapsed
+to distinct rows per second with a count first, once for all families; an error storm shrinks to
+its distinct addresses there. The collapsed logs and the families are written to the shared
+folder: no log is read more than once, and the final join has a short plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlog.functions import encode, timegrid
 from fleetlog.operators import bins, joins, trailing
 from fleetlog.operators.dictionary import encode as apply_dictionary
+from fleetlog.session import stored
 from fleetlog.sources.logs import KERNEL_FLAGS
 
 KEY = ["sn", "bin"]
@@ -78,18 +81,27 @@ def _highest(per_second: DataFrame, columns: Sequence[str], origin: int) -> Data
     return bins.bin_stats(placed, {c: ["max"] for c in columns})
 
 
-def _counts(log: DataFrame, windows: Sequence[int], stat: str, origin: int) -> DataFrame:
+def collapse(log: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct rows per machine and second in the given columns, with their number ``n``."""
+    return log.groupBy("sn", "t", "bin", "edge", *columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counts(
+    log: DataFrame, windows: Sequence[int], stat: str, origin: int, weight: Column | None
+) -> DataFrame:
     """Trailing counts: max per window, and mean or median of their change over the log rows."""
     # The window of zero minutes is the second itself: how many log rows a row stands for.
-    counts = trailing.trailing_count(log, [0, *windows], change=True)
+    counts = trailing.trailing_count(log, [0, *windows], weight=weight, change=True)
     placed = counts.withColumn("bin", timegrid.time_bin(F.col("t"), origin))
     stats = {f"cnt_{w}m": ["max"] for w in windows} | {f"cnt_{w}m_change": [stat] for w in windows}
     return bins.bin_stats(placed, stats, weight="cnt_0m")
 
 
-def address_families(log: DataFrame, origin: int = timegrid.ORIGIN_2019) -> dict[str, DataFrame]:
+def address_families(
+    log: DataFrame, origin: int = timegrid.ORIGIN_2019, weight: Column | None = None
+) -> dict[str, DataFrame]:
     """Volume, active hours, recency, distinct parts and spread of memory-error addresses."""
-    volume = _counts(log, ADDRESS_COUNT, "median", origin)
+    volume = _counts(log, ADDRESS_COUNT, "median", origin, weight)
     shifted = [c for c in volume.columns if c not in KEY]
     hour = timegrid.elapsed_hours(F.col("t"), origin)
     hours = trailing.trailing_distinct(log, ADDRESS_HOURS, hour, "hours")
@@ -103,7 +115,7 @@ def address_families(log: DataFrame, origin: int = timegrid.ORIGIN_2019) -> dict
         found = trailing.trailing_distinct(log, ADDRESS_DISTINCT, encode.composite_key(*parts), name)
         families[name] = _highest(found, [f"{name}_{w}m" for w in ADDRESS_DISTINCT], origin)
     for part in ("row", "col"):
-        spread = trailing.trailing_variance(log, ADDRESS_SPREAD, part)
+        spread = trailing.trailing_variance(log, ADDRESS_SPREAD, part, weight=weight)
         named = {f"{part}_var_{w}m": F.col(f"var_{w}m") for w in ADDRESS_SPREAD}
         families[f"{part}_spread"] = _highest(
             spread.select("sn", "t", *[c.alias(n) for n, c in named.items()]), list(named), origin
@@ -116,13 +128,14 @@ def kernel_families(
     flags: Sequence[str] = KERNEL_FLAGS,
     origin: int = timegrid.ORIGIN_2019,
     windows: Sequence[int] = KERNEL_SUM,
+    weight: Column | None = None,
 ) -> dict[str, DataFrame]:
     """Volume and trailing flag sums of the kernel log; missing flags count as 0."""
     amounts = {f: F.coalesce(F.col(f"`{f}`"), F.lit(0)) for f in flags}
     sums = trailing.trailing_sums(log, windows, amounts)
     outs = [f"{f}_{w}m" for f in flags for w in windows]
     return {
-        "kernel_volume": _counts(log, KERNEL_COUNT, "mean", origin),
+        "kernel_volume": _counts(log, KERNEL_COUNT, "mean", origin, weight),
         "kernel_flags": _highest(sums, outs, origin),
     }
 
@@ -134,15 +147,18 @@ def prepare_mce(log: DataFrame, mca_ids: DataFrame, order: Sequence[str] = ("t",
     return filled.fillna("-1", subset=["mca_id"]).fillna(-1, subset=["transaction"])
 
 
-def mce_families(log: DataFrame, origin: int = timegrid.ORIGIN_2019) -> dict[str, DataFrame]:
+def mce_families(
+    log: DataFrame, origin: int = timegrid.ORIGIN_2019, weight: Column | None = None
+) -> dict[str, DataFrame]:
     """Volume, distinct identifiers and transactions, and trailing transaction sums over windows."""
     ids = trailing.trailing_distinct(log, MCE_DISTINCT, "mca_id", "mca")
     kinds = trailing.trailing_distinct(log, TRANSACTION_DISTINCT, "transaction", "kinds")
     # An unknown transaction counts as transaction 0, as in the one-hot encoding.
     coded = log.withColumn("_tx", F.when(F.col("transaction").isin(1, 2, 3), F.col("transaction")).otherwise(0))
-    amounts = {f"tx{i}": F.when(F.col("_tx") == i, 1).otherwise(0) for i in range(4)}
+    one = F.lit(1) if weight is None else weight
+    amounts = {f"tx{i}": F.when(F.col("_tx") == i, one).otherwise(0) for i in range(4)}
     return {
-        "mce_volume": _counts(log, MCE_COUNT, "mean", origin),
+        "mce_volume": _counts(log, MCE_COUNT, "mean", origin, weight),
         "mca": _highest(ids, [f"mca_{w}m" for w in MCE_DISTINCT], origin),
         "kinds": _highest(kinds, [f"kinds_{w}m" for w in TRANSACTION_DISTINCT], origin),
         "transactions": trailing.trailing_bin_sums(coded, TRANSACTION_SUM, amounts, change=True),
@@ -162,13 +178,24 @@ def memory_table(
     flags: Sequence[str] = KERNEL_FLAGS,
 ) -> DataFrame:
     """Address features ⟕ mce ⟕ kernel, missing values 0, with calendar and time to failure."""
-    base = bins.bin_last(address)
-    families = address_families(address, origin)
-    if "vendor" in address.columns:
+    n = F.col("n")
+    makers = [c for c in ("vendor", "manufacturer") if c in address.columns]
+    address = stored(collapse(address, [*PARTS, *makers]), "address")
+    mce = stored(collapse(mce, ["mca_id", "transaction"]), "mce")
+    kernel = kernel.groupBy("sn", "t", "bin", "edge").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"`{f}`").alias(f) for f in flags]
+    )
+    kernel = stored(kernel, "kernel")
+    families = address_families(address, origin, n)
+    if len(makers) == 2:
         families["origin"] = origin_flags(address)
-    families |= {k: v for k, v in mce_families(mce, origin).items() if k != "mce_volume"}
-    families |= {k: v for k, v in kernel_families(kernel, flags, origin).items() if k != "kernel_volume"}
-    table = join_families(base, families, fill=0)
+    # The volume families of the two other logs are not part of this table.
+    families |= {k: v for k, v in mce_families(mce, origin, n).items() if k != "mce_volume"}
+    families |= {
+        k: v for k, v in kernel_families(kernel, flags, origin, weight=n).items() if k != "kernel_volume"
+    }
+    families = {name: stored(family, name) for name, family in families.items()}
+    table = join_families(bins.bin_last(address), families, fill=0)
     fields = timegrid.calendar_fields(F.col("last_t"))
     table = table.withColumns(
         {"month": fields["month"], "global_day": timegrid.elapsed_days(F.col("last_t"), origin)}

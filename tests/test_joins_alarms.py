@@ -120,3 +120,48 @@ def test_hot_machine_join_is_spread_over_days(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10 << 20)
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and all("slot" in line for line in exchanges)
+
+
+def test_memory_table_from_raw_logs(spark):
+    from fleetlog.operators.dictionary import fit_dictionary
+    from fleetlog.plans import memory_faults as mf
+
+    def raw(data, columns):
+        return spark.createDataFrame(data, columns)
+
+    address = raw(
+        [
+            (1, "server_1", "2019/01/01 00:00:10", 0, 0, 1, 5, 7, 0, 1),
+            (2, "server_1", "2019/01/01 00:04:00", -1, 0, 1, 6, 7, 0, 1),
+            (3, "server_1", "2019/01/01 00:06:00", 1, 0, 1, 6, 7, 9, 1),
+            (4, "server_2", "2019/01/01 00:00:10", 0, 0, 1, 5, 7, 0, 1),
+        ],
+        "id int, serial_number string, collect_time string, memory int, rankid int, bankid int, row int, col int, vendor int, manufacturer int",
+    )
+    mce = raw(
+        [(1, "server_1", "2019/01/01 00:00:20", "ab", 1), (2, "server_1", "2019/01/01 00:00:40", None, None)],
+        "id int, serial_number string, collect_time string, mca_id string, transaction int",
+    )
+    kernel = raw(
+        [(1, "server_1", "2019/01/01 00:00:30", 1, None), (2, "server_1", "2019/01/01 00:07:00", 1, 1)],
+        "id int, serial_number string, collect_time string, ke int, sel int",
+    )
+    failures = spark.createDataFrame([(1, mf.timegrid.ORIGIN_2019 + 600)], "sn long, failure_t long")
+    m = mf.on_grid(mce)
+    table = mf.memory_table(
+        mf.prepare_address(mf.on_grid(address)),
+        mf.prepare_mce(m, fit_dictionary(m, "mca_id", "t")),
+        mf.on_grid(kernel),
+        failures,
+        flags=["ke", "sel"],
+    )
+    got = {(r.sn, r.bin): r for r in table.collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0)}
+    a, b, c = got[1, 0], got[1, 1], got[2, 0]
+    assert (a.cnt_15m_max, b.cnt_15m_max, a.memory_5m_max, b.memory_15m_max) == (2, 3, 1, 2)
+    assert (a.cell_5m_max, b.row_15m_max) == (2, 3)
+    assert (a.vendor_0_max, b.vendor_0_max, a.manufacturer_1_max) == (1.0, 1.0, 1.0)
+    assert (a.mca_5m_max, a.kinds_15m_max, a.tx1_30m, c.mca_5m_max) == (1, 1, 2, 0)
+    assert (a.ke_120m_max, b.ke_120m_max, b.sel_120m_max, c.ke_120m_max) == (1, 2, 1, 0)
+    assert (a.hours_to_failure, b.hours_to_failure, c.hours_to_failure) == (0.1, 4 / 60, None)
+    assert (a.month, a.global_day) == (1, 0)
