@@ -2,9 +2,10 @@
 
 A window over ``partitionBy(machine)`` gives the noisiest machine a single task. Every scan
 here works in two levels instead: rows are shuffled by (machine, chunk), where the chunk is a
-slice of the order, and scanned inside the chunk; one summary row per chunk is scanned over the
-machine, and what the earlier chunks contribute is joined back on (machine, chunk). The result
-equals the plain window, and the largest task is one chunk of one machine.
+slice of the order, and scanned inside the chunk; one summary row per chunk (combined before its
+shuffle) is scanned over the machine, and what the earlier chunks contribute is joined back on
+(machine, chunk). The result equals the plain window, and the largest task is one chunk of one
+machine.
 """
 
 from __future__ import annotations
@@ -88,12 +89,13 @@ def running_sums(
     ``<name>_total``.
     """
     order = F.col(order) if isinstance(order, str) else order
-    spread = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()]).repartition(*by, CHUNK)
+    valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
+    spread = valued.repartition(*by, CHUNK)
     in_chunk = Window.partitionBy(*by, CHUNK).orderBy(order)
     rows = spread.select(
         *df.columns, *[F.sum(f"_v_{n}").over(in_chunk).alias(f"_in_{n}") for n in sums]
     )
-    chunks = spread.groupBy(*by, CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_sum_{n}") for n in sums])
+    chunks = valued.groupBy(*by, CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_sum_{n}") for n in sums])
     earlier = _window(by, CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = chunks.select(
@@ -117,7 +119,7 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -
     spread = df.repartition(*by, CHUNK)
     in_chunk = Window.partitionBy(*by, CHUNK).orderBy(*order)
     rows = spread.select("*", F.row_number().over(in_chunk).alias("_rn"))
-    chunks = spread.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = df.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     earlier = _window(by, CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     before = chunks.select(*by, CHUNK, F.sum("_n").over(earlier).alias("_before"))
     at = F.col("_rn") - 1 + F.coalesce(F.col("_before"), F.lit(0))
@@ -138,7 +140,7 @@ def neighbours(
         F.lag(value).over(in_chunk).alias("_lag"),
         F.lead(value).over(in_chunk).alias("_lead"),
     )
-    ends = spread.groupBy(*by, CHUNK).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    ends = df.groupBy(*by, CHUNK).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     across = _window(by, CHUNK)
     ends = ends.select(
         *by,
@@ -157,7 +159,8 @@ def carry_last(
     df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, Column]
 ) -> DataFrame:
     """Add the last non-null value seen so far in ascending order, own row included."""
-    spread = df.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()]).repartition(*by, CHUNK)
+    valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
+    spread = valued.repartition(*by, CHUNK)
     so_far = (
         Window.partitionBy(*by, CHUNK)
         .orderBy(*order)
@@ -169,7 +172,7 @@ def carry_last(
     )
     # max_by leaves out rows whose place is null, so only rows with a value compete.
     place = F.struct(*order)
-    chunks = spread.groupBy(*by, CHUNK).agg(
+    chunks = valued.groupBy(*by, CHUNK).agg(
         *[
             F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_end_{n}")
             for n in values
