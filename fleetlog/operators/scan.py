@@ -68,12 +68,27 @@ def by_quantile(df: DataFrame, name: str, chunks: int = 64) -> DataFrame:
     return df.withColumn(CHUNK, chunk_of(key, points))
 
 
-def _window(by: Sequence[str], *order) -> Window:
-    return (Window.partitionBy(*by) if by else Window).orderBy(*order)
+_KEY = "_key"
 
 
-def _add_chunk_columns(rows: DataFrame, per_chunk: DataFrame, by: Sequence[str]) -> DataFrame:
-    return rows.join(per_chunk, [*by, CHUNK], "left")
+def _keyed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add the (group, chunk) key as one struct.
+
+    A struct is never null, so a group whose id is null is a group like any other, and the join
+    on the key adds no null filter to one of its sides only: both sides can share the shuffles
+    below them.
+    """
+    return df.withColumn(_KEY, F.struct(*by, F.col(CHUNK)))
+
+
+def _across(by: Sequence[str]) -> Window:
+    """All chunks of a group, in order."""
+    groups = [F.col(f"{_KEY}.{b}") for b in by]
+    return (Window.partitionBy(*groups) if by else Window).orderBy(f"{_KEY}.{CHUNK}")
+
+
+def _add_chunk_columns(rows: DataFrame, per_chunk: DataFrame) -> DataFrame:
+    return rows.join(per_chunk, _KEY, "left")
 
 
 def running_sums(
@@ -89,22 +104,21 @@ def running_sums(
     ``<name>_total``.
     """
     order = F.col(order) if isinstance(order, str) else order
-    valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
-    spread = valued.repartition(*by, CHUNK)
-    in_chunk = Window.partitionBy(*by, CHUNK).orderBy(order)
+    valued = _keyed(df, by).select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
+    spread = valued.repartition(_KEY)
+    in_chunk = Window.partitionBy(_KEY).orderBy(order)
     rows = spread.select(
-        *df.columns, *[F.sum(f"_v_{n}").over(in_chunk).alias(f"_in_{n}") for n in sums]
+        *df.columns, _KEY, *[F.sum(f"_v_{n}").over(in_chunk).alias(f"_in_{n}") for n in sums]
     )
-    chunks = valued.groupBy(*by, CHUNK).agg(*[F.sum(f"_v_{n}").alias(f"_sum_{n}") for n in sums])
-    earlier = _window(by, CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    chunks = valued.groupBy(_KEY).agg(*[F.sum(f"_v_{n}").alias(f"_sum_{n}") for n in sums])
+    earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
+    whole = _across(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = chunks.select(
-        *by,
-        CHUNK,
+        _KEY,
         *[F.sum(f"_sum_{n}").over(earlier).alias(f"_before_{n}") for n in sums],
         *([F.sum(f"_sum_{n}").over(whole).alias(f"{n}_total") for n in sums] if totals else []),
     )
-    return _add_chunk_columns(rows, before, by).select(
+    return _add_chunk_columns(rows, before).select(
         *df.columns,
         *[
             (F.col(f"_in_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n)
@@ -116,14 +130,14 @@ def running_sums(
 
 def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Zero-based row number inside the group; ``order`` must be unique inside it."""
-    spread = df.repartition(*by, CHUNK)
-    in_chunk = Window.partitionBy(*by, CHUNK).orderBy(*order)
-    rows = spread.select("*", F.row_number().over(in_chunk).alias("_rn"))
-    chunks = df.groupBy(*by, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = _window(by, CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    before = chunks.select(*by, CHUNK, F.sum("_n").over(earlier).alias("_before"))
+    keyed = _keyed(df, by)
+    in_chunk = Window.partitionBy(_KEY).orderBy(*order)
+    rows = keyed.repartition(_KEY).select("*", F.row_number().over(in_chunk).alias("_rn"))
+    chunks = keyed.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = chunks.select(_KEY, F.sum("_n").over(earlier).alias("_before"))
     at = F.col("_rn") - 1 + F.coalesce(F.col("_before"), F.lit(0))
-    return _add_chunk_columns(rows, before, by).select(*df.columns, at.cast("long").alias(name))
+    return _add_chunk_columns(rows, before).select(*df.columns, at.cast("long").alias(name))
 
 
 def neighbours(
@@ -133,22 +147,21 @@ def neighbours(
 
     ``value`` never decreases along ``order`` (by default the value itself).
     """
-    spread = df.repartition(*by, CHUNK)
-    in_chunk = Window.partitionBy(*by, CHUNK).orderBy(*(order or [value]))
-    rows = spread.select(
+    keyed = _keyed(df, by)
+    in_chunk = Window.partitionBy(_KEY).orderBy(*(order or [value]))
+    rows = keyed.repartition(_KEY).select(
         "*",
         F.lag(value).over(in_chunk).alias("_lag"),
         F.lead(value).over(in_chunk).alias("_lead"),
     )
-    ends = df.groupBy(*by, CHUNK).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    across = _window(by, CHUNK)
+    ends = keyed.groupBy(_KEY).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    across = _across(by)
     ends = ends.select(
-        *by,
-        CHUNK,
+        _KEY,
         F.lag("_hi").over(across).alias("_before"),
         F.lead("_lo").over(across).alias("_after"),
     )
-    return _add_chunk_columns(rows, ends, by).select(
+    return _add_chunk_columns(rows, ends).select(
         *df.columns,
         F.coalesce("_lag", "_before").alias("_prev"),
         F.coalesce("_lead", "_after").alias("_next"),
@@ -159,32 +172,31 @@ def carry_last(
     df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, Column]
 ) -> DataFrame:
     """Add the last non-null value seen so far in ascending order, own row included."""
-    valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
-    spread = valued.repartition(*by, CHUNK)
+    valued = _keyed(df, by).select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
     so_far = (
-        Window.partitionBy(*by, CHUNK)
+        Window.partitionBy(_KEY)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    rows = spread.select(
+    rows = valued.repartition(_KEY).select(
         *df.columns,
+        _KEY,
         *[F.last(f"_v_{n}", ignorenulls=True).over(so_far).alias(f"_in_{n}") for n in values],
     )
     # max_by leaves out rows whose place is null, so only rows with a value compete.
     place = F.struct(*order)
-    chunks = valued.groupBy(*by, CHUNK).agg(
+    chunks = valued.groupBy(_KEY).agg(
         *[
             F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_end_{n}")
             for n in values
         ]
     )
-    earlier = _window(by, CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
     before = chunks.select(
-        *by,
-        CHUNK,
+        _KEY,
         *[F.last(f"_end_{n}", ignorenulls=True).over(earlier).alias(f"_before_{n}") for n in values],
     )
-    return _add_chunk_columns(rows, before, by).select(
+    return _add_chunk_columns(rows, before).select(
         *df.columns, *[F.coalesce(f"_in_{n}", f"_before_{n}").alias(n) for n in values]
     )
 
