@@ -256,7 +256,20 @@ def day_range_filter(x: Tables):
     return x.ev().select("id", day.alias("day")).where(encode.in_range(F.col("day"), 5, 12))
 
 
-@query()
+def _whole(c: str) -> str:
+    """SQL for the narrowest whole type, both ends of its range left out."""
+    fits = " ".join(
+        f"WHEN min({c}) > {-(2 ** (b - 1))} AND max({c}) < {2 ** (b - 1) - 1} THEN '{name}'"
+        for name, b in [("tinyint", 8), ("smallint", 16), ("int", 32)]
+    )
+    return f"'{c}:' || CASE {fits} ELSE 'bigint' END"
+
+
+@query(
+    "WITH s AS (SELECT " + " || ',' || ".join([_whole("id"), _whole("sn"), _whole("t"), "'cat:string'", "'v:float'", _whole("k")])
+    + " AS kinds FROM ev) SELECT id, sn, t, cat, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v, CAST(k AS BIGINT) AS k, kinds FROM ev, s",
+    "ev",
+)
 def shrink_types(x: Tables):
     shrunk = encode.shrink_types(x.ev())
     kinds = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in shrunk.schema)

@@ -155,3 +155,10 @@ def test_weighted_bin_stats(spark):
 def test_single_row_window_has_no_std(spark):
     df = spark.createDataFrame([(1, 0, 2.0)], "sn int, bin int, x double")
     assert bins.bin_stats(df, {"x": ["std"]}).first().x_std is None
+
+
+def test_rows_without_a_machine_are_a_group_too(spark):
+    df = log(spark, [(i, None, 100 * i, 1) for i in range(10)])
+    small = trailing.trailing_count(df, [5], chunk_seconds=250)
+    assert rows(small) == rows(trailing.trailing_count(df, [5], strategy="range"))
+    assert rows(bins.gap_to_previous(df), "id", "gap") == [(i, 100 if i else 0) for i in range(10)]
