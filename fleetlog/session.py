@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,32 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a running session (all of them can be changed at run time)."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application: only code, sent by the driver."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(package):
+        return  # already inside an archive that was shipped
+    archive = os.path.join(tempfile.mkdtemp(prefix="fleetlog-code-"), "fleetlog.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path for an intermediate table, below the folder the cluster names.
 
