@@ -74,7 +74,8 @@ def _within(some: bytes) -> np.ndarray:
 
 class Words:
     """The words of some texts: ``start`` and ``end`` in ``data`` (their bytes), ``hash``,
-    and ``first``: the words of text i are first[i] to first[i + 1]."""
+    ``begins`` of
+    the texts, and ``first``: the words of text i are first[i] to first[i + 1]."""
 
     def __init__(self, data: np.ndarray, begins: np.ndarray, alphabet: np.ndarray, apart: bytes = b""):
         inside = np.zeros(len(data) + 2, bool)
@@ -85,7 +86,7 @@ class Words:
             last = edge[1::2] - 1
             mark = _within(apart)[data[last]] & _ASCII_LETTERS[data[np.maximum(last - 1, 0)]] & (last > edge[0::2])
             edge = np.sort(np.concatenate([edge, last[mark], last[mark]]))
-        self.data, self.start, self.end = data, edge[0::2], edge[1::2]
+        self.data, self.begins, self.start, self.end = data, begins, edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, begins)
         if len(data):
             up, down = _powers(len(data) + 1)
