@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.llm import decontaminate, language, mixing, secrets, tokens
+from fleetlog.llm import decontaminate, language, mixing, secrets, setsketch, tokens, topk, toxicity
 from fleetlog.llm.base import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,87 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(pred).alias("lang_pred"), F.col(score).alias("score"), F.col(rejected).alias("rejected")
     )
+
+
+@query
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out, score, spans = toxicity.score(docs, model)
+    return out.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= 0.5).cast("int").alias("predicted"),
+        F.size(spans).cast("long").alias("n_spans"),
+    )
+
+
+@query
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
+ORACLE["op7_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+"""
+ORACLE["op6_decontamination"] = r"""
+WITH words AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS win
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+    SELECT r, i, s.size, array_to_string(w[i : i + s.size - 1], ' ') AS win
+    FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words) p, (SELECT DISTINCT size FROM windows) s
+    WHERE i + s.size - 1 <= len(w)
+), hits AS (SELECT r, i, places.size, item_id FROM places JOIN windows ON places.size = windows.size AND places.win = windows.win),
+hit_words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM hits) GROUP BY r),
+hit_items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+    FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+ORACLE["op4_mixing"] = r"""
+WITH known AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+sized AS (
+    SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 1.0) / 4503599627370496.0)
+            / CASE q WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 ELSE 1.5 END AS key
+    FROM documents d LEFT JOIN known USING (doc_id)
+), sources AS (SELECT source, sum(size) AS size FROM sized GROUP BY source),
+ranked AS (SELECT source, size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, 3.0 * size AS cap FROM sources),
+filled AS (
+    SELECT *, (sum(size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+    FROM ranked WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (SELECT source, CAST(size AS BIGINT) AS source_size, least(cap, max(level) OVER () * w) AS target FROM filled),
+placed AS (
+    SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+        CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS passes,
+        coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+    FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target,
+    CAST(passes * size + greatest(0, least(size, floor(target) - passes * source_size - used)) AS BIGINT) AS taken
+FROM placed
+"""
