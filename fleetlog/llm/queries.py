@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.llm import decontaminate, language, mixing, secrets, setsketch, tokens, topk, toxicity
+from fleetlog.llm import decontaminate, language, mixing, secrets, setsketch, tokens, topk, toxicity, urlrules
 from fleetlog.llm.base import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,9 @@ SELECT doc_id, size, source_size, target,
     CAST(passes * size + greatest(0, least(size, floor(target) - passes * source_size - used)) AS BIGINT) AS taken
 FROM placed
 """
+
+
+@query
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, names = urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", *[F.col(names[c]).alias(c) for c in ("host", "path", "rule", "verdict", "template", "purity")])
