@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlog.llm import decontaminate, language, mixing, secrets, setsketch, tokens, topk, toxicity, urlrules
-from fleetlog.llm.base import held_out, table
+from fleetlog.llm.base import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,8 +35,8 @@ def tokenizer_path() -> str:
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    weighted, weight = mixing.quality_weights(docs, table(spark, sf_dir, "labels"))
-    mixed, names = mixing.mix(mixing.sized(weighted, weight=weight))
+    rows = stored(mixing.sized(docs), "sizes")  # a row a document without its text, before the labels are joined
+    mixed, names = mixing.mix(stored(mixing.keyed(rows, table(spark, sf_dir, "labels")), "keys"))
     return mixed.select("doc_id", *[F.col(names[c]).alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
@@ -149,7 +149,7 @@ ORACLE["op4_mixing"] = r"""
 WITH known AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 sized AS (
     SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-        -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 1.0) / 4503599627370496.0)
+        -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 1.0) / 4503599627370496.0)
             / CASE q WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 ELSE 1.5 END AS key
     FROM documents d LEFT JOIN known USING (doc_id)
 ), sources AS (SELECT source, sum(size) AS size FROM sized GROUP BY source),
