@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.llm import decontaminate, language, mixing, secrets, setsketch, tokens, topk, toxicity, urlrules
+from fleetlog.llm import decontaminate, language, mixing, preference, secrets, setsketch, tokens, topk, toxicity, urlrules
 from fleetlog.llm.base import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,40 @@ FROM placed
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, names = urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", *[F.col(names[c]).alias(c) for c in ("host", "path", "rule", "verdict", "template", "purity")])
+
+
+@query
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return preference.format_pairs(*preference.echo_pairs(turns)).withColumnRenamed("pair", "conv_id")
+
+
+ORACLE["op2_preference"] = r"""
+WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+lasts AS (SELECT conv_id, max(turn) AS last FROM rows WHERE role = 'assistant' GROUP BY conv_id),
+upto AS (SELECT rows.*, last FROM rows JOIN lasts USING (conv_id) WHERE turn <= last),
+echoes AS (SELECT conv_id, arg_max(text, turn) AS echo FROM upto WHERE role = 'user' AND turn < last GROUP BY conv_id),
+sides AS (
+    SELECT 'chosen' AS side, conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM upto
+    UNION ALL SELECT 'rejected', conv_id, turn, coalesce(role, 'unknown'), coalesce(text, '') FROM upto WHERE turn < last
+    UNION ALL SELECT 'rejected', conv_id, last, 'assistant', coalesce(echo, '') FROM lasts LEFT JOIN echoes USING (conv_id)
+), unequal AS (
+    SELECT conv_id, min(turn) AS cut FROM (
+        (SELECT conv_id, turn, role, text FROM sides WHERE side = 'chosen' EXCEPT SELECT conv_id, turn, role, text FROM sides WHERE side = 'rejected')
+        UNION ALL
+        (SELECT conv_id, turn, role, text FROM sides WHERE side = 'rejected' EXCEPT SELECT conv_id, turn, role, text FROM sides WHERE side = 'chosen')
+    ) GROUP BY conv_id
+), placed AS (
+    SELECT conv_id, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' ELSE side END AS side, turn, role, text,
+        '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment
+    FROM sides LEFT JOIN unequal USING (conv_id) WHERE side = 'chosen' OR NOT (cut IS NULL OR turn < cut)
+), spans AS (
+    SELECT *, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, side ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        + CASE WHEN side = 'prompt' THEN 0 ELSE coalesce(sum(CASE WHEN side = 'prompt' THEN length(segment) END) OVER (PARTITION BY conv_id), 0) END AS BIGINT) AS start
+    FROM placed
+)
+SELECT conv_id, side, turn, role, segment, start, start + length(segment) AS stop,
+    CASE WHEN side <> 'prompt' AND role = 'assistant' THEN start + length(role) + 5 END AS loss_start,
+    CASE WHEN side <> 'prompt' AND role = 'assistant' THEN start + length(segment) END AS loss_end
+FROM spans
+"""
