@@ -196,7 +196,10 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
         none = len(common)
         rank = around[1:-1]
         rank[end[:-1]] = none
-        take = np.flatnonzero((rank < around[:-2]) & (rank <= around[2:]))
+        # in a run of one pair (aaaa) every second place: equal neighbours never overlap
+        place = np.arange(len(rank))
+        head = np.maximum.accumulate(np.where(rank != around[:-2], place, 0))
+        take = np.flatnonzero((rank <= around[:-2]) & (rank <= around[2:]) & ((place - head) % 2 == 0))
         take = take[rank[take] < none]
         used = np.bincount(rank[take], minlength=none)
         keep = np.flatnonzero(used >= min(4, least))  # fewer do not pay for their rule
