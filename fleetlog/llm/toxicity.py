@@ -42,6 +42,7 @@ LEAST_LOG_ODDS = 2.0
 LEAST_Z = 2.5
 EPOCHS = 3
 BATCH_TOKENS = 50_000
+LEAST_STEPS = 64
 RATE = 0.3
 DECAY = 1e-6
 SEGMENT = 64
@@ -167,7 +168,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
     parts = []
-    for lo, hi in runs(texts, 6 * BATCH_TOKENS):
+    # steps of at most BATCH_TOKENS tokens, but at least some dozens of steps an epoch
+    size = min(6 * BATCH_TOKENS, max(600, sum(map(len, texts)) // LEAST_STEPS))
+    for lo, hi in runs(texts, size):
         words = words_of(texts[lo:hi], ALNUM_WORDS)
         parts.append((features(words), words.owner(), y[lo:hi]))
     labels = _token_labels(parts)
