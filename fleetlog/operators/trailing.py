@@ -6,19 +6,24 @@ rows of the same second see each other. Results have one row per machine and sec
 
 Two strategies give the same numbers:
 
-* ``sweep`` (default): every second adds its amount when it arrives and takes it away one second
-  after it leaves; a running sum over these changes is the window. Cost does not depend on how
-  full the windows are, and machines of any size are cut into chunks of time.
-* ``range``: Spark's RANGE frame over the machine. One shuffle, good for an even fleet with
-  sparse logs; a crowded window is re-added for every row.
+* ``halo`` (default): a machine is cut into chunks of time at least as long as the longest window;
+  every second also goes to the later chunks its windows reach (one or two copies), and is dropped
+  there after the window function. One shuffle by (machine, chunk); the largest task is a chunk.
+* ``range``: Spark's RANGE frame over the whole machine, without copies; good for an even fleet.
+
+Whole and decimal amounts are differences of two running sums of the chunk, which are exact and cost
+the same however full a window is. Fractional amounts are added up window by window, so nothing
+that has left a window, not even a NaN, stays behind.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlog.operators import scan
 
@@ -26,8 +31,11 @@ MINUTE = 60
 
 
 def attach(log: DataFrame, features: DataFrame, by: Sequence[str] = ("sn",), time: str = "t") -> DataFrame:
-    """Put per-second features on the log rows."""
-    return log.join(features, [*by, time], "left")
+    """Put per-second features on the log rows. Rows without a machine id are one machine."""
+    keys = [*by, time]
+    named = features.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in features.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return log.join(named, reduce(Column.__and__, same), "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def per_second(
@@ -47,102 +55,62 @@ def trailing_sums(
     amounts: Mapping[str, Column],
     by: Sequence[str] = ("sn",),
     time: str = "t",
-    strategy: str = "sweep",
+    strategy: str = "halo",
     change: bool = False,
     chunk_seconds: int = scan.SECOND_GRAIN_CHUNK,
 ) -> DataFrame:
     """Sums over the past W minutes, ``<amount>_<W>m``, all windows in one pass.
 
-    With ``change`` also ``<amount>_<W>m_change``: the sum now minus the sum at the oldest second
-    still in the window, or the sum itself while nothing of this machine has left the window.
+    Null amounts count for nothing; a window with no other is null. With ``change`` also
+    ``<amount>_<W>m_change``: the sum now minus the sum at the oldest second still in the window, or
+    the sum itself while nothing of this machine has left the window.
     """
     seconds = per_second(log, by, time, amounts)
     outs = _names(list(amounts), windows)
-    if strategy == "range":
-        return _range_sums(seconds, windows, outs, by, time, change)
-    if strategy != "sweep":
-        raise ValueError("strategy is 'sweep' or 'range'")
-
-    steps = [F.struct(F.col(time).alias("_at"), F.lit(0).alias("_out"))] + [
-        F.struct((F.col(time) + w * MINUTE + 1).alias("_at"), F.lit(i).alias("_out"))
-        for i, w in enumerate(windows, 1)
-    ]
-    timeline = (
-        seconds.withColumn("_step", F.explode(F.array(*steps)))
-        .select(*by, time, *amounts, "_step._at", "_step._out")
-    )
-    timeline = scan.by_time(timeline, "_at", chunk_seconds)
-    arrives = F.col("_out") == 0
-    sums = {}
-    for a, w, name in outs:
-        leaves = F.col("_out") == list(windows).index(w) + 1
-        sums[name] = F.when(arrives, F.col(a)).when(leaves, -F.col(a)).otherwise(F.lit(0))
     if change:
-        for i, w in enumerate(windows, 1):
-            sums[f"_left_{w}"] = F.when(F.col("_out") == i, 1).otherwise(0)
-    swept = scan.running_sums(timeline, by, "_at", sums).where(arrives)
-    if not change:
-        return swept.select(*by, time, *[n for _, _, n in outs])
-    return _changes(swept, windows, outs, by, time, chunk_seconds)
-
-
-def _changes(swept, windows, outs, by, time, chunk_seconds):
-    """Look up, for every second and window, the sums at the first second still inside."""
-    keep = [*by, time]
-    now = F.struct(*[F.col(n) for _, _, n in outs])
-    cells = [F.struct(F.col(time).alias("_at"), F.lit(1).alias("_known"), F.lit(0).alias("_for"))] + [
-        F.struct((F.col(time) - w * MINUTE).alias("_at"), F.lit(0).alias("_known"), F.lit(i).alias("_for"))
-        for i, w in enumerate(windows, 1)
+        # one row a machine; machines without an id are one machine
+        firsts = log.groupBy(*[F.col(b).alias(f"_of_{b}") for b in by]).agg(F.min(time).alias("_first"))
+        same = [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by]
+        seconds = seconds.join(firsts, reduce(Column.__and__, same)).drop(*[f"_of_{b}" for b in by])
+    # the sum at the oldest second looks back one more window
+    reach = max(windows) * MINUTE * (2 if change else 1)
+    spread, part = _chunked(seconds, by, time, reach, strategy, chunk_seconds)
+    order = Window.partitionBy(*part).orderBy(time)
+    exact = {a: isinstance(seconds.schema[a].dataType, (T.IntegralType, T.DecimalType)) for a in amounts}
+    summed = spread.select("*", *[_window_sum(a, w, order, exact[a]).alias(n) for a, w, n in outs])
+    if change:
+        summed = summed.select("*", *[F.first(n).over(order.rangeBetween(-w * MINUTE, 0)).alias(f"_front_{n}") for _, w, n in outs])
+    changes = [
+        F.when(F.col("_first") < F.col(time) - w * MINUTE, F.col(n) - F.col(f"_front_{n}")).otherwise(F.col(n)).alias(f"{n}_change")
+        for _, w, n in outs
     ]
-    points = (
-        swept.select(*keep, now.alias("_now"), *[f"_left_{w}" for w in windows])
-        .withColumn("_cell", F.explode(F.array(*cells)))
-        .select(*keep, "_now", *[f"_left_{w}" for w in windows], "_cell._at", "_cell._known", "_cell._for")
-        # Ascending by this column reads time backwards, and a known second before the probes on it.
-        .withColumn("_back", -F.col("_at"))
-        .withColumn("_probe", 1 - F.col("_known"))
-    )
-    points = scan.by_time(points, "_at", chunk_seconds)
-    found = scan.carry_last(
-        points.withColumn(scan.CHUNK, -F.col(scan.CHUNK)),
-        by,
-        ["_back", "_probe", "_for"],
-        {"_front": F.when(F.col("_known") == 1, F.col("_now"))},
-    ).where("_known = 0")
-    aggregates = []
-    for a, w, name in outs:
-        mine = F.col("_for") == list(windows).index(w) + 1
-        value = F.col(f"_now.{name}")
-        diff = F.when(F.col(f"_left_{w}") > 0, value - F.col(f"_front.{name}")).otherwise(value)
-        aggregates += [
-            F.max(F.when(mine, value)).alias(name),
-            F.max(F.when(mine, diff)).alias(f"{name}_change"),
-        ]
-    return found.groupBy(*keep).agg(*aggregates)
-
-
-def _range_sums(seconds, windows, outs, by, time, change):
-    order = Window.partitionBy(*by).orderBy(F.col(time))
-    frames = {w: order.rangeBetween(-w * MINUTE, 0) for w in windows}
-    first = F.min(time).over(Window.partitionBy(*by))
-    summed = seconds.select(
-        *by, time, *[F.sum(a).over(frames[w]).alias(n) for a, w, n in outs], first.alias("_first")
-    )
-    if not change:
-        return summed.drop("_first")
-    return summed.select(
-        *by,
-        time,
-        *[n for _, _, n in outs],
-        *[
-            F.when(
-                F.col("_first") < F.col(time) - w * MINUTE, F.col(n) - F.first(n).over(frames[w])
-            )
-            .otherwise(F.col(n))
-            .alias(f"{n}_change")
-            for _, w, n in outs
-        ],
-    )
+    return _at_home(summed).select(*by, time, *[n for _, _, n in outs], *(changes if change else []))
+
+
+def _chunked(rows: DataFrame, by: Sequence[str], time: str, reach: int, strategy: str, chunk_seconds: int):
+    """Rows with a home chunk and their copies in the chunks they reach, and the window's partition."""
+    if strategy == "range":
+        return rows.withColumns({"_home": F.lit(0), "_chunk": F.lit(0)}), list(by)
+    if strategy != "halo":
+        raise ValueError("strategy is 'halo' or 'range'")
+    length = max(chunk_seconds, reach)
+    home = F.floor(F.col(time) / length)
+    reached = F.sequence(home, F.floor((F.col(time) + reach) / length))
+    spread = rows.withColumn("_home", home).withColumn("_chunk", F.explode(reached))
+    return spread.repartition(*by, "_chunk"), [*by, "_chunk"]
+
+
+def _at_home(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("_home") == F.col("_chunk"))
+
+
+def _window_sum(amount: str, minutes: int, order, exact: bool) -> Column:
+    if not exact:
+        return F.sum(amount).over(order.rangeBetween(-minutes * MINUTE, 0))
+    upto = order.rangeBetween(Window.unboundedPreceding, 0)
+    gone = order.rangeBetween(Window.unboundedPreceding, -minutes * MINUTE - 1)
+    known = F.count(amount).over(upto) - F.count(amount).over(gone)
+    return F.when(known > 0, F.sum(amount).over(upto) - F.coalesce(F.sum(amount).over(gone), F.lit(0)))
 
 
 def trailing_count(log: DataFrame, windows: Sequence[int], weight: Column | None = None, **how) -> DataFrame:
@@ -157,63 +125,37 @@ def trailing_distinct(
     name: str = "distinct",
     by: Sequence[str] = ("sn",),
     time: str = "t",
-    strategy: str = "sweep",
+    strategy: str = "halo",
     chunk_seconds: int = scan.SECOND_GRAIN_CHUNK,
 ) -> DataFrame:
     """Distinct non-null values (a struct for composite keys) in the past W minutes.
 
-    Sweep: a value counts from the first second of a run of sightings at most W apart until W
-    minutes after the last one, so only the ends of runs are shuffled.
+    A value counts from the first second of a run of sightings at most W apart until W minutes
+    after the last one: starts so far minus stops that are more than W minutes ago.
     """
     value = F.col(value) if isinstance(value, str) else value
     seen = log.select(*by, time, value.alias("_value")).distinct()
-    outs = [f"{name}_{w}m" for w in windows]
-    if strategy == "range":
-        order = Window.partitionBy(*by).orderBy(F.col(time))
-        sets = [
-            F.size(F.collect_set("_value").over(order.rangeBetween(-w * MINUTE, 0)))
-            .cast("long")
-            .alias(o)
-            for w, o in zip(windows, outs)
-        ]
-        return seen.select(*by, time, *sets).distinct()
-    if strategy != "sweep":
-        raise ValueError("strategy is 'sweep' or 'range'")
-
-    # One row per machine, value and second: the history's seconds bound the window's partition.
-    along = Window.partitionBy(*by, "_value").orderBy(time)
-    near = seen.select("*", F.lag(time).over(along).alias("_prev"), F.lead(time).over(along).alias("_next"))
+    spread, part = _chunked(seen, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
+    along = Window.partitionBy(*part, "_value").orderBy(time)
+    order = Window.partitionBy(*part).orderBy(time)
+    near = spread.select("*", F.lag(time).over(along).alias("_prev"), F.lead(time).over(along).alias("_next"))
     t, known = F.col(time), F.col("_value").isNotNull()
-    starts, ends = [], []
-    for i, w in enumerate(windows):
-        begins = known & (F.col("_prev").isNull() | (t - F.col("_prev") > w * MINUTE))
+    flags, counts = [], []
+    for w in windows:
+        starts = known & (F.col("_prev").isNull() | (t - F.col("_prev") > w * MINUTE))
         stops = known & (F.col("_next").isNull() | (F.col("_next") - t > w * MINUTE))
-        starts.append(F.when(begins, 1).otherwise(0).alias(outs[i]))
-        ends.append(
-            F.when(
-                stops,
-                F.struct(
-                    (t + w * MINUTE + 1).alias("_at"),
-                    F.lit(0).alias("_row"),
-                    *[F.lit(-1 if j == i else 0).alias(o) for j, o in enumerate(outs)],
-                ),
-            )
-        )
-    steps = F.array(F.struct(t.alias("_at"), F.lit(1).alias("_row"), *starts), *ends)
-    timeline = (
-        near.select(*by, F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("_step"))
-        .select(*by, "_step.*")
-        .groupBy(*by, "_at")
-        .agg(F.max("_row").alias("_row"), *[F.sum(o).alias(o) for o in outs])
-    )
-    timeline = scan.by_time(timeline, "_at", chunk_seconds)
-    renamed = timeline.select(
-        *by, "_at", "_row", scan.CHUNK, *[F.col(o).alias(f"_d{i}") for i, o in enumerate(outs)]
-    )
-    swept = scan.running_sums(
-        renamed, by, "_at", {o: F.col(f"_d{i}") for i, o in enumerate(outs)}
-    )
-    return swept.where("_row = 1").select(*by, F.col("_at").alias(time), *outs)
+        flags += [F.when(starts, 1).otherwise(0).alias(f"_on_{w}"), F.when(stops, 1).otherwise(0).alias(f"_off_{w}")]
+        gone = F.sum(f"_off_{w}").over(order.rangeBetween(Window.unboundedPreceding, -w * MINUTE - 1))
+        came = F.sum(f"_on_{w}").over(order.rangeBetween(Window.unboundedPreceding, 0))
+        counts.append((came - F.coalesce(gone, F.lit(0))).alias(f"{name}_{w}m"))
+    flagged = near.select(*by, time, "_home", "_chunk", *flags)
+    return _one_a_second(flagged.select("*", *counts, F.lag(time).over(order).alias("_before")), by, time, [f"{name}_{w}m" for w in windows])
+
+
+def _one_a_second(rows: DataFrame, by: Sequence[str], time: str, outs: Sequence[str]) -> DataFrame:
+    """Home rows, the first of those of one second (``_before``: the second of the row before)."""
+    first = F.col("_before").isNull() | (F.col("_before") != F.col(time))
+    return _at_home(rows).where(first).select(*by, time, *outs)
 
 
 def trailing_variance(
@@ -223,28 +165,25 @@ def trailing_variance(
     by: Sequence[str] = ("sn", "memory", "rankid", "bankid"),
     time: str = "t",
     weight: Column | None = None,
-    **how,
+    strategy: str = "halo",
+    chunk_seconds: int = scan.SECOND_GRAIN_CHUNK,
 ) -> DataFrame:
-    """Population variance of the values in the past W minutes: ``var_<W>m``.
+    """Population variance of the values in the past W minutes: ``var_<W>m``, null without values.
 
-    ``weight`` tells how many log rows a row stands for.
+    ``weight`` tells how many log rows a row stands for. Spark's own moments are taken in each
+    window anew: they are stable for values of any size and keep nothing of what has left.
     """
-    w = F.lit(1) if weight is None else weight
-    # Counting from the rounded mean keeps whole numbers whole and the squares small.
-    centre = log.agg(F.round(F.avg(value)).alias("c")).scalar()
-    x = (F.col(value) - F.coalesce(centre, F.lit(0))).cast("double")
-    amounts = {
-        "_n": F.when(F.col(value).isNotNull(), w).otherwise(0),
-        "_s": F.coalesce(x * w, F.lit(0.0)),
-        "_q": F.coalesce(x * x * w, F.lit(0.0)),
-    }
-    sums = trailing_sums(log, windows, amounts, by=by, time=time, **how)
-    outs = []
-    for w in windows:
-        n, s, q = (F.col(f"{a}_{w}m") for a in ("_n", "_s", "_q"))
-        spread = F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
-        outs.append(F.when(n == 1, 0.0).when(n > 1, spread).alias(f"var_{w}m"))
-    return sums.select(*by, time, *outs)
+    rows = log.select(*by, time, F.col(value).cast("double").alias("_x"), *([] if weight is None else [weight.alias("_w")]))
+    if weight is not None:
+        rows = rows.withColumn("_w", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("_w", F.lit(0)), F.lit(1)).cast("int"))))
+    spread, part = _chunked(rows, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
+    order = Window.partitionBy(*part).orderBy(time)
+    found = spread.select(
+        "*",
+        F.lag(time).over(order).alias("_before"),
+        *[F.var_pop("_x").over(order.rangeBetween(-w * MINUTE, 0)).alias(f"var_{w}m") for w in windows],
+    )
+    return _one_a_second(found, by, time, [f"var_{w}m" for w in windows])
 
 
 def trailing_bin_sums(

@@ -52,7 +52,7 @@ def test_first_eviction_is_per_machine(spark):
     assert rows(got) == [(1, 0, 1, 1), (1, 10_000, 1, 0), (2, 20_000, 1, 1), (2, 20_010, 2, 2)]
 
 
-@pytest.mark.parametrize("strategy", ["sweep", "range"])
+@pytest.mark.parametrize("strategy", ["halo", "range"])
 @pytest.mark.parametrize("chunk", [500, 10_000_000])
 def test_against_brute_force(spark, strategy, chunk):
     data = random_log(spark)
@@ -70,7 +70,7 @@ def test_against_brute_force(spark, strategy, chunk):
             assert r[f"distinct_{w}m"] == want[w][r.sn, r.t][2]
 
 
-@pytest.mark.parametrize("strategy", ["sweep", "range"])
+@pytest.mark.parametrize("strategy", ["halo", "range"])
 def test_variance(spark, strategy):
     data = random_log(spark, n=200)
     got = trailing.trailing_variance(log(spark, data), [60], "k", by=["sn"], strategy=strategy, chunk_seconds=900)
@@ -162,3 +162,24 @@ def test_rows_without_a_machine_are_a_group_too(spark):
     small = trailing.trailing_count(df, [5], chunk_seconds=250)
     assert rows(small) == rows(trailing.trailing_count(df, [5], strategy="range"))
     assert rows(bins.gap_to_previous(df), "id", "gap") == [(i, 100 if i else 0) for i in range(10)]
+
+
+@pytest.mark.parametrize("strategy", ["halo", "range"])
+def test_nulls_nan_and_large_values_leave_the_window(spark, strategy):
+    how = {"strategy": strategy, "chunk_seconds": 800}
+    df = spark.createDataFrame([(1, 790, 5, 1.0), (1, 805, None, float("nan")), (1, 5000, 2, 2.0), (2, 805, None, None)], "sn bigint, t bigint, k int, x double")
+    counts = rows(trailing.trailing_count(df, [15], weight=F.col("k"), **how))
+    assert counts == [(1, 790, 5), (1, 805, 5), (1, 5000, 2), (2, 805, None)]
+    sums = rows(trailing.trailing_sums(df, [15], {"x": F.col("x")}, **how), "sn", "t", "x_15m")
+    assert [r[2] for r in sums if r[1] == 5000] == [2.0]
+    rng = random.Random(4)
+    large = [(1, i, 0, rng.random() * 1e9) for i in range(3000)] + [(1, 300_000 + i, 0, v) for i, v in enumerate((0.1, 0.35, 0.2, 0.6))]
+    spread = trailing.trailing_variance(spark.createDataFrame(large, "sn bigint, t bigint, k int, x double"), [60], "x", by=["sn"], **how)
+    last = spread.orderBy(F.col("t").desc()).first().var_60m
+    assert last == pytest.approx(np.var([0.1, 0.35, 0.2, 0.6]), rel=1e-9)
+
+
+def test_rows_without_a_machine_are_one_machine(spark):
+    df = spark.createDataFrame([(None, 10, 1), (None, 20, 2), (1, 20, 2)], "sn bigint, t bigint, k int")
+    found = trailing.attach(df, trailing.trailing_count(df, [5], change=True))
+    assert rows(found, "sn", "t", "cnt_5m", "cnt_5m_change") == [(1, 20, 1, 1), (None, 10, 1, 1), (None, 20, 2, 2)]
