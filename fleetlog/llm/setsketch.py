@@ -208,37 +208,70 @@ def _across(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).alias("second"), "nid", "root", "n", "regs")
 
-    def work(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("nid")
-        nid, root = group["nid"].to_numpy(), group["root"].to_numpy()
-        second, size = group["second"].to_numpy(zero_copy_only=False), group["n"].to_numpy()
-        alone = group["lo"][0].as_py() == group["hi"][0].as_py()
-        regs = _registers(group["regs"])
-        keys = _keys(regs)
-        band = np.flatnonzero((keys == group["key"][0].as_py()).all(0))
-        out_a, out_b = [], []
-        rights = np.arange(len(nid)) if alone else np.flatnonzero(second)
-        for i in range(len(nid)) if alone else np.flatnonzero(~second).tolist():
-            others = rights[(root[rights] != root[i])]
-            others = others[others > i] if alone else others
-            # sizes alone bound the similarity
-            others = others[100 * np.minimum(size[others], size[i]) >= SHARE * np.maximum(size[others], size[i])]
-            if not len(others):
-                continue
-            there = regs[others]
-            larger, smaller = (regs[i] > there).sum(1), (regs[i] < there).sum(1)
-            near = REGISTERS - larger - smaller >= (LEAST_ESTIMATE - 0.1) * REGISTERS
-            others, larger, smaller = others[near], larger[near], smaller[near]
-            if not len(others):
+    together = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "nid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            if not part.num_rows:
                 continue
-            # once only: in the first band the two share
-            first = (keys[i] == keys[others]).argmax(1) == (band[0] if len(band) else -1)
-            high = first & (estimate(np.full(len(others), size[i]), size[others], larger, smaller) >= LEAST_ESTIMATE)
-            out_a += [nid[i]] * int(high.sum())
-            out_b += nid[others[high]].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return rows.groupBy("key", "lo", "hi").applyInArrow(work, "a long, b long")
+            group = _groups(part)
+            last = int(np.flatnonzero(group == group[-1])[0])  # may go on in the next batch
+            if last:
+                yield _pairs_across(part.slice(0, last), group[:last])
+            held = part.slice(last)
+        if held is not None and held.num_rows:
+            yield _pairs_across(held, _groups(held))
+
+    return together.mapInArrow(run, "a long, b long")
+
+
+def _groups(rows: pa.Table) -> np.ndarray:
+    """A number for each run of rows with the same key and pair of blocks."""
+    columns = [rows[c].to_numpy() for c in ("key", "lo", "hi")]
+    changed = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.concatenate([[0], np.cumsum(changed)])
+
+
+def _pairs_across(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+    """Pairs of whole groups that are in different components and whose estimate is high enough.
+
+    All groups at once: step d compares every row with the d-th row after it, as long as both are in
+    one group, so the number of steps is the size of the largest group.
+    """
+    nid, root, size = (rows[c].to_numpy() for c in ("nid", "root", "n"))
+    second, alone = rows["second"].to_numpy(), rows["lo"].to_numpy() == rows["hi"].to_numpy()
+    regs = _registers(rows["regs"].combine_chunks() if isinstance(rows["regs"], pa.ChunkedArray) else rows["regs"])
+    keys, key = _keys(regs), rows["key"].to_numpy()
+    here = (keys == key[:, None]).argmax(1)  # the band that made the key
+    out_a, out_b = [], []
+    at = np.arange(len(nid))
+    step = 0
+    while True:
+        step += 1
+        at = at[at + step < len(nid)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        i, j = at, at + step
+        # of two blocks only pairs from one to the other; sizes alone bound the similarity
+        some = (root[i] != root[j]) & (alone[i] | (second[i] != second[j]))
+        some &= 100 * np.minimum(size[i], size[j]) >= SHARE * np.maximum(size[i], size[j])
+        i, j = i[some], j[some]
+        if not len(i):
+            continue
+        # once only: in the first band the two share
+        first = (keys[i] == keys[j]).argmax(1) == here[i]
+        i, j = i[first], j[first]
+        larger, smaller = (regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1)
+        near = REGISTERS - larger - smaller >= (LEAST_ESTIMATE - 0.1) * REGISTERS
+        i, j, larger, smaller = i[near], j[near], larger[near], smaller[near]
+        high = estimate(size[i], size[j], larger, smaller) >= LEAST_ESTIMATE
+        out_a.append(nid[i[high]])
+        out_b.append(nid[j[high]])
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none), pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
 
 
 def nodes_and_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
