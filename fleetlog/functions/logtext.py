@@ -113,9 +113,9 @@ def mask_variables(msg: Column, rules: Sequence[tuple[str, str]] = MASKS) -> Col
 
 
 def hex_value(text: Column) -> Column:
-    """Value of a hex text with or without ``0x``, 64 bits unsigned."""
+    """Value of a hex text with or without ``0x``, 64 bits unsigned; null for anything longer."""
     bare = F.regexp_replace(F.trim(text), "^0[xX]", "")
-    return F.when(bare.rlike("^[0-9a-fA-F]+$"), F.conv(bare, 16, 10).cast("decimal(20,0)"))
+    return F.when(bare.rlike("^0*[0-9a-fA-F]{1,16}$"), F.conv(F.right(bare, F.lit(16)), 16, 10).cast("decimal(20,0)"))
 
 
 def explode_modules(df: DataFrame, module: str = "module", cause: str = "module_cause") -> DataFrame:

@@ -80,6 +80,8 @@ def feature_report(
             F.struct(
                 F.lit(c).alias("feature"),
                 F.col(c).cast("double").alias("_x"),
+                # whole numbers and decimals that are one double are still different values
+                (F.lit(None).cast("string") if kinds[c] in ("double", "float") else F.col(c).cast("string")).alias("_own"),
                 scan.chunk_of(F.col(c).cast("double"), points[c]).alias(scan.CHUNK),
             )
             for c in columns
@@ -88,8 +90,10 @@ def feature_report(
     counts = (
         df.select(F.explode(cells).alias("_c"))
         .select("_c.*")
-        .groupBy("feature", "_x", scan.CHUNK)
+        .groupBy("feature", "_x", scan.CHUNK, "_own")
         .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy("feature", "_x", scan.CHUNK)
+        .agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_own"))
     )
     x, n = F.col("_x"), F.col("_n")
     known = F.when(x.isNotNull(), n).otherwise(0)
@@ -105,7 +109,7 @@ def feature_report(
     kind = F.create_map(*[F.lit(v) for c in columns for v in (c, kinds[c])])
     return ranked.groupBy("feature").agg(
         F.sum(n - F.col("_k")).alias("missing"),
-        F.count(F.lit(1)).alias("uniques"),
+        F.sum("_own").alias("uniques"),
         count.alias("count"),
         (F.sum(x * n) / count).alias("mean"),
         F.sqrt(F.try_divide(F.greatest(squares, F.lit(0.0)), count - 1)).alias("std"),

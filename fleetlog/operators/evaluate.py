@@ -41,8 +41,12 @@ def binary_f1(
 
 
 def ranked_scores(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score: positives and negatives, and both counted from the top (tp, fp)."""
-    counts = df.groupBy(*by, score).agg(
+    """Per distinct score: positives and negatives, and both counted from the top (tp, fp).
+
+    Rows without a score (null or NaN) have no place in the order and are left out.
+    """
+    scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    counts = scored.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     chunked = scan.by_quantile(counts, score).withColumn(scan.CHUNK, -F.col(scan.CHUNK))
@@ -132,15 +136,22 @@ def f1_over_thresholds(
 
 
 def best_f1_threshold(
-    df: DataFrame, score: str, label: str, low: float = 0.0, high: float = 0.9, n: int = 512
+    df: DataFrame,
+    score: str,
+    label: str,
+    low: float = 0.0,
+    high: float = 0.9,
+    n: int = 512,
+    candidates: str = "grid",
 ) -> DataFrame:
     """Best F1 and its threshold; (0, 0) if no threshold does better than 0.
 
-    Candidates are the distinct scores if there are fewer than n, else n even steps; the
-    smallest of the best wins.
+    Candidates are n even steps from low to high (``grid``) or all distinct scores (``scores``),
+    whatever the data; the smallest of the best wins.
     """
-    few = df.select(score).where(F.col(score).isNotNull()).distinct().limit(n).count() < n
-    if few:
+    if candidates not in ("grid", "scores"):
+        raise ValueError("candidates are 'grid' or 'scores'")
+    if candidates == "scores":
         r = ranked_scores(df, score, label)
         table = _with_f1(
             r.select(

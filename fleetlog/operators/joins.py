@@ -9,13 +9,13 @@ allows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlog.operators import scan
+from fleetlog.operators import scan, trailing
 
 DAY = 86_400
 HOUR = 3_600
@@ -151,10 +151,37 @@ def anchored_join(
     found = found.select(*anchors.columns, *rest)
     if not keep_empty:
         return found
-    narrow = anchors.select(*by, anchor_id, anchor_time)
-    hit = band_join(logs.select(*by, time), narrow, by, F.col(time), low, high, slot).select(anchor_id)
-    empty = anchors.join(hit.distinct(), anchor_id, "left_anti")
-    return found.unionByName(empty, allowMissingColumns=True)
+    one = {"_n": F.lit(1)}
+    counted = sums_at_anchors(logs, anchors, seconds - open_start, one, by, anchor_time, time)
+    return found.unionByName(counted.where("_n = 0").drop("_n"), allowMissingColumns=True)
+
+
+def sums_at_anchors(
+    logs: DataFrame,
+    anchors: DataFrame,
+    seconds: int,
+    amounts: Mapping[str, Column],
+    by: Sequence[str] = ("sn",),
+    anchor_time: str = "fault_t",
+    time: str = "t",
+) -> DataFrame:
+    """Sums of whole amounts over ``[anchor - seconds, anchor]``, 0 without any, one row an anchor.
+
+    Logs, collapsed to seconds, and anchors are one timeline, cut into chunks with a halo; an anchor
+    reads two running sums of its chunk. Nothing grows beyond logs plus anchors.
+    """
+    outs = list(amounts)
+    zero = [F.lit(0).cast("long").alias(o) for o in outs]
+    timed = anchors.where(F.col(anchor_time).isNotNull())
+    probes = timed.select(*by, F.col(anchor_time).alias("_t"), F.struct(*anchors.columns).alias("_anchor"), *zero)
+    events = logs.groupBy(*by, F.col(time).alias("_t")).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(o) for o, c in amounts.items()])
+    rows = probes.unionByName(events, allowMissingColumns=True)
+    spread, part = trailing.chunked(rows, by, "_t", seconds)
+    order = Window.partitionBy(*part).orderBy("_t")
+    sums = [trailing.window_sum(o, seconds, order, True).alias(o) for o in outs]
+    found = trailing.at_home(spread.select("_anchor", "_home", "_chunk", *sums)).where("_anchor is not null")
+    untimed = anchors.where(F.col(anchor_time).isNull()).select(*anchors.columns, *zero)
+    return found.select("_anchor.*", *outs).unionByName(untimed)
 
 
 def faulty_only(logs: DataFrame, failures: DataFrame, by: Sequence[str] = ("sn",)) -> DataFrame:
@@ -194,12 +221,10 @@ def alarm_failure_match(
 
 
 def lookback_count(
-    logs: DataFrame, anchors: DataFrame, seconds: int, anchor_id: str = "ticket_id", **how
+    logs: DataFrame, anchors: DataFrame, seconds: int, **how
 ) -> DataFrame:
     """Events in ``[anchor - seconds, anchor]`` per anchor, 0 without any."""
-    found = anchored_join(anchors, logs, seconds, anchor_id=anchor_id, keep_empty=False, **how)
-    counts = found.groupBy(anchor_id).agg(F.count(F.lit(1)).alias("n"))
-    return anchors.join(counts, anchor_id, "left").fillna(0, subset=["n"])
+    return sums_at_anchors(logs, anchors, seconds, {"n": F.lit(1)}, **how)
 
 
 def lookback_histogram(
@@ -208,16 +233,11 @@ def lookback_histogram(
     seconds: int,
     category: str,
     values: Sequence,
-    anchor_id: str = "ticket_id",
     **how,
 ) -> DataFrame:
     """Events per known category in the same window, one column each."""
-    found = anchored_join(anchors, logs, seconds, anchor_id=anchor_id, keep_empty=False, **how)
-    outs = [f"n_{v}" for v in values]
-    counts = found.groupBy(anchor_id).agg(
-        *[F.count_if(F.col(category) == v).alias(o) for v, o in zip(values, outs)]
-    )
-    return anchors.join(counts, anchor_id, "left").fillna(0, subset=outs)
+    amounts = {f"n_{v}": F.when(F.col(category) == v, 1).otherwise(0) for v in values}
+    return sums_at_anchors(logs, anchors, seconds, amounts, **how)
 
 
 def lookback_quantile(

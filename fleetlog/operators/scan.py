@@ -54,15 +54,36 @@ def cut_points(df: DataFrame, keys: Mapping[str, Column], chunks: int = 64) -> d
 
 def chunk_of(key: Column, points: Sequence[float]) -> Column:
     """Number of cut points below the key, as one generated expression (no loop per row)."""
-    terms = [F.when(key > F.lit(float(p)), 1).otherwise(0) for p in points]
+    return _added([F.when(key > F.lit(float(p)), 1).otherwise(0) for p in points])
+
+
+def _added(terms: list[Column]) -> Column:
     # A balanced tree of additions keeps the expression shallow.
     while len(terms) > 1:
         terms = [reduce(lambda a, b: a + b, terms[i : i + 2]) for i in range(0, len(terms), 2)]
     return (terms[0] if terms else F.lit(0)).cast("long")
 
 
+SAMPLED_TEXTS = 4096
+
+
+def text_cut_points(df: DataFrame, name: str, chunks: int = 64) -> list[str]:
+    """Texts that split the distinct values of a column into chunks of similar size.
+
+    A bounded hash sample of the distinct values, so the whole text counts and not its first
+    bytes; like ``cut_points`` it only balances the work.
+    """
+    values = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    some = sorted(r[0] for r in values.orderBy(F.xxhash64(name)).limit(SAMPLED_TEXTS).select(name).collect())
+    step = max(1, -(-len(some) // chunks))
+    return some[step::step]
+
+
 def by_quantile(df: DataFrame, name: str, chunks: int = 64) -> DataFrame:
     """Add the chunk column for an order that is not time."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        below = [F.when(F.col(name) > F.lit(p), 1).otherwise(0) for p in text_cut_points(df, name, chunks)]
+        return df.withColumn(CHUNK, _added(below))
     key = order_key(df, name)
     points = cut_points(df, {"k": key}, chunks)["k"]
     return df.withColumn(CHUNK, chunk_of(key, points))

@@ -74,20 +74,27 @@ def trailing_sums(
         seconds = seconds.join(firsts, reduce(Column.__and__, same)).drop(*[f"_of_{b}" for b in by])
     # the sum at the oldest second looks back one more window
     reach = max(windows) * MINUTE * (2 if change else 1)
-    spread, part = _chunked(seconds, by, time, reach, strategy, chunk_seconds)
+    spread, part = chunked(seconds, by, time, reach, strategy, chunk_seconds)
     order = Window.partitionBy(*part).orderBy(time)
     exact = {a: isinstance(seconds.schema[a].dataType, (T.IntegralType, T.DecimalType)) for a in amounts}
-    summed = spread.select("*", *[_window_sum(a, w, order, exact[a]).alias(n) for a, w, n in outs])
+    summed = spread.select("*", *[window_sum(a, w * MINUTE, order, exact[a]).alias(n) for a, w, n in outs])
     if change:
         summed = summed.select("*", *[F.first(n).over(order.rangeBetween(-w * MINUTE, 0)).alias(f"_front_{n}") for _, w, n in outs])
     changes = [
         F.when(F.col("_first") < F.col(time) - w * MINUTE, F.col(n) - F.col(f"_front_{n}")).otherwise(F.col(n)).alias(f"{n}_change")
         for _, w, n in outs
     ]
-    return _at_home(summed).select(*by, time, *[n for _, _, n in outs], *(changes if change else []))
+    return at_home(summed).select(*by, time, *[n for _, _, n in outs], *(changes if change else []))
 
 
-def _chunked(rows: DataFrame, by: Sequence[str], time: str, reach: int, strategy: str, chunk_seconds: int):
+def chunked(
+    rows: DataFrame,
+    by: Sequence[str],
+    time: str,
+    reach: int,
+    strategy: str = "halo",
+    chunk_seconds: int = scan.SECOND_GRAIN_CHUNK,
+) -> tuple[DataFrame, list[str]]:
     """Rows with a home chunk and their copies in the chunks they reach, and the window's partition."""
     if strategy == "range":
         return rows.withColumns({"_home": F.lit(0), "_chunk": F.lit(0)}), list(by)
@@ -100,15 +107,16 @@ def _chunked(rows: DataFrame, by: Sequence[str], time: str, reach: int, strategy
     return spread.repartition(*by, "_chunk"), [*by, "_chunk"]
 
 
-def _at_home(rows: DataFrame) -> DataFrame:
+def at_home(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("_home") == F.col("_chunk"))
 
 
-def _window_sum(amount: str, minutes: int, order, exact: bool) -> Column:
+def window_sum(amount: str, seconds: int, order, exact: bool) -> Column:
+    """Sum over the window that ends at the row; whole and decimal amounts may be ``exact``."""
     if not exact:
-        return F.sum(amount).over(order.rangeBetween(-minutes * MINUTE, 0))
+        return F.sum(amount).over(order.rangeBetween(-seconds, 0))
     upto = order.rangeBetween(Window.unboundedPreceding, 0)
-    gone = order.rangeBetween(Window.unboundedPreceding, -minutes * MINUTE - 1)
+    gone = order.rangeBetween(Window.unboundedPreceding, -seconds - 1)
     known = F.count(amount).over(upto) - F.count(amount).over(gone)
     return F.when(known > 0, F.sum(amount).over(upto) - F.coalesce(F.sum(amount).over(gone), F.lit(0)))
 
@@ -135,7 +143,7 @@ def trailing_distinct(
     """
     value = F.col(value) if isinstance(value, str) else value
     seen = log.select(*by, time, value.alias("_value")).distinct()
-    spread, part = _chunked(seen, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
+    spread, part = chunked(seen, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
     along = Window.partitionBy(*part, "_value").orderBy(time)
     order = Window.partitionBy(*part).orderBy(time)
     near = spread.select("*", F.lag(time).over(along).alias("_prev"), F.lead(time).over(along).alias("_next"))
@@ -155,7 +163,7 @@ def trailing_distinct(
 def _one_a_second(rows: DataFrame, by: Sequence[str], time: str, outs: Sequence[str]) -> DataFrame:
     """Home rows, the first of those of one second (``_before``: the second of the row before)."""
     first = F.col("_before").isNull() | (F.col("_before") != F.col(time))
-    return _at_home(rows).where(first).select(*by, time, *outs)
+    return at_home(rows).where(first).select(*by, time, *outs)
 
 
 def trailing_variance(
@@ -176,7 +184,7 @@ def trailing_variance(
     rows = log.select(*by, time, F.col(value).cast("double").alias("_x"), *([] if weight is None else [weight.alias("_w")]))
     if weight is not None:
         rows = rows.withColumn("_w", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("_w", F.lit(0)), F.lit(1)).cast("int"))))
-    spread, part = _chunked(rows, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
+    spread, part = chunked(rows, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
     order = Window.partitionBy(*part).orderBy(time)
     found = spread.select(
         "*",

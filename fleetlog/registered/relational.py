@@ -56,12 +56,12 @@ def time_to_failure_nearest(x: Tables):
 
 @query(
     """SELECT ticket_id, fault_t, e.id AS id, e.t AS t FROM ticket k LEFT JOIN ev e
-    ON k.sn = e.sn AND e.cat <> 'signup' AND e.t > fault_t - 5 * 86400 AND e.t <= fault_t""",
+    ON k.sn = e.sn AND e.cat <> 'signup' AND e.t > fault_t - 40 * 86400 AND e.t <= fault_t""",
     "ticket ev",
 )
 def lookback_join(x: Tables):
     logs = x.ev().where("cat <> 'signup'").select("id", "sn", "t")
-    found = joins.lookback_join(x.ticket(), logs, days=5)
+    found = joins.lookback_join(x.ticket(), logs, days=40)
     return found.select("ticket_id", "fault_t", "id", "t")
 
 
@@ -178,7 +178,7 @@ _LB = """WITH l AS (SELECT ticket_id, fault_t, e.t AS t, e.id AS id, e.v AS v, e
 
 
 @query(
-    _LB.format(w=5 * 86400)
+    _LB.format(w=40 * 86400)
     + """, g AS (SELECT *, t - lag(t) OVER (PARTITION BY ticket_id ORDER BY t, id) AS gap FROM l WHERE t IS NOT NULL),
     s AS (SELECT ticket_id, """
     + ", ".join(
@@ -196,7 +196,7 @@ _LB = """WITH l AS (SELECT ticket_id, fault_t, e.t AS t, e.id AS id, e.v AS v, e
 )
 def lookback_time_stats(x: Tables):
     logs = x.ev().where("cat <> 'signup'")
-    stats = joins.lookback_time_stats(logs, x.ticket(), days=5)
+    stats = joins.lookback_time_stats(logs, x.ticket(), days=40)
     names = ["min", "max", "std", "ptp", "mean", "median"]
     return stats.select(
         "ticket_id",
@@ -223,13 +223,13 @@ def lookback_histogram(x: Tables):
 
 
 @query(
-    _LB.format(w=5 * 86400)
+    _LB.format(w=40 * 86400)
     + """SELECT ticket_id, round(quantile_cont(v, 0.1), 6) AS q10, round(quantile_cont(v, 0.9), 6) AS q90 FROM l GROUP BY ticket_id""",
     "ticket ev",
 )
 def lookback_quantile(x: Tables):
     logs = x.ev().where("cat <> 'signup'").select("sn", "t", "v")
-    found = joins.lookback_quantile(logs, x.ticket(), "v", {"q10": 0.1, "q90": 0.9}, days=5)
+    found = joins.lookback_quantile(logs, x.ticket(), "v", {"q10": 0.1, "q90": 0.9}, days=40)
     return rounded(found.select("ticket_id", "q10", "q90"), ["q10", "q90"])
 
 

@@ -176,7 +176,7 @@ def best_f1_threshold(x: Tables):
 )
 def best_f1_threshold_few(x: Tables):
     rows = x.scored().select((F.col("k") / F.lit(100.0)).alias("p"), "y")
-    return rounded(evaluate.best_f1_threshold(rows, "p", "y"), ["best_f1", "best_threshold"])
+    return rounded(evaluate.best_f1_threshold(rows, "p", "y", candidates="scores"), ["best_f1", "best_threshold"])
 
 
 @query(

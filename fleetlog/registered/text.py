@@ -70,7 +70,7 @@ def count_features(x: Tables):
     return corpus.count_features(counts, corpus.top_terms(counts, 300), "doc_id")
 
 
-_TFIDF = """, w AS (SELECT doc_id, idx, term, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM c)) / (1.0 + df)) + 1) AS x
+_TFIDF = """, w AS (SELECT doc_id, idx, term, tf * (ln((1 + (SELECT count(*) FROM docwords)) / (1.0 + df)) + 1) AS x
       FROM c JOIN vo USING (term)),
     l AS (SELECT doc_id, sqrt(sum(x * x)) AS len FROM w GROUP BY doc_id)
     SELECT doc_id, idx, term, round(x / len, 6) AS x FROM w JOIN l USING (doc_id)"""
@@ -79,12 +79,12 @@ _TFIDF = """, w AS (SELECT doc_id, idx, term, tf * (ln((1 + (SELECT count(DISTIN
 @query(_TERMS.format(n=800) + _TFIDF, "docwords")
 def tfidf_features(x: Tables):
     counts = _doc_terms(x)
-    model = corpus.tfidf_fit(counts, "doc_id", 800)
+    model = corpus.tfidf_fit(counts, x.docs(), 800)
     return rounded(corpus.tfidf_transform(counts, model, "doc_id"), ["x"])
 
 
 _TICKET_TERMS = """WITH l AS (SELECT ticket_id, t, id, tokens FROM ticket k JOIN toks m ON k.sn = m.sn
-      AND m.t > fault_t - 432000 AND m.t <= fault_t),
+      AND m.t > fault_t - 3456000 AND m.t <= fault_t),
     u AS (SELECT ticket_id, t, id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM l),
     n AS (SELECT ticket_id AS doc, w, lead(w) OVER (PARTITION BY ticket_id ORDER BY t, id, i) AS w2 FROM u),
     g AS (SELECT doc, w AS term FROM n UNION ALL SELECT doc, w || ' ' || w2 FROM n WHERE w2 IS NOT NULL),
@@ -95,8 +95,8 @@ _TICKET_TERMS = """WITH l AS (SELECT ticket_id, t, id, tokens FROM ticket k JOIN
     mc AS (SELECT sn, term, count(*) AS tf FROM mg GROUP BY sn, term),
     s AS (SELECT term, sum(tf) AS total, count(*) AS df FROM mc GROUP BY term),
     b AS (SELECT term, df, row_number() OVER (ORDER BY total DESC, term) AS r FROM s),
-    vo AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM b WHERE r <= 200),
-    w AS (SELECT ticket_id, idx, term, tf * (ln((1 + (SELECT count(DISTINCT sn) FROM mc)) / (1.0 + df)) + 1) AS x
+    vo AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM b WHERE r <= 800),
+    w AS (SELECT ticket_id, idx, term, tf * (ln((1 + (SELECT count(DISTINCT sn) FROM toks)) / (1.0 + df)) + 1) AS x
       FROM c JOIN vo USING (term)),
     le AS (SELECT ticket_id, sqrt(sum(x * x)) AS len FROM w GROUP BY ticket_id)
     SELECT ticket_id, idx, term, round(x / len, 6) AS x FROM w JOIN le USING (ticket_id)"""
@@ -107,7 +107,7 @@ def _message_tokens(x: Tables):
     return x.msg().select("sn", "t", "id", tokens.alias("tokens"))
 
 
-def _ticket_parts(x: Tables, log, days: int = 5):
+def _ticket_parts(x: Tables, log, days: int = 40):
     return joins.lookback_join(x.ticket(), log, days=days, keep_empty=False)
 
 
@@ -116,7 +116,7 @@ def tfidf_features_of_tickets(x: Tables):
     """Vocabulary and idf from the machine corpora, applied to the look-back of each ticket."""
     log = _message_tokens(x)
     machines = corpus.term_counts(log, "sn", "tokens", (1, 2), ["t", "id"])
-    model = corpus.tfidf_fit(machines, "sn", 200)
+    model = corpus.tfidf_fit(machines, log.select("sn").distinct(), 800)
     tickets = corpus.term_counts(_ticket_parts(x, log), "ticket_id", "tokens", (1, 2), ["t", "id"])
     return rounded(corpus.tfidf_transform(tickets, model, "ticket_id"), ["x"])
 
@@ -125,7 +125,7 @@ def tfidf_features_of_tickets(x: Tables):
 def svd_features(x: Tables):
     parts = x.docs().select("doc_id", corpus.words(F.col("text")).alias("tokens"))
     counts = corpus.term_counts(parts, "doc_id", "tokens")
-    cells = corpus.tfidf_transform(counts, corpus.tfidf_fit(counts, "doc_id", 400), "doc_id")
+    cells = corpus.tfidf_transform(counts, corpus.tfidf_fit(counts, x.docs(), 400), "doc_id")
     found = vectors.svd_features(cells, "doc_id", "x", 400, 8)
     return found.select("doc_id", *[r6(F.col("vec")[i]).alias(f"svd_{i}") for i in range(8)])
 
@@ -143,7 +143,7 @@ def _word_counts(x: Tables):
 
 def _flat(df, key, columns):
     return df.select(
-        key, *[r6(F.col(c)[i]).alias(f"{c}_{i}") for c in columns for i in (0, 1, DIM - 1)]
+        key, *[r6(F.col(c)[i]).alias(f"{c}_{i}") for c in columns for i in range(DIM)]
     )
 
 
@@ -154,7 +154,7 @@ def _flat(df, key, columns):
     + ", ".join(
         f"round({fn}(z) FILTER (i = {i}), 6) AS {name}_{i}"
         for name, fn in [("mean", "avg"), ("min", "min"), ("max", "max")]
-        for i in (0, 1, DIM - 1)
+        for i in range(DIM)
     )
     + " FROM u GROUP BY sn",
     "ev tok_vec",
@@ -170,7 +170,7 @@ def pool_embeddings(x: Tables):
     u AS (SELECT sn, generate_subscripts(vec, 1) - 1 AS i, w * CAST(unnest(vec) AS DOUBLE) AS z
       FROM (SELECT sn, CAST(k AS VARCHAR) AS word FROM ev) JOIN p USING (word) JOIN tok_vec USING (word))
     SELECT sn, """
-    + ", ".join(f"round(sum(z) FILTER (i = {i}), 6) AS vec_{i}" for i in (0, 1, DIM - 1))
+    + ", ".join(f"round(sum(z) FILTER (i = {i}), 6) AS vec_{i}" for i in range(DIM))
     + " FROM u GROUP BY sn",
     "ev tok_vec",
 )
@@ -222,8 +222,12 @@ def encode_sequences_post(x: Tables):
     """WITH v AS (SELECT CAST(k AS VARCHAR) AS word, row_number() OVER (ORDER BY count(*) DESC, CAST(k AS VARCHAR)) AS id
       FROM ev WHERE k % 3 = 0 GROUP BY k),
     m AS (SELECT id, CASE WHEN CAST(word AS INTEGER) % 2 = 0 THEN vec END AS vec FROM v JOIN tok_vec USING (word) WHERE id <= 40)
-    SELECT s.id AS id, CASE WHEN m.id IS NULL THEN 0.0::DOUBLE WHEN vec IS NULL THEN 1.0::DOUBLE ELSE round(CAST(vec[1] AS DOUBLE), 6) END AS vec_0
-    FROM (SELECT unnest(range(41)) AS id) s LEFT JOIN m ON s.id = m.id""",
+    SELECT s.id AS id, """
+    + ", ".join(
+        f"CASE WHEN m.id IS NULL THEN 0.0::DOUBLE WHEN vec IS NULL THEN 1.0::DOUBLE ELSE round(CAST(vec[{i + 1}] AS DOUBLE), 6) END AS vec_{i}"
+        for i in range(DIM)
+    )
+    + """ FROM (SELECT unnest(range(41)) AS id) s LEFT JOIN m ON s.id = m.id""",
     "ev tok_vec",
 )
 def embedding_matrix(x: Tables):
@@ -231,7 +235,7 @@ def embedding_matrix(x: Tables):
     vocabulary = corpus.fit_vocabulary(words, "tokens")
     known = x.tok_vec().where("cast(word as int) % 2 = 0")
     matrix = vectors.embedding_matrix(vocabulary, known, DIM, 40)
-    return matrix.select("id", r6(F.col("vec")[0]).alias("vec_0"))
+    return matrix.select("id", *[r6(F.col("vec")[i]).alias(f"vec_{i}") for i in range(DIM)])
 
 
 @query(

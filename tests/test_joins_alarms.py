@@ -165,3 +165,11 @@ def test_memory_table_from_raw_logs(spark):
     assert (a.ke_120m_max, b.ke_120m_max, b.sel_120m_max, c.ke_120m_max) == (1, 2, 1, 0)
     assert (a.hours_to_failure, b.hours_to_failure, c.hours_to_failure) == (0.1, 4 / 60, None)
     assert (a.month, a.global_day) == (1, 0)
+
+
+def test_counts_at_anchors_make_no_pairs(spark):
+    logs = spark.createDataFrame([(1, t, "ab"[t % 2]) for t in range(0, 2000, 7)] + [(None, 5, "a")], "sn bigint, t bigint, cat string")
+    anchors = spark.createDataFrame([(10, 1, 500), (11, 1, 0), (12, 1, 5000), (13, 2, 7), (14, None, 6), (15, 1, None)], "ticket_id bigint, sn bigint, fault_t bigint")
+    found = {r.ticket_id: (r.n_a, r.n_b) for r in joins.lookback_histogram(logs, anchors, 100, "cat", ["a", "b"]).collect()}
+    inside = [t for t in range(0, 2000, 7) if 400 <= t <= 500]
+    assert found == {10: (sum(t % 2 == 0 for t in inside), sum(t % 2 == 1 for t in inside)), 11: (1, 0), 12: (0, 0), 13: (0, 0), 14: (1, 0), 15: (0, 0)}

@@ -133,3 +133,38 @@ def test_report_of_empty_column(spark, missing):
     df = spark.createDataFrame([(1.0, m) for m in missing] or [(1.0, 2.0)], "a double, b double")
     report = {r.feature: r for r in dictionary.feature_report(df, ["a", "b"]).collect()}
     assert report["b"].missing == len(missing)
+
+
+def test_whole_numbers_that_are_one_double_are_two_values(spark):
+    from fleetlog.operators import dictionary
+
+    df = spark.createDataFrame([(2**53,), (2**53 + 1,), (None,)], "n bigint")
+    assert dictionary.feature_report(df, ["n"]).first().uniques == 3
+
+
+def test_hex_beyond_64_bits_is_null(spark):
+    from fleetlog.functions import logtext
+
+    df = spark.createDataFrame([("0xff",), ("f" * 16,), ("1" + "0" * 16,), ("0" * 20 + "a",), ("xyz",)], "h string")
+    found = [r[0] for r in df.select(logtext.hex_value(F.col("h"))).collect()]
+    assert [None if v is None else int(v) for v in found] == [255, 2**64 - 1, None, 10, None]
+
+
+def test_rows_without_a_score_are_left_out(spark):
+    from fleetlog.operators import evaluate
+
+    known = [(0.9, 1), (0.8, 0), (0.7, 1), (0.1, 0)]
+    df = spark.createDataFrame([*known, (None, 1), (float("nan"), 0)], "s double, y int")
+    clean = spark.createDataFrame(known, "s double, y int")
+    for f in (evaluate.pr_auc, evaluate.roc_auc):
+        assert f(df, "s", "y").collect() == f(clean, "s", "y").collect()
+
+
+def test_ids_with_a_common_beginning_fall_in_many_chunks(spark):
+    from fleetlog.operators import scan
+
+    df = spark.createDataFrame([(f"server_{i}",) for i in range(1000)], "sn string")
+    chunked = scan.by_quantile(df, "sn")
+    assert chunked.select(scan.CHUNK).distinct().count() > 40
+    order = [r.sn for r in chunked.orderBy(scan.CHUNK, "sn").collect()]
+    assert order == sorted(order)
