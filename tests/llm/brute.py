@@ -35,7 +35,7 @@ def messy_docs(spark, base=()):
         (8, "Short\x0btext", "de", "b", 10),
         (9, long_text, "en", "a", len(long_text)),
         (10, "12345 67890 !!! ...", None, "c", 19),
-        (11, "é" * 50 + " ünïcödé \U0001f600 text   end", "fr", "c", 70),
+        (11, "é" * 50 + " ünïcödé \U0001f600 text   end", "fr", "c", 70),
         (None, "no id here at all but text", "en", "a", 26),
         (None, "no id here at all but text", "en", "a", 26),
         (None, None, None, None, None),
