@@ -25,6 +25,33 @@ def masked_message_counts(x: Tables):
     return templates.masked_counts(x.msg(), rules=[("[0-9]+", "NUM")])
 
 
+_MINED = r"""WITH m AS (SELECT masked, count(*) AS n FROM (SELECT regexp_replace(msg, '[0-9]+', '<:NUM:>', 'g') AS masked FROM msg) GROUP BY masked),
+    k AS (SELECT masked, n, list_filter(regexp_split_to_array(trim(translate(masked, '_|', '  ')), '\s+'), lambda w: w <> '') AS tokens FROM m),
+    g AS (SELECT *, concat_ws(' ', CAST(len(tokens) AS VARCHAR), array_to_string(list_transform(tokens[1:2],
+      lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ')) AS grp FROM k),
+    c AS (SELECT grp, i, count(DISTINCT w) AS kinds FROM (SELECT grp, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM g) GROUP BY grp, i),
+    h AS (SELECT grp, count(*) AS texts, max(len(tokens)) AS width FROM g GROUP BY grp),
+    v AS (SELECT grp, i, row_number() OVER (PARTITION BY grp ORDER BY kinds DESC, i) AS r, width FROM c JOIN h USING (grp)
+      WHERE kinds > greatest(1, texts * 0.3)),
+    p AS (SELECT grp, list(i) AS places FROM v WHERE r <= floor((1 - 0.6::DOUBLE) * width) GROUP BY grp),
+    f AS (SELECT grp, n, masked, array_to_string(list_transform(tokens, lambda w, i: CASE WHEN list_contains(coalesce(places, []), i) THEN '<*>' ELSE w END), ' ') AS template
+      FROM g LEFT JOIN p USING (grp))
+    """
+
+
+@query(_MINED + "SELECT template, CAST(sum(n) AS BIGINT) AS size FROM f GROUP BY grp, template", "msg")
+def mine_templates_plain(x: Tables):
+    return templates.mine_templates(x.msg(), rules=[("[0-9]+", "NUM")]).select("template", "size")
+
+
+@query(_MINED + "SELECT id, template FROM msg JOIN f ON regexp_replace(msg, '[0-9]+', '<:NUM:>', 'g') = f.masked", "msg")
+def assign_template_plain(x: Tables):
+    rules = [("[0-9]+", "NUM")]
+    mined = templates.mine_templates(x.msg(), rules=rules)
+    tagged = templates.assign_template(x.msg().select("id", "msg"), mined, rules=rules)
+    return tagged.join(mined.select("template_id", "template"), "template_id").select("id", "template")
+
+
 @query()
 def assign_template(x: Tables):
     log = x.msg()
