@@ -280,13 +280,15 @@ def nodes_and_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = rows.where("n > 0").groupBy("node").agg(F.min(_first_id()).alias("first"), F.max("n").alias("n"), F.max("regs").alias("regs"))
     # the number is fixed by the write; nothing depends on which it is but which node is a centre
     nodes = stored(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    bands = batches_to_rows(nodes.select("nid", "regs"), "nid long, key long", _band_rows)
+    bands = stored(batches_to_rows(nodes.select("nid", "regs"), "nid long, key long", _band_rows), "bands")
     centres = bands.groupBy("key").agg(F.min("nid").alias("centre"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = stored(bands.join(centres, "key"), "bands")
+    shared = stored(bands.join(centres, "key"), "shared")
     wanted = shared.select("nid").distinct().join(nodes.select("nid", "first"), "nid")
     sets = stored(_sets(docs, wanted, doc_id, text), "sets")
     stars = shared.where("nid <> centre").select(F.col("centre").alias("a"), F.col("nid").alias("b")).distinct()
-    links = stored(_checked(_promising(stars, nodes), sets), "links")
+    # one Python step a stage: each keeps its own workers in an executor's memory
+    stars = stored(_promising(stars, nodes), "stars")
+    links = stored(_checked(stars, sets), "links")
     roots = components(links)
 
     labelled = shared.select("key", "nid", "held").join(roots, F.col("nid") == F.col("node"), "left").select(
@@ -296,7 +298,8 @@ def nodes_and_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     split = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     open_rows = labelled.join(split, "key").join(nodes.select("nid", "n", "regs"), "nid")
     open_rows = open_rows.select("key", "nid", "root", "n", "regs", F.ceil(F.col("held") / BLOCK_NODES).cast("long").alias("blocks"))
-    more = stored(_checked(_across(open_rows), sets), "links")
+    across = stored(_across(open_rows), "across")
+    more = stored(_checked(across, sets), "links")
     return rows, nodes, components(links.unionByName(more))
 
 

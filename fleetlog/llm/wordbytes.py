@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text worked on at once. Longer single texts are taken alone, whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = np.zeros(256, bool)
