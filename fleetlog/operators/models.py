@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlog.functions.encode import failure_target, sample_weight
-from fleetlog.operators.evaluate import best_f1_threshold
+from fleetlog.operators.evaluate import f1_over_thresholds
 from fleetlog.operators.vectors import scale_features
+from fleetlog.session import stored
 
 # The probability a row needs to be recalled.
 RECALL_THRESHOLD = 0.0183195
@@ -160,8 +161,12 @@ def multilabel_time_model(
     train: Column,
     iterations: int = 50,
     n_thresholds: int = 512,
+    valid: Column | None = None,
 ) -> tuple[DataFrame, list[float]]:
-    """One probability per time label over scaled features, and the best threshold of each."""
+    """One probability per time label over scaled features, and the best threshold of each.
+
+    Thresholds are chosen on the ``valid`` rows only (all rows if not given).
+    """
     scaled = assemble(scale_features(df, features, train), features)
     used = scaled.where(train).persist(StorageLevel.MEMORY_AND_DISK)
     rows, outs = scaled, []
@@ -184,11 +189,15 @@ def multilabel_time_model(
     used.unpersist()
     scored = rows.select(*[c for c in df.columns if c not in features], *outs)
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    thresholds = [
-        best_f1_threshold(scored, p, y, 0.0, 0.9, n_thresholds).first()["best_threshold"]
-        for p, y in zip(outs, labels)
-    ]
-    return scored, thresholds
+    judged = scored if valid is None else scored.where(valid)
+    # all labels in one pass: long rows of (label, score, truth)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(p).alias("p"), F.col(y).cast("int").alias("y")) for i, (p, y) in enumerate(zip(outs, labels))])
+    long = judged.select(F.explode(cells).alias("_c")).select("_c.*").withColumnRenamed("i", "_label")
+    table = f1_over_thresholds(long, "p", "y", 0.0, 0.9, n_thresholds, ["_label"]).where("f1 > 0")
+    best = table.groupBy("_label").agg(F.min_by("threshold", F.struct(-F.col("f1"), "threshold")).alias("t")).collect()
+    found = {r["_label"]: r["t"] for r in best}
+    scored.unpersist()
+    return scored, [found.get(i, 0.0) for i in range(len(labels))]
 
 
 def fault_classifier(
@@ -205,7 +214,7 @@ def fault_classifier(
     rows = assemble(df, features).withColumns(
         {"_y": F.col(label).cast("double"), "_w": sample_weight(F.col(label))}
     )
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = stored(rows, "classifier-rows")
     parts = []
     for i in range(folds):
         model = RandomForestClassifier(

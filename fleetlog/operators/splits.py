@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlog.operators import scan
@@ -77,15 +77,41 @@ def kfold_contiguous(df: DataFrame, key: str, k: int = 5) -> DataFrame:
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """All rows of a machine in one fold; machines are dealt out by size, back and forth."""
+    """All rows of a machine in one fold; the next largest machine goes to the lightest fold.
+
+    Machines of one size are interchangeable, so only the number of them that each fold gets is
+    worked out on the driver, one step a distinct size (at most the root of twice the rows). Within
+    a size machines go to the folds in the order of their ids. Rows without a machine are one machine.
+    """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    # Place among machines of the same size, plus the number of larger machines.
-    within = scan.ordinal(scan.by_quantile(sizes, group), ["_size"], [group], "_place")
-    larger = Window.orderBy(F.col("_size").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    steps = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("_m"))
-    steps = steps.select("_size", F.coalesce(F.sum("_m").over(larger), F.lit(0)).alias("_larger"))
-    at = F.col("_place") + F.col("_larger")
-    turn, seat = F.floor(at / k), at % k
-    fold = F.when(turn % 2 == 0, seat).otherwise(k - 1 - seat)
-    folds = within.join(steps, "_size").select(group, fold.cast("long").alias("fold"))
-    return df.join(folds, group)
+    steps = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("_m")).collect()
+    dealt = _deal(sorted(((r["_size"], r["_m"]) for r in steps), reverse=True), k)
+    ends = df.sparkSession.createDataFrame(dealt, "_of long, _ends array<long>")
+    placed = scan.ordinal(scan.by_quantile(sizes, group), ["_size"], [group], "_place")
+    fold = F.size(F.filter("_ends", lambda e: e <= F.col("_place")))
+    folds = placed.join(ends, F.col("_size") == F.col("_of")).select(F.col(group).alias("_group"), fold.cast("long").alias("fold"))
+    return df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def _deal(steps: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[int]]]:
+    """For machines of each size, largest first: how many the folds up to each one get.
+
+    A fold with load L gets its machines at loads L, L + size, ...; the m lowest of these over all
+    folds are taken, ties to the first fold.
+    """
+    loads, out = [0] * k, []
+    for size, m in steps:
+        def upto(level):
+            return [max(0, (level - load) // size + 1) for load in loads]
+
+        low, high = min(loads) - 1, max(loads) + m * size
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if sum(upto(middle)) <= m else (low, middle - 1)
+        counts = upto(low)
+        for f in range(k):
+            if sum(counts) < m and (low + 1 - loads[f]) % size == 0 and loads[f] <= low + 1:
+                counts[f] += 1
+        loads = [load + n * size for load, n in zip(loads, counts)]
+        out.append((size, [sum(counts[: f + 1]) for f in range(k)]))
+    return out

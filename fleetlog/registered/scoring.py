@@ -47,9 +47,16 @@ def kfold_contiguous(x: Tables):
 
 
 @query(
-    """WITH g AS (SELECT sn, row_number() OVER (ORDER BY count(*) DESC, sn) - 1 AS r FROM ev GROUP BY sn)
-    SELECT id, sn, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM ev JOIN g USING (sn)""",
-    "ev",
+    """WITH RECURSIVE ev AS (SELECT event_id AS id, user_id AS sn FROM events),
+    g AS (SELECT sn, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, sn) AS r,
+      row_number() OVER (PARTITION BY count(*) ORDER BY sn) - 1 AS place FROM ev GROUP BY sn),
+    s AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS n, 0 AS f, [0, 0, 0, 0, 0]::BIGINT[] AS loads
+      UNION ALL SELECT g.r, g.n, list_position(loads, list_min(loads)),
+        list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END)
+      FROM s JOIN g ON g.r = s.r + 1),
+    c AS (SELECT n, f, count(*) AS m FROM s WHERE r > 0 GROUP BY n, f),
+    e AS (SELECT n, f - 1 AS fold, sum(m) OVER (PARTITION BY n ORDER BY f) - m AS lo, sum(m) OVER (PARTITION BY n ORDER BY f) AS hi FROM c)
+    SELECT id, ev.sn AS sn, CAST(e.fold AS BIGINT) AS fold FROM ev JOIN g USING (sn) JOIN e ON e.n = g.n AND place >= lo AND place < hi""",
 )
 def group_kfold(x: Tables):
     return splits.group_kfold(x.ev().select("id", "sn"), "sn", 5)
@@ -107,14 +114,14 @@ def fault_time_judgement(x: Tables):
 @query()
 def multilabel_time_model(x: Tables):
     minutes = F.col("days_to_failure") * 1440
-    labels = threshold_labels(minutes, classes=3, first=1440, gap=2880)
+    labels = threshold_labels(minutes, classes=10, first=1440, gap=2880)
     rows = _model_rows(x).withColumn("_l", labels)
-    names = [f"class_{i}" for i in range(3)]
+    names = [f"class_{i}" for i in range(10)]
     rows = rows.withColumns({n: F.col("_l")[i] for i, n in enumerate(names)}).drop("_l")
-    scored, thresholds = models.multilabel_time_model(rows, FEATURES, names, F.col("day") < 20, 10)
+    scored, thresholds = models.multilabel_time_model(rows, FEATURES, names, F.col("day") < 20, 10, valid=F.col("day") >= 20)
     return scored.select(
         "id",
-        *[r6(f"proba_{i}").alias(f"proba_{i}") for i in range(3)],
+        *[r6(f"proba_{i}").alias(f"proba_{i}") for i in range(10)],
         *[F.when(F.col(f"proba_{i}") >= th, 1).otherwise(0).alias(f"pred_{i}") for i, th in enumerate(thresholds)],
     )
 

@@ -168,3 +168,24 @@ def test_ids_with_a_common_beginning_fall_in_many_chunks(spark):
     assert chunked.select(scan.CHUNK).distinct().count() > 40
     order = [r.sn for r in chunked.orderBy(scan.CHUNK, "sn").collect()]
     assert order == sorted(order)
+
+
+def test_machines_go_to_the_lightest_fold(spark):
+    from collections import Counter
+
+    from fleetlog.operators import splits
+
+    rows_of = {"big": 1000, None: 70, **{f"m{i}": 10 for i in range(29)}}
+    df = spark.createDataFrame([(m,) for m, n in rows_of.items() for _ in range(n)], "sn string")
+    folded = splits.group_kfold(df, "sn", 5).collect()
+    where = {}
+    for r in folded:
+        assert where.setdefault(r.sn, r.fold) == r.fold
+    assert sorted(Counter(r.fold for r in folded).values()) == [90, 90, 90, 90, 1000]
+    loads = [0] * 3
+    for size, m in [(50, 1), (20, 7), (3, 100)]:
+        for _ in range(m):
+            loads[loads.index(min(loads))] += size
+    dealt = splits._deal([(50, 1), (20, 7), (3, 100)], 3)
+    got = [sum(size * (e[f] - (e[f - 1] if f else 0)) for size, e in dealt) for f in range(3)]
+    assert got == loads
