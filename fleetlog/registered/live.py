@@ -1,4 +1,5 @@
-"""Streaming jobs, run over everything available."""
+"""Streaming jobs over history that is released week by week: several micro-batches, a watermark
+of minutes, and state that is dropped behind it."""
 
 from __future__ import annotations
 
@@ -12,11 +13,27 @@ from fleetlog.sources import logs
 from fleetlog.streaming import jobs
 
 
+WEEK_US = 7 * 86_400 * 1_000_000
+DELAY = "10 minutes"
+
+
 def _events(x: Tables):
-    """The event log as a stream, with the batch view's columns."""
+    """The event log as a stream, with the batch view's columns; and what releases its next week."""
     raw = x.table("events")
-    stream = jobs.events_stream(x.spark, x.dir, raw.schema, "events.parquet")
-    return stream.select(
+    live = shared_dir(x.spark, "live")
+    raw.limit(0).write.parquet(live)
+    week = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / WEEK_US)
+    ends = raw.agg(F.min(week).alias("lo"), F.max(week).alias("hi")).first()
+    weeks = iter(range(ends.lo, ends.hi + 1) if ends.lo is not None else ())
+
+    def release() -> bool:
+        piece = next(weeks, None)
+        if piece is None:
+            return False
+        raw.where(week == piece).write.mode("append").parquet(live)
+        return True
+
+    stream = jobs.events_stream(x.spark, live, raw.schema).select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("sn"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -24,6 +41,7 @@ def _events(x: Tables):
         F.col("event_type").alias("cat"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
+    return stream, release
 
 
 @query("SELECT id, sn, t, cat FROM ev", "ev")
@@ -40,8 +58,8 @@ def minute_replay_source(x: Tables):
     "ev",
 )
 def stream_minute_batches(x: Tables):
-    stream = jobs.minute_batches(_events(x), "cat", delay="40 days")
-    return jobs.run_to_table(stream, ["minute_end", "cat"], "update")
+    events, release = _events(x)
+    return jobs.run_to_table(jobs.minute_batches(events, "cat", delay=DELAY), ["minute_end", "cat"], "update", release)
 
 
 @query(
@@ -53,9 +71,8 @@ def stream_minute_batches(x: Tables):
 )
 def stream_bin_features(x: Tables):
     amounts = {"n": F.lit(1), "k_sum": F.col("k")}
-    panes = jobs.run_to_table(
-        jobs.bin_features(_events(x), amounts, delay="40 days"), ["sn", "edge"], "update"
-    )
+    events, release = _events(x)
+    panes = jobs.run_to_table(jobs.bin_features(events, amounts, delay=DELAY), ["sn", "edge"], "update", release)
     sums = trailing.trailing_sums(panes, [120], {"n": F.col("n")}, time="edge")
     return panes.join(sums, ["sn", "edge"])
 
@@ -68,4 +85,5 @@ def stream_bin_features(x: Tables):
     SELECT sn, t FROM kept"""
 )
 def stream_alarm_cooldown(x: Tables):
-    return jobs.run_to_table(jobs.alarm_cooldown_stream(_events(x)), ["sn"], "append")
+    events, release = _events(x)
+    return jobs.run_to_table(jobs.alarm_cooldown_stream(events), ["sn"], "append", release)
