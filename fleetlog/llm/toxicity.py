@@ -62,11 +62,11 @@ def features(words: Words) -> np.ndarray:
     """Token x feature: hashed buckets of spelling, beginnings and end; bucket 0 stands for none."""
     start, end, data = words.start, words.end, words.data
     length = end - start
-    out = np.zeros((len(start), 2 + len(BEGINNINGS)), np.int64)
+    out = np.zeros((len(start), 2 + len(BEGINNINGS)), np.int32)
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
 
     def bucket(code: np.ndarray, kind: int) -> np.ndarray:
-        return (mix(code + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - BITS)).astype(np.int64) | 1
+        return (mix(code + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - BITS)).astype(np.int32) | 1
 
     out[:, 0] = bucket(words.hash, 1)
     code = np.zeros(len(start), np.uint64)
