@@ -14,8 +14,9 @@ Work in steps, each written to the shared folder:
 2. Every node gives one key for each band. Of a key with several nodes each is compared with one
    centre, the smallest; what passes estimate and check is a link; links make components.
 3. Keys whose nodes are still in different components are compared in full, but only across
-   components and only sketch with sketch, in blocks of at most ``BLOCK_NODES`` nodes: what passes
-   the estimate is checked, once, in the first band the two nodes share. So nothing is left out
+   components and only sketch with sketch, in blocks of at most ``BLOCK_NODES`` nodes. What passes
+   the estimate, in the first band that two nodes share, is checked in the same group, to which
+   the full sets of just these nodes come; pairs never become rows. So nothing is left out
    but pairs whose link does not show in any band: with 32 bands of 4, five in a million
    at similarity 0.75, fewer above.
 
@@ -199,7 +200,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFra
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs across components within each key, by their sketches.
+    """Nodes with their promising partners across components within each key, by their sketches.
 
     Rows (key, nid, root, n, regs, blocks): a node goes into one of ``blocks`` blocks of its key;
     each pair of blocks is a group, so a group has at most about twice ``BLOCK_NODES`` nodes.
@@ -208,6 +209,11 @@ def _across(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), (F.col("p") > F.col("q")).alias("second"), "nid", "root", "n", "regs")
 
+    return _by_group(rows, "key long, lo long, hi long, nid long, root long, partners array<long>", _pairs_across)
+
+
+def _by_group(rows: DataFrame, schema: str, work) -> DataFrame:
+    """Run ``work`` on whole groups (key, lo, hi), as many at once as a batch holds."""
     together = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "nid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +225,12 @@ def _across(rows: DataFrame) -> DataFrame:
             group = _groups(part)
             last = int(np.flatnonzero(group == group[-1])[0])  # may go on in the next batch
             if last:
-                yield _pairs_across(part.slice(0, last), group[:last])
+                yield work(part.slice(0, last), group[:last])
             held = part.slice(last)
         if held is not None and held.num_rows:
-            yield _pairs_across(held, _groups(held))
+            yield work(held, _groups(held))
 
-    return together.mapInArrow(run, "a long, b long")
+    return together.mapInArrow(run, schema)
 
 
 def _groups(rows: pa.Table) -> np.ndarray:
@@ -235,7 +241,9 @@ def _groups(rows: pa.Table) -> np.ndarray:
 
 
 def _pairs_across(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-    """Pairs of whole groups that are in different components and whose estimate is high enough.
+    """Pairs that are in different components and whose estimate is high enough.
+
+    One row a node that is in such a pair, with its partners; no row a pair.
 
     All groups at once: step d compares every row with the d-th row after it, as long as both are in
     one group, so the number of steps is the size of the largest group.
@@ -268,10 +276,53 @@ def _pairs_across(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         near = REGISTERS - larger - smaller >= (LEAST_ESTIMATE - 0.1) * REGISTERS
         i, j, larger, smaller = i[near], j[near], larger[near], smaller[near]
         high = estimate(size[i], size[j], larger, smaller) >= LEAST_ESTIMATE
-        out_a.append(nid[i[high]])
-        out_b.append(nid[j[high]])
-    none = [np.zeros(0, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none), pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
+        out_a.append(i[high])
+        out_b.append(j[high])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (out_a, out_b))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    used = np.unique(np.concatenate([a, b]))
+    ends = np.searchsorted(a, used, side="right")
+    partners = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(nid[b], pa.int64()))
+    columns = [rows[c].to_numpy()[used] for c in ("key", "lo", "hi", "nid", "root")]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), partners], names=["key", "lo", "hi", "nid", "root", "partners"])
+
+
+def _links_across(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+    """Links among the pairs of whole groups; none between nodes that links of the group join already."""
+    out_a, out_b = [], []
+    members, partners = rows["members"].combine_chunks(), rows["partners"].combine_chunks()
+    nid, root = rows["nid"].to_numpy(), rows["root"].to_numpy()
+    for part in np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1):
+        at = {int(nid[k]): k for k in part}
+        parent = {int(root[k]): int(root[k]) for k in part}
+
+        def find(x: int, parent: dict = parent) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        sets: dict[int, np.ndarray] = {}
+
+        def full(k: int, sets: dict = sets) -> np.ndarray:
+            if k not in sets:
+                sets[k] = np.frombuffer(members[int(k)].as_buffer(), "<u8")
+            return sets[k]
+
+        for k in part:
+            for other in partners[int(k)].as_py():
+                j = at[other]
+                x, y = find(int(root[k])), find(int(root[j]))
+                if x != y and linked(full(k), full(j)):
+                    parent[x] = y
+                    out_a.append(int(nid[k]))
+                    out_b.append(other)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
+
+
+def _linked_across(found: DataFrame, sets: DataFrame) -> DataFrame:
+    with_sets = found.join(sets.select(F.col("nid").alias("of"), "members"), F.col("nid") == F.col("of")).drop("of")
+    return _by_group(with_sets, "a long, b long", _links_across)
 
 
 def nodes_and_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -299,7 +350,7 @@ def nodes_and_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     open_rows = labelled.join(split, "key").join(nodes.select("nid", "n", "regs"), "nid")
     open_rows = open_rows.select("key", "nid", "root", "n", "regs", F.ceil(F.col("held") / BLOCK_NODES).cast("long").alias("blocks"))
     across = stored(_across(open_rows), "across")
-    more = stored(_checked(across, sets), "links")
+    more = stored(_linked_across(across, sets), "links")
     return rows, nodes, components(links.unionByName(more))
 
 
