@@ -86,6 +86,11 @@ def bag(text: str, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     return index, (counts[index] / max(1.0, counts.sum())).astype(np.float32)
 
 
+def has_letter(text: str, data: np.ndarray) -> bool:
+    """A Unicode letter anywhere; only texts without an ASCII letter are looked at by character."""
+    return bool((data < 0x80)[data != 0x20].any()) or any(c.isalpha() for c in text)
+
+
 def _folded(text: str) -> np.ndarray:
     return _FOLD[np.frombuffer(b" " + text.encode("utf-8", "surrogatepass") + b" ", np.uint8)]
 
@@ -144,7 +149,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     for text in texts:
         data = _folded(text or "")
         total, count = np.zeros(len(model.languages)), 0
-        if model.languages and (data != 0x20).any():
+        if model.languages and has_letter(text or "", data):
             parts = list(_slices(data))
             for i, part in enumerate(parts):
                 for b in _buckets(part, i == len(parts) - 1, bits):

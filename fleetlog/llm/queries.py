@@ -211,3 +211,22 @@ SELECT conv_id, side, turn, role, segment, start, start + length(segment) AS sto
     CASE WHEN side <> 'prompt' AND role = 'assistant' THEN start + length(segment) END AS loss_end
 FROM spans
 """
+
+
+ORACLE["op3_near_copies"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY x, y)
+    JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), reached AS (
+    SELECT doc_id, doc_id AS low FROM words UNION SELECT y, low FROM reached JOIN links ON x = doc_id
+)
+SELECT words.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, low AS component_id, words.doc_id = low AS kept
+FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(low) AS low FROM reached GROUP BY doc_id) USING (doc_id)
+"""

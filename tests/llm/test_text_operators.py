@@ -144,7 +144,8 @@ def test_language_learns_and_rejects():
     names, sure, rejected = language.predict(model, [t for t, _ in rows[240:]])
     assert np.mean([a == y for a, (_, y) in zip(names, rows[240:], strict=True)]) > 0.97
     assert all(0 <= s <= 1 for s in sure) and np.mean(rejected) < 0.03
-    assert language.predict(model, [None, "", "12 34 !?", " "]) == (["und"] * 4, [0.0] * 4, [True] * 4)
+    assert language.predict(model, [None, "", "12 34 !?", " ", "\u2014 \u2026 \U0001f600 5"]) == (["und"] * 5, [0.0] * 5, [True] * 5)
+    assert "und" not in language.predict(model, ["a", "\u00e9", "\u2026\u0436"])[0]
     assert language.predict(language.train([], []), ["text"]) == (["und"], [0.0], [True])
 
 
