@@ -49,6 +49,7 @@ BASE, RATE = 1.001, 20.0
 #: Estimates from here on are checked; 0.75 is nearly four standard deviations above.
 LEAST_ESTIMATE = 0.65
 BLOCK_NODES = 1024
+JUDGED_AT_ONCE = 100_000
 
 _A = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) + np.uint64(1 << 40)) >> np.uint64(32)).astype(np.uint32)
@@ -253,9 +254,19 @@ def _pairs_across(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
     regs = _registers(rows["regs"].combine_chunks() if isinstance(rows["regs"], pa.ChunkedArray) else rows["regs"])
     keys, key = _keys(regs), rows["key"].to_numpy()
     here = (keys == key[:, None]).argmax(1)  # the band that made the key
-    out_a, out_b = [], []
+    out_a, out_b, near_pairs = [], [], []
+
+    def judge() -> None:
+        """Estimates of many pairs at once."""
+        if near_pairs:
+            i, j, larger, smaller = (np.concatenate(x) for x in zip(*near_pairs, strict=True))
+            high = estimate(size[i], size[j], larger, smaller) >= LEAST_ESTIMATE
+            out_a.append(i[high])
+            out_b.append(j[high])
+            near_pairs.clear()
+
     at = np.arange(len(nid))
-    step = 0
+    step = held = 0
     while True:
         step += 1
         at = at[at + step < len(nid)]
@@ -274,10 +285,12 @@ def _pairs_across(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         i, j = i[first], j[first]
         larger, smaller = (regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1)
         near = REGISTERS - larger - smaller >= (LEAST_ESTIMATE - 0.1) * REGISTERS
-        i, j, larger, smaller = i[near], j[near], larger[near], smaller[near]
-        high = estimate(size[i], size[j], larger, smaller) >= LEAST_ESTIMATE
-        out_a.append(i[high])
-        out_b.append(j[high])
+        near_pairs.append((i[near], j[near], larger[near], smaller[near]))
+        held += int(near.sum())
+        if held > JUDGED_AT_ONCE:
+            judge()
+            held = 0
+    judge()
     a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (out_a, out_b))
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
