@@ -17,7 +17,7 @@ nothing depends on how candidates are distributed.
 
 Defined cases: vectors that are missing, or hold a missing or non-finite number, take no part,
 nor do rows without an id. Shorter vectors count as filled up with 0. Rows that repeat an id are candidates (and queries) of
-their own, but a query's own id is never its result, and each (query id, candidate id) is returned once, with its best score.
+their own and fill places of their own, as in the SQL, but a query's own id is never its result. A query id has one list of k rows.
 Numbers too large for exact double products are multiplied as Python integers; a score beyond 64 bits is cut to the range.
 """
 
@@ -142,8 +142,7 @@ def _every(blocks: int, name: str) -> Column:
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    # at most k rows of each block of candidates for each query
+    # at most k rows of each block of candidates for each row of a query; repeated rows stay, so that blocks that gave k have k here
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

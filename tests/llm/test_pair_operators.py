@@ -157,6 +157,22 @@ def test_topk_against_brute_force(spark, monkeypatch, blocks):
     assert got == best_by_hand(rows)
 
 
+@pytest.mark.parametrize("blocks", [(1024, 4096), (2, 5)])
+def test_topk_counts_repeated_rows(spark, monkeypatch, blocks):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks[1])
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(1, 60)] + [(0, [1.0, 1.0, 1.0, 1.0]), (100, [1.0, -1.0, 0.0, 2.0]), (100, [1.0, -1.0, 0.0, 2.0]), (200, [0.0, 0.0, 1.0, 0.0])]
+    rows += [(301, [9.0, 9.0, 9.0, 9.0])] * 3 + [(301, [2.0, 2.0, 2.0, 2.0])] + [(302, [8.0, -8.0, 8.0, 8.0])] * 12  # best of query 0 and more than k of queries 100 and 200
+    want = []
+    for q in (0, 100, 200):
+        pairs = [(-sum(int(1024 * x) * int(1024 * y) for x, y in zip(v, w)), c) for i, v in rows if i == q for c, w in rows if c != q]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(sorted(pairs)[:10], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("id") % 100 == 0).collect())
+    assert got == want
+
+
 def test_topk_of_few_large_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1e5, 2e5]), (1, [3e5, -1e5]), (2, [1e5, 1e5])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("id") % 100 == 0).orderBy("rank").collect()]
