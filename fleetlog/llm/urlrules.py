@@ -9,16 +9,16 @@ The tree of a host has one node for each sequence of path segments:
    (``*.html``). At a node whose other children are many and mostly seen once they are wildcards, too.
 2. *Similar branches merge.* Two children of a node are one branch if the shares of the shapes below them differ by
    at most ``MERGE_DISTANCE`` (half the sum of absolute differences) or by what their counts leave to chance, and if their labels do not
-   contradict each other: a branch that is mostly blocked never merges with one that is mostly allowed, nor
-   one with labels with one without. Each joins the
-   most frequent similar one, so merging costs comparisons with as many leaders as there are kinds.
+   contradict each other: a branch that is mostly blocked never merges with one that is mostly allowed. A branch
+   without labels joins one with labels if it is similar below; where nothing lies below there is nothing to
+   compare, and it stays. It joins an allowed branch rather than a blocked one. Leaders are taken in rounds until no branches are left to compare.
 3. *Templates are judged by smoothed labelled purity.* A template is rejected if the blocked share of its
    labelled pages, smoothed towards the share of all labelled pages, reaches ``LEAST_PURITY``. Its
    pages without a rule are then blocked; all other pages are allowed.
 
 Segments deeper than ``LEVELS`` are one segment of the tree's last level, spelled by their shape, so no
-path is cut off and the number of passes is fixed. Every level is two partial counts and a
-join; hot hosts are keys of partial counts only.
+path is cut off. Every level is two partial counts and a join, and a few small passes
+for each round of leaders; hot hosts are keys of partial counts only.
 
 Defined cases: a missing url, or one without ``://``, has an empty host and path and is allowed
 unless a rule says otherwise (none can). An empty path is a template of its own.
@@ -111,24 +111,44 @@ def templates(shapes: DataFrame, levels: int = LEVELS) -> DataFrame:
 def _leaders(rows: DataFrame, above: list[str]) -> DataFrame:
     """For branches that merge: the node (l_...), the branch (l_branch) and the one it joins.
 
-    Only branches whose most frequent shape below is the same are compared, each with the most frequent
-    branch of that kind; so every branch is in one comparison.
+    Only branches whose most frequent shape below is the same are compared. In a round every such group has one
+    leader (allowed before blocked before unlabelled, then the most frequent); the similar ones join it and the others go on to the
+    next round, so a branch is compared with as many leaders as its group has kinds.
     """
     node = [*above, "branch"]
     counts = rows.where(F.col("branch").isNotNull()).groupBy(*node, "below").agg(*[F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")])
+    counts = stored(counts, "branches")
     kinds = counts.groupBy(*node).agg(
         *[F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")],
         F.max(F.struct("pages", "below"))["below"].alias("main"),
     )
     labelled = F.col("blocked") + F.col("allowed")
-    side = F.when(labelled == 0, "none").when(2 * F.col("blocked") >= labelled, "blocked").otherwise("allowed")
-    kinds = kinds.withColumn("side", side)
-    heads = kinds.groupBy(*above, "main", "side").agg(F.max(F.struct("pages", "branch")).alias("head"))
-    group = [*above, "main", "side"]
-    heads = heads.select(*[F.col(c).alias(f"h_{c}") for c in group], F.col("head.branch").alias("leader"), F.col("head.pages").alias("head_pages"))
-    at = [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in group]
-    compared = kinds.join(heads, reduce(Column.__and__, at)).where(F.col("branch") != F.col("leader"))
-    compared = compared.select(*[F.col(c).alias(f"l_{c}") for c in node], "leader", F.col("pages").alias("own"), "head_pages")
+    side = F.when(labelled == 0, 0).when(2 * F.col("blocked") >= labelled, 1).otherwise(2)  # the order of leaders
+    left = kinds.select(*node, "main", "pages", side.alias("side"))
+    group = [*above, "main"]
+    none = left.select(*[F.col(c).alias(f"l_{c}") for c in node], F.col("branch").alias("leader")).limit(0)
+    joined = [none]
+    while True:
+        heads = left.groupBy(*group).agg(F.max(F.struct("side", "pages", "branch")).alias("head"), F.count(F.lit(1)).alias("members"))
+        heads = heads.where(F.col("members") > 1).select(*[F.col(c).alias(f"h_{c}") for c in group], "head")
+        at = [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in group]
+        left = stored(left.join(heads, reduce(Column.__and__, at)).where(F.col("branch") != F.col("head.branch")).select(*left.columns, "head"), "branches")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, joined)
+        # two unlabelled or two of one side; an unlabelled one and a labelled one only by what lies below
+        mixed = (F.col("side") == 0) & (F.col("main") != "")
+        near = stored(_near(left.where((F.col("side") == F.col("head.side")) | mixed), counts, above), "branches")
+        joined.append(near)
+        gone = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in node]
+        left = left.join(near, reduce(Column.__and__, gone), "left_anti").drop("head")
+
+
+def _near(compared: DataFrame, counts: DataFrame, above: list[str]) -> DataFrame:
+    """Of the branches with a head those that are similar to it: the node (l_...), the branch and its leader."""
+    node = [*above, "branch"]
+    compared = compared.select(
+        *[F.col(c).alias(f"l_{c}") for c in node], F.col("head.branch").alias("leader"), F.col("pages").alias("own"), F.col("head.pages").alias("head_pages")
+    )
     # distance of the two distributions of shapes: 1 - sum of the smaller shares
     mine = counts.join(compared, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in node])).select(
         *[F.col(f"l_{c}") for c in node], "leader", "own", "head_pages", "below", "pages"

@@ -290,6 +290,27 @@ def test_tree_generalises_and_merges(spark):
     assert deep.path.startswith("/a/b/c/d/e") and deep.verdict == "allow"
 
 
+def test_purity_of_merged_branches_decides(spark):
+    pages = lambda branch, below, n: [f"http://h.example.com/{branch}/{below.format(i)}" for i in range(n)]
+    urls = pages("de", "shop/{}.html", 40)  # blocked by a rule
+    urls += pages("nl", "shop/{}.html", 30)  # no rule, the same pages
+    urls += pages("docs", "guide/{}", 50) + pages("help", "guide/{}", 20)  # no rule, others
+    urls += ["http://h.example.com/about"]
+    mixed = lambda n: [f"http://h.example.com/{n}/{x}/{i}" for x, k in (("a", 60), ("b", 40)) for i in range(k)]
+    far = [f"http://h.example.com/w/{x}/{i}" for x, k in (("a", 95), ("c", 5)) for i in range(k)]
+    far2 = [f"http://h.example.com/v/{x}/{i}" for x, k in (("a", 90), ("c", 5)) for i in range(k)]
+    urls += mixed("u") + [f"{u}1" for u in mixed("u")] + far + far2
+    rows = urlrules.judge(url_rows(spark, urls))[0].select("url", "rule", "template", "verdict").collect()
+    verdict = {}
+    for r in rows:
+        verdict.setdefault(r.url.split("/")[3], set()).add(r.verdict)
+    assert verdict["de"] == verdict["nl"] == {"block"}
+    assert all(v == {"allow"} for k, v in verdict.items() if k not in ("de", "nl"))
+    # v is far from u, the first leader of its kind, and joins w
+    top = lambda k: {r.template.split("/")[1] for r in rows if r.url.split("/")[3] == k}
+    assert top("v") == top("w") != top("u")
+
+
 # ---- preference pairs
 
 
