@@ -26,7 +26,8 @@ from fleetlog.llm.base import append, fresh, stored
 from fleetlog.llm.wordbytes import ALNUM_WORDS, runs, window_hashes, words_of
 
 WIDTH = 13
-BLOCK_CHARS = 64_000_000
+#: Windows take about 115 bytes a character in Python (words of five letters), in the driver and in every worker.
+BLOCK_CHARS = 1_000_000
 #: Contaminated: this many times the hit words reach the number of words.
 RULE = 20
 

@@ -1,6 +1,7 @@
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -56,6 +57,17 @@ def test_decontamination_against_brute_force():
         assert (n, len(h), f) == contamination(text, items)
 
 
+@pytest.mark.parametrize("letters", [1, 5])
+def test_a_block_of_windows_fits_a_worker(letters):
+    rng = random.Random(letters)
+    items = [(i, " ".join("".join(rng.choices("abcdefghij", k=letters)) for _ in range(100))) for i in range(500)]
+    tracemalloc.start()
+    decontaminate.Windows(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / sum(len(t) for _, t in items) * decontaminate.BLOCK_CHARS < 500e6
+
+
 @pytest.mark.parametrize("block", [64_000_000, 120])
 def test_decontamination_on_messy_rows_in_one_and_many_blocks(spark, block):
     docs = messy_docs(spark)
