@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.llm import decontaminate, language, mixing, preference, secrets, setsketch, tokens, topk, toxicity, urlrules
+from fleetlog.llm import decontaminate, language, middle, mixing, preference, secrets, setsketch, tokens, topk, toxicity, urlrules, whiten, winnow
 from fleetlog.llm.base import held_out, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +230,65 @@ links AS (
 SELECT words.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, low AS component_id, words.doc_id = low AS kept
 FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(low) AS low FROM reached GROUP BY doc_id) USING (doc_id)
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whiten.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    shares = F.array(*[F.lit(float(v / model.trace)) for v in model.values]).cast("array<double>")
+    return rows.select(
+        "vec_id",
+        "component",
+        F.lit(model.n).cast("long").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened",
+        F.get(shares, F.col("component") - 1).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+@query
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut, names = middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col(names["output"]), F.col(names["form"])
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select(
+        "doc_id",
+        *[F.col(names[c]).alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        sha(output).alias("output_sha256"),
+        sha(middle.restored(output, form)).alias("restored_sha256"),
+    )
+
+
+ORACLE["op12_middle"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), g AS (
+    SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS p, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS q,
+        CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS share, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS turn FROM d
+), f AS (
+    SELECT *, least(p, q) AS a, greatest(p, q) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR share >= 90 THEN 'plain'
+            WHEN turn < 20 THEN 'spm' ELSE 'psm' END AS form FROM g
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t
+        WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+        ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM f
+"""
+
+
+@query
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = winnow.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pairs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnow.spelled(F.col("packed")).alias("fingerprint"),
+        winnow.spelled(F.col("edited_packed")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
