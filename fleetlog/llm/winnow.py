@@ -6,12 +6,13 @@ share a fingerprint, wherever the passage lies, and passages below ``k`` are nev
 
 How it is done without running state: the text is laid out as four bytes a code point, so that
 any k-gram is found in constant time. A hash and its position are one long number (hash in the upper 32 bits,
-distance from the end of the number range below), whose minimum is the least hash and, of equal ones,
-the rightmost. Hashes lie in blocks of half a window. A window holds a whole block next to
-any of its places, so a place can only be kept if it is not above the least of its own and both neighbouring blocks
-(about two places a block are left); among these it is kept if the next smaller ones to both
-sides are more than a window apart. That is the same set that sliding over all windows gives. Blocks are
-worked on in pieces of a fixed number, so memory beyond text and result does not grow with the text.
+distance from the end of the number range below), whose minimum is the least hash and, of equal ones, the rightmost. Hashes lie in blocks of
+half a window, and a window holds a whole block next to any of its places. So only hashes in the lowest quarter can
+be kept, unless a block has none: then all of it and of its neighbours. And a place can only be
+kept if it is not above the least of its own and both neighbouring blocks (about two places a block are left);
+among these it is kept if the next smaller ones to both sides are more than a window apart. That is the
+same set that sliding over all windows gives. Blocks are worked on in pieces of a fixed number, so memory
+beyond text and result does not grow with the text.
 
 Defined cases: a missing text is empty and has no fingerprint. A text below ``k`` code points is one k-gram;
 one with fewer hashes than a window is one window. The likeness of two empty fingerprints is 1.
@@ -35,6 +36,8 @@ CHUNK_CHARS = 16_000_000
 MOST_CHUNKS = 1 << 16
 
 _LOW = (1 << 32) - 1
+#: A quarter of all 64-bit hashes lie below.
+LOW_HASH = -(1 << 62)
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,16 +47,15 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def place(key: Column) -> Column:
     """Zero-based position of a packed fingerprint's k-gram."""
-    return F.lit(_LOW) - key.bitwiseAND(F.lit(_LOW))
+    return F.shiftright(F.lit(_LOW) - key.bitwiseAND(F.lit(_LOW)), 2)
 
 
 def grams(text: Column, k: int = K, window: int = WINDOW, piece: int = PIECE) -> Column:
     """The kept k-grams in order of their positions, packed as array<bigint>."""
     half = (window + 1) // 2
 
-    def key(codes: Column, i: Column) -> Column:
-        top = F.xxhash64(F.substring(codes, i * 4 + 1, F.lit(4 * k))).bitwiseAND(F.lit(-1 - _LOW))
-        return top + (F.lit(_LOW) - i)
+    def hashed(codes: Column, byte: Column) -> Column:
+        return F.xxhash64(F.substring(codes, byte, F.lit(4 * k)))
 
     def open_window(c: Column, near: Column, n: Column) -> Column:
         """Some window around a place has no smaller one."""
@@ -70,12 +72,23 @@ def grams(text: Column, k: int = K, window: int = WINDOW, piece: int = PIECE) ->
     def of_piece(codes: Column, n: Column, p: Column) -> Column:
         last = F.floor((n - 1) / half).cast("int")
         first = F.greatest(p * piece - 3, F.lit(0))
-        blocks = F.transform(
-            F.sequence(first, F.least(p * piece + piece + 2, last)),
-            lambda b: F.transform(F.sequence(b * half, F.least(b * half + half, n) - 1), lambda i: key(codes, i)),
-        )
+        # one-based bytes at which the k-grams of a block begin
+        bytes_of = lambda b: F.sequence(b * (4 * half) + 1, F.least(b * half + half, n) * 4 - 3, F.lit(4))
+        ids = F.sequence(first, F.least(p * piece + piece + 2, last))
+        low = F.transform(ids, lambda b: F.filter(bytes_of(b), lambda i: hashed(codes, i) < LOW_HASH))
         own = F.sequence(p * piece - first, F.least(p * piece + piece - 1, last) - first)
 
+        def keyed(low: Column) -> Column:
+            """Next to a block without a low hash a whole block may count, elsewhere only low hashes can."""
+            bare = lambda j: F.coalesce(F.size(F.get(low, j)) == 0, F.lit(False))
+            return F.transform(
+                ids,
+                lambda b, j: F.transform(
+                    F.when(bare(j - 1) | bare(j) | bare(j + 1), bytes_of(b)).otherwise(F.get(low, j)),
+                    lambda i: hashed(codes, i).bitwiseAND(F.lit(-1 - _LOW)) + (F.lit(_LOW) - i),
+                ),
+            )
+
         def few(blocks: Column) -> Column:
             least = F.transform(blocks, F.array_min)
             return _bound(
@@ -90,7 +103,7 @@ def grams(text: Column, k: int = K, window: int = WINDOW, piece: int = PIECE) ->
             around = lambda j: F.flatten(F.slice(some, F.greatest(j - 1, F.lit(1)), F.lit(4) + F.least(j - 1, F.lit(1))))
             return F.flatten(F.transform(own, lambda j: _bound(around(j), lambda near: F.filter(F.get(some, j), lambda c: open_window(c, near, n)))))
 
-        return _bound(_bound(blocks, few), kept)
+        return _bound(_bound(_bound(low, keyed), few), kept)
 
     def of_codes(codes: Column) -> Column:
         n = F.greatest((F.length(codes) / 4).cast("int") - k + 1, F.lit(1))
