@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,8 @@ from fleetlog.llm.wordbytes import SPACE_WORDS, runs, words_of
 BLOCK_IDS = 1 << 20
 SHARD_CHARS = 128_000_000
 END_ID = 1
+#: A pair has to occur so often in a block; rarer ones save less than wider symbols cost (README).
 LEAST_COUNT = 32
-MOST_ROUNDS = 5
 #: Words whose ids a task remembers; the memory is emptied when full.
 REMEMBERED = 1_500_000
 _MAGIC = b"RPID"
@@ -86,9 +87,39 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """What is known of words: their hashes in order, and where their ids lie in ``flat``."""
-        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        """What is known of words: their hashes, where their ids lie in ``flat``, and a table from hash to word.
+
+        Word 0 is the end of a text. The table is open: a word stands in the first free cell from that of
+        its hash on, and there are at least two cells a word.
+        """
+        self.count, self.used = 1, 1
+        self.hashes, self.begin, self.size = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int32)
+        self.flat = np.zeros(1 << 14, np.uint32)
+        self.bits = 13
+        self.cells = np.full(1 << self.bits, -1, np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The word of each hash, or -1."""
+        mask, found = (1 << self.bits) - 1, np.full(len(hashes), -1, np.int64)
+        asked = np.arange(len(hashes))
+        cell = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(asked):
+            word = self.cells[cell]
+            same = (word >= 0) & (self.hashes[word] == hashes[asked])
+            found[asked[same]] = word[same]
+            on = (word >= 0) & ~same
+            asked, cell = asked[on], (cell[on] + 1) & mask
+        return found
+
+    def _put(self, words: np.ndarray) -> None:
+        """Words that are not in the table yet, each in a cell of its own."""
+        mask = (1 << self.bits) - 1
+        cell = (self.hashes[words] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(words):
+            free = self.cells[cell] < 0
+            self.cells[cell[free]] = words[free]
+            on = self.cells[cell] != words  # taken before, or by another of these words
+            words, cell = words[on], (cell[on] + 1) & mask
 
     def _learn(self, hashes: np.ndarray, spelled: list[bytes]) -> None:
         words = [b.decode("utf-8", "replace") for b in spelled]
@@ -100,12 +131,20 @@ class Encoder:
             for w, p in zip(words, plain, strict=True)
         ]
         size = np.array([len(x) for x in lists], np.int64)
-        begin = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.array([i for x in lists for i in x], np.uint32)])
-        hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        n, ids = self.count + len(hashes), self.used + int(size.sum())
+        while len(self.hashes) < n:
+            self.hashes, self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.begin, self.size))
+        while len(self.flat) < ids:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        new = slice(self.count, n)
+        self.hashes[new], self.size[new], self.begin[new] = hashes, size, self.used + np.cumsum(size) - size
+        self.flat[self.used : ids] = np.fromiter((i for x in lists for i in x), np.uint32, ids - self.used)
+        fresh = np.arange(self.count, n, dtype=np.int32)
+        self.count, self.used = n, ids
+        if 2 * n > len(self.cells):
+            self.bits = (2 * n - 1).bit_length()
+            self.cells, fresh = np.full(1 << self.bits, -1, np.int32), np.arange(1, n, dtype=np.int32)
+        self._put(fresh)
 
     def _check(self) -> None:
         probe = "Two words, l'Été 12.5%; don't “stop”.\n  a_b <|x|> Straße…"
@@ -124,26 +163,21 @@ class Encoder:
         special = any(t and "<|" in t for t in texts)  # such strings are ids of their own only as they are written
         words = words_of(texts, SPACE_WORDS, lower=not special, apart=b"" if special else b".,;:!?")
         codes, uniques = pd.factorize(words.hash)
-        if len(self.hashes) > REMEMBERED:
+        if self.count > REMEMBERED:
             self._forget()
-        place = np.searchsorted(self.hashes, uniques)
-        missing = np.ones(len(uniques), bool)
-        if len(self.hashes):
-            missing = self.hashes[np.minimum(place, len(self.hashes) - 1)] != uniques
+        self.flat[0] = end_id
+        place = self._find(uniques)
+        missing = place < 0
         if missing.any():
             where = np.empty(len(uniques), np.int64)
             where[codes] = np.arange(len(codes))
+            place[missing] = np.arange(self.count, self.count + int(missing.sum()))
             self._learn(uniques[missing], [words.data[words.start[k] : words.end[k]].tobytes() for k in where[missing]])
-            place = np.searchsorted(self.hashes, uniques)
-        # the end of a text is one more word, with a code of its own
-        size = np.append(self.size[place], 1)
-        begin = np.append(self.begin[place], len(self.flat))
-        flat = np.append(self.flat, np.uint32(end_id))
-        sequence = np.insert(codes, words.first[1:], len(uniques))
-        lengths = size[sequence]
-        out_at = np.cumsum(lengths) - lengths
-        ids = flat[np.repeat(begin[sequence] - out_at, lengths) + np.arange(lengths.sum())]
-        bounds = np.concatenate([[0], np.cumsum(lengths)[words.first[1:] + np.arange(len(texts))]])
+        sequence = np.insert(place[codes], words.first[1:], 0)
+        lengths = self.size[sequence].astype(np.int64)
+        upto = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.begin[sequence] - (upto - lengths), lengths) + np.arange(lengths.sum())]
+        bounds = np.concatenate([[0], upto[words.first[1:] + np.arange(len(texts))]])
         return ids, bounds
 
 
@@ -175,7 +209,7 @@ def _ranks(pair: np.ndarray, common: np.ndarray, turn: int, bits: int = 18) -> n
     return rank
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_COUNT, rounds: int = MOST_ROUNDS) -> bytes:
+def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_COUNT) -> bytes:
     """One record from the ids of some documents (``bounds``: where each begins, and the end)."""
     base = max(base, int(ids.max()) + 1 if len(ids) else 0)
     seq = ids.astype(np.uint32)
@@ -183,7 +217,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
     end[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
     left, right, size = [], [], [np.ones(base, np.int64)]
     made = 0
-    for turn in range(rounds):
+    for turn in count():
         wide = base + made > 1 << 16
         pair = seq[:-1].astype(np.uint64 if wide else np.uint32)
         pair <<= pair.dtype.type(32 if wide else 16)
