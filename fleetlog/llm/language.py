@@ -5,6 +5,13 @@ lower-cased, everything else one kind of border). The average goes through a lin
 layers are trained together by stochastic gradient descent in NumPy. As the model is linear,
 ``embedding @ output`` is one table from bucket to class scores, which is all that tasks need.
 
+Probabilities are calibrated on rows that did not train: the temperature is the one at which the mean
+probability of the predicted language is the (smoothed) share of rightly predicted rows, so rows that are
+all right do not make it certain. A text is rejected if that probability is low, or if it does not look like its language at
+all: the mean log frequency of its n-grams in the language lies further below the language's mean than
+texts of its length do. Both limits are quantiles of the held-back rows: each loses at most ``REJECT_SHARE`` of the rightly
+predicted ones.
+
 Fitting uses a bounded sample (``SAMPLE_ROWS`` rows of at most ``SAMPLE_CHARS`` characters);
 scoring reads every whole text.
 
@@ -30,10 +37,10 @@ BUCKET_BITS = 16
 DIMENSIONS = 16
 EPOCHS = 6
 RATE = 0.5
-#: At most this share of the rightly predicted calibration rows may be rejected.
+#: At most this share of the rightly predicted calibration rows may be rejected, by either limit.
 REJECT_SHARE = 0.001
-#: A text whose best class has at least this probability is never rejected.
-SURE = 0.5
+#: How much beyond the strangest of them a text has to be, and the fewest of them that say anything.
+MARGIN, LEAST_ROWS = 1.25, 20
 UNKNOWN = "und"
 
 _LETTERS = ALNUM_WORDS.copy()
@@ -44,10 +51,18 @@ _FOLD = np.where(_LETTERS, LOWER, 0x20).astype(np.uint8)
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # bucket x language
+    scores: np.ndarray  # bucket x (a score, then a log frequency, for each language)
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: mean log frequency of each language's texts; variance of texts, and of n-grams, around it; the limit
+    usual: np.ndarray
+    spread: tuple[float, float]
+    strange: float
+
+    def strangeness(self, familiar: np.ndarray, count: int) -> np.ndarray:
+        """How far below its language's mean a text of so many n-grams lies, in deviations."""
+        return (self.usual - familiar) / np.sqrt(self.spread[0] + self.spread[1] / count)
 
 
 def _slices(data: np.ndarray, size: int = CHUNK_BYTES):
@@ -99,7 +114,7 @@ def train(texts: list[str], labels: list[str], bits: int = BUCKET_BITS, seed: in
     """Fit on the driver. A fifth of the rows sets temperature and threshold, not the weights."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(0), (1.0, 0.0), np.inf)
     y = np.array([languages.index(x) for x in labels])
     bags = [bag(t, bits) for t in texts]
     rng = np.random.default_rng(seed)
@@ -122,14 +137,45 @@ def train(texts: list[str], labels: list[str], bits: int = BUCKET_BITS, seed: in
         # a step on the average moves each of its n-grams by its share; rescaled to a unit step
         embed[index] -= rate * np.outer(share / max(1e-9, float(share @ share)) * 0.05, back)
     scores = embed @ out
+    seen = np.zeros((1 << bits, len(languages)))
+    for i in inner:
+        index, share = bags[i]
+        seen[index, y[i]] += share
+    # a bucket without a sighting counts as a small part of an even one
+    log_frequency = np.log((seen + 0.01 * seen.sum(0) / len(seen)) / (1.01 * seen.sum(0)).clip(1e-12) + 1e-12)
     check = outer if len(outer) else inner
     raw = np.array([bags[i][1] @ scores[bags[i][0]] + bias for i in check])
-    temperature = min(np.geomspace(0.02, 5, 60), key=lambda t: -_log_likelihood(raw / t, y[check]))
-    sure = np.array([_softmax(r / temperature) for r in raw])
-    right = sure.argmax(1) == y[check]
-    best = sure.max(1)[right]
-    threshold = min(SURE, float(np.quantile(best, REJECT_SHARE, method="lower"))) if len(best) else 0.0
-    return Model(languages, scores.astype(np.float32), bias.astype(np.float64), float(temperature), threshold)
+    right = raw.argmax(1) == y[check]
+    temperature = _temperature(raw, (right.sum() + 0.5) / (len(right) + 1))
+    best = np.array([_softmax(r / temperature) for r in raw]).max(1)[right]
+    familiar = np.array([bags[i][1] @ log_frequency[bags[i][0], y[i]] for i in check])
+    count = np.array([max(1, _grams(texts[i])) for i in check])
+    usual = np.array([familiar[y[check] == j].mean() if (y[check] == j).any() else familiar.mean() for j in range(len(languages))])
+    off = (usual[y[check]] - familiar) ** 2
+    # squared distance = variance of texts + variance of n-grams / their number, neither below zero
+    design = np.stack([np.ones(len(off)), 1 / count], 1) * np.sqrt(count)[:, None]
+    spread = np.linalg.lstsq(design, off * np.sqrt(count), rcond=None)[0].clip(1e-6)
+    model = Model(languages, np.concatenate([scores, log_frequency], 1).astype(np.float32), bias.astype(np.float64), temperature, 0.0, usual, tuple(spread.tolist()), np.inf)
+    if right.sum() >= LEAST_ROWS:
+        model.threshold = float(np.quantile(best, REJECT_SHARE, method="lower")) / MARGIN
+        strange = [model.strangeness(f, n)[j] for f, n, j in zip(familiar[right], count[right], y[check][right], strict=True)]
+        model.strange = max(1.0, float(np.quantile(strange, 1 - REJECT_SHARE, method="higher"))) * MARGIN
+    return model
+
+
+def _temperature(raw: np.ndarray, goal: float) -> float:
+    """The temperature at which the mean probability of the best class is ``goal``; the mean falls as it grows."""
+    low, high = 1e-4, 1e4
+    for _ in range(60):
+        middle = (low * high) ** 0.5
+        e = np.exp((raw - raw.max(1, keepdims=True)) / middle)
+        low, high = (middle, high) if (1 / e.sum(1)).mean() > goal else (low, middle)
+    return (low * high) ** 0.5
+
+
+def _grams(text: str) -> int:
+    """Number of n-grams of a text."""
+    return sum(len(b) for b in _buckets(_folded(text), True, 16))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -137,18 +183,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def _log_likelihood(raw: np.ndarray, y: np.ndarray) -> float:
-    shifted = raw - raw.max(1, keepdims=True)
-    return float((shifted[np.arange(len(y)), y] - np.log(np.exp(shifted).sum(1))).sum())
-
-
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
     """Language, calibrated probability and rejection of whole texts."""
     bits = int(len(model.scores)).bit_length() - 1
     names, sure, rejected = [], [], []
     for text in texts:
         data = _folded(text or "")
-        total, count = np.zeros(len(model.languages)), 0
+        total, count = np.zeros(model.scores.shape[1]), 0
         if model.languages and has_letter(text or "", data):
             parts = list(_slices(data))
             for i, part in enumerate(parts):
@@ -160,11 +201,12 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
         if not count:
             names.append(UNKNOWN), sure.append(0.0), rejected.append(True)
             continue
-        p = _softmax((total / count + model.bias) / model.temperature)
+        mean, k = total / count, len(model.languages)
+        p = _softmax((mean[:k] + model.bias) / model.temperature)
         best = int(p.argmax())
         names.append(model.languages[best])
         sure.append(float(p[best]))
-        rejected.append(bool(p[best] < model.threshold))
+        rejected.append(bool(p[best] < model.threshold or model.strangeness(mean[k:], count)[best] > model.strange))
     return names, sure, rejected
 
 

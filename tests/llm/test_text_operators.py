@@ -161,6 +161,41 @@ def test_language_learns_and_rejects():
     assert language.predict(language.train([], []), ["text"]) == (["und"], [0.0], [True])
 
 
+def invented(seed, n=1500):
+    """Texts of 3 to 200 invented words in four languages, each with its own syllables."""
+    rng = random.Random(seed)
+    alphabets = {"aa": ("ptkmn", "aeiou"), "bb": ("bdgrl", "aeoäö"), "cc": ("szfvh", "iuéèa"), "dd": ("cqjñl", "aoióú")}
+    syllables = {k: [random.Random(k + c + v).choice(["", "n", "s", "r"]) and c + v + "n" or c + v for c in cs for v in vs] for k, (cs, vs) in alphabets.items()}
+    word = lambda k: "".join(rng.choices(syllables[k], k=rng.randint(1, 4)))
+    return [(" ".join(word(k) for _ in range(rng.randint(3, 200))), k) for _ in range(n // 4) for k in alphabets]
+
+
+def test_language_rejects_what_it_has_not_seen():
+    rows = invented(1)
+    model = language.train(*zip(*rows, strict=True))
+    clean = invented(2, 800)
+    names, sure, rejected = language.predict(model, [t for t, _ in clean])
+    assert [y for _, y in clean] == names and np.mean(rejected) <= 0.01
+    rng = random.Random(3)
+    say = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n))
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыьэюя", "的一是不了人我在有他这中大来上国个到说们", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"):
+        for n in (10, 60, 400):
+            assert np.mean(language.predict(model, [say(letters, n) for _ in range(100)])[2]) >= 0.95
+    shuffled = ["".join(rng.sample(t, len(t))) for t, _ in clean if len(t) > 200]
+    assert np.mean(language.predict(model, shuffled)[2]) >= 0.95
+
+
+def test_probabilities_are_calibrated():
+    rng = random.Random(5)
+    # a fifth of the labels are wrong, so no text can be surer than that
+    rows = [(t, y if rng.random() < 0.8 else rng.choice(["aa", "bb", "cc", "dd"])) for t, y in invented(4)]
+    model = language.train(*zip(*rows, strict=True))
+    held = [(t, y if rng.random() < 0.8 else rng.choice(["aa", "bb", "cc", "dd"])) for t, y in invented(6, 800)]
+    names, sure, _ = language.predict(model, [t for t, _ in held])
+    assert abs(np.mean(sure) - np.mean([a == y for a, (_, y) in zip(names, held, strict=True)])) < 0.05
+    assert 1e-3 < model.temperature < 1e3
+
+
 def test_language_of_a_long_text_does_not_depend_on_slices(monkeypatch):
     rows = corpora()
     model = language.train([t for t, _ in rows], [y for _, y in rows])
@@ -290,6 +325,29 @@ def test_grammar_is_lossless_and_opens_anywhere(docs, least):
         assert block.ids(k, len(d) // 3, 2 * len(d) // 3).tolist() == d[len(d) // 3 : 2 * len(d) // 3]
 
 
+def test_replacing_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(0)
+    passage = rng.integers(2, 40_000, 300)
+    documents = [np.r_[rng.integers(2, 40_000, 50), passage, 1] for _ in range(60)]
+    ids = np.concatenate(documents).astype(np.uint32)
+    bounds = np.r_[0, np.cumsum([len(d) for d in documents])]
+    block = tokens.Block(tokens.compress(ids, bounds, 50_000))
+    assert np.array_equal(block.all_ids(), ids)
+    assert block.size.max() == 300 or block.size.max() > 128  # far beyond what five rounds could join
+    assert len(block.seq) < 60 * (50 + 1 + 6)
+
+
+def test_known_words_are_found_at_any_size():
+    encoder = tokens.Encoder(tokenizer_path())
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdeéß-.,", k=rng.randint(1, 7))) for _ in range(300)) for _ in range(60)]
+    for t in [*texts, *texts]:
+        ids, bounds = encoder.encode([t])
+        assert ids.tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+    found = encoder._find(encoder.hashes[1 : encoder.count])
+    assert found.tolist() == list(range(1, encoder.count)) and encoder.count > 5000
+
+
 def test_frequent_pairs_are_replaced():
     ids = np.tile(np.array([1, 2, 3, 4], np.uint32), 1000)
     block = tokens.Block(tokens.compress(ids, np.array([0, 4000]), 10))
