@@ -178,7 +178,7 @@ def sums_at_anchors(
     rows = probes.unionByName(events, allowMissingColumns=True)
     spread, part = trailing.chunked(rows, by, "_t", seconds)
     order = Window.partitionBy(*part).orderBy("_t")
-    sums = [trailing.window_sum(o, seconds, order, True).alias(o) for o in outs]
+    sums = [trailing.window_sum(o, seconds, order).alias(o) for o in outs]
     found = trailing.at_home(spread.select("_anchor", "_home", "_chunk", *sums)).where("_anchor is not null")
     untimed = anchors.where(F.col(anchor_time).isNull()).select(*anchors.columns, *zero)
     return found.select("_anchor.*", *outs).unionByName(untimed)
@@ -238,94 +238,3 @@ def lookback_histogram(
     """Events per known category in the same window, one column each."""
     amounts = {f"n_{v}": F.when(F.col(category) == v, 1).otherwise(0) for v in values}
     return sums_at_anchors(logs, anchors, seconds, amounts, **how)
-
-
-def lookback_quantile(
-    logs: DataFrame,
-    tickets: DataFrame,
-    value: str,
-    quantiles: dict[str, float],
-    days: float = 40,
-    ticket_id: str = "ticket_id",
-    **how,
-) -> DataFrame:
-    """Quantiles (linear interpolation) of a log column per ticket, null without logs."""
-    found = lookback_join(tickets, logs, days, ticket_id=ticket_id, keep_empty=False, **how)
-    # The value ranges are taken from the log, which is cheaper than running the join for them.
-    points = scan.cut_points(logs.select(value).distinct(), {"k": scan.order_key(logs, value)})["k"]
-    found = scan.group_quantiles(found, [ticket_id], value, quantiles, points=points)
-    return tickets.join(found, ticket_id, "left")
-
-
-def lookback_time_stats(
-    logs: DataFrame,
-    tickets: DataFrame,
-    days: float = 40,
-    by: Sequence[str] = ("sn",),
-    fault_time: str = "fault_t",
-    time: str = "t",
-    ticket_id: str = "ticket_id",
-) -> DataFrame:
-    """min, max, population std, range, mean and median of log gaps and of log time / fault time.
-
-    Logs are counted per second first: the gaps inside a second are zeros with a weight, and the
-    longest list a ticket can have is the seconds of its look-back.
-    """
-    found = lookback_join(
-        tickets.select(*by, ticket_id, fault_time),
-        logs.select(*by, time),
-        days,
-        by,
-        fault_time,
-        time,
-        ticket_id,
-        keep_empty=False,
-    )
-    # At most one row per second of the look-back from here on, whatever the log volume.
-    seconds = found.groupBy(ticket_id, fault_time, time).agg(F.count(F.lit(1)).alias("_n"))
-    previous = F.lag(time).over(Window.partitionBy(ticket_id).orderBy(time))
-    near = seconds.withColumn("_prev", previous)
-    one = F.lit(1).cast("long")
-    kinds = F.array(
-        F.struct(
-            F.lit("rel").alias("_kind"),
-            (F.col(time) / F.col(fault_time)).alias("_x"),
-            F.col("_n").alias("_w"),
-        ),
-        F.struct(F.lit("gap").alias("_kind"), F.lit(0.0).alias("_x"), (F.col("_n") - 1).alias("_w")),
-        F.struct(
-            F.lit("gap").alias("_kind"),
-            (F.col(time) - F.col("_prev")).cast("double").alias("_x"),
-            one.alias("_w"),
-        ),
-    )
-    values = (
-        near.select(ticket_id, F.explode(kinds).alias("_k"))
-        .select(ticket_id, "_k.*")
-        .where("_x is not null and _w > 0")
-    )
-    group = [ticket_id, "_kind"]
-    counted = values.groupBy(*group, "_x").agg(F.sum("_w").alias("_w"))
-    ranked = scan.rank_counts(counted, group, "_x", F.col("_w"), bounded=True)
-    # Ratios lie just below 1: squares are taken around 1, so that nothing cancels out.
-    off = F.col("_x") - F.when(F.col("_kind") == "rel", 1.0).otherwise(0.0)
-    w, total = F.col("_w"), F.sum("_w")
-    drift = F.sum(off * w) / total
-    low, high = F.min("_x"), F.max("_x")
-    stats = ranked.groupBy(*group).agg(
-        low.alias("min"),
-        high.alias("max"),
-        F.sqrt(F.greatest(F.sum(off * off * w) / total - drift * drift, F.lit(0.0))).alias("std"),
-        (high - low).alias("ptp"),
-        (F.sum(F.col("_x") * w) / total).alias("mean"),
-        *scan.quantile_aggregates("_x", "_w", {"median": 0.5}),
-    )
-    names = ["min", "max", "std", "ptp", "mean", "median"]
-    wide = stats.groupBy(ticket_id).agg(
-        *[
-            F.max(F.when(F.col("_kind") == kind, F.col(n))).alias(f"{kind}_{n}")
-            for kind in ("gap", "rel")
-            for n in names
-        ]
-    )
-    return tickets.join(wide, ticket_id, "left")

@@ -11,9 +11,11 @@ Two strategies give the same numbers:
   there after the window function. One shuffle by (machine, chunk); the largest task is a chunk.
 * ``range``: Spark's RANGE frame over the whole machine, without copies; good for an even fleet.
 
-Whole and decimal amounts are differences of two running sums of the chunk, which are exact and cost
-the same however full a window is. Fractional amounts are added up window by window, so nothing
-that has left a window, not even a NaN, stays behind.
+No frame slides: every number comes from running frames, so a row costs the same however full its
+window is. Whole and decimal amounts are differences of two running sums of the chunk, which are
+exact. Fractional amounts and variances take a window apart instead (``at_front``): time is cut into blocks as long
+as the window, so a window is the end of one block and the beginning of the next, each a running aggregate
+of its own block. Nothing that has left a window, not even a NaN, stays behind, and nothing cancels out.
 """
 
 from __future__ import annotations
@@ -77,9 +79,12 @@ def trailing_sums(
     spread, part = chunked(seconds, by, time, reach, strategy, chunk_seconds)
     order = Window.partitionBy(*part).orderBy(time)
     exact = {a: isinstance(seconds.schema[a].dataType, (T.IntegralType, T.DecimalType)) for a in amounts}
-    summed = spread.select("*", *[window_sum(a, w * MINUTE, order, exact[a]).alias(n) for a, w, n in outs])
+    whole = [(a, w, n) for a, w, n in outs if exact[a]]
+    summed = spread.select("*", *[window_sum(a, w * MINUTE, order).alias(n) for a, w, n in whole])
+    for w in windows if len(whole) < len(outs) else []:
+        summed = _block_sums(summed, part, time, w * MINUTE, {a: n for a, v, n in outs if v == w and not exact[a]})
     if change:
-        summed = summed.select("*", *[F.first(n).over(order.rangeBetween(-w * MINUTE, 0)).alias(f"_front_{n}") for _, w, n in outs])
+        summed = summed.select("*", *[at_front(n, time, w * MINUTE, order).alias(f"_front_{n}") for _, w, n in outs])
     changes = [
         F.when(F.col("_first") < F.col(time) - w * MINUTE, F.col(n) - F.col(f"_front_{n}")).otherwise(F.col(n)).alias(f"{n}_change")
         for _, w, n in outs
@@ -87,6 +92,21 @@ def trailing_sums(
     return at_home(summed).select(*by, time, *[n for _, _, n in outs], *(changes if change else []))
 
 
+def at_front(value: str | Column, time: str, seconds: int, order, rows_order=None) -> Column:
+    """The value at the oldest row still in the window: the one behind the last row that has left.
+
+    While no row of the chunk has left, its first one. ``rows_order`` tells rows of one second apart.
+    """
+    one = rows_order if rows_order is not None else order
+    value = F.col(value) if isinstance(value, str) else value
+    follower = F.struct(F.lead(time).over(one).alias("t"), F.lead(value).over(one).alias("v"))
+    # of the rows of a second only the last one has a follower outside
+    follower = F.when(F.lead(time).over(one) != F.col(time), follower)
+    left = F.last(follower, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, -seconds - 1))
+    begin = F.first(F.struct(F.col(time).alias("t"), value.alias("v"))).over(one.rowsBetween(Window.unboundedPreceding, 0))
+    return F.coalesce(left, begin)["v"]
+
+
 def chunked(
     rows: DataFrame,
     by: Sequence[str],
@@ -111,16 +131,41 @@ def at_home(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("_home") == F.col("_chunk"))
 
 
-def window_sum(amount: str, seconds: int, order, exact: bool) -> Column:
-    """Sum over the window that ends at the row; whole and decimal amounts may be ``exact``."""
-    if not exact:
-        return F.sum(amount).over(order.rangeBetween(-seconds, 0))
+def window_sum(amount: str, seconds: int, order) -> Column:
+    """Sum of a whole or decimal amount over the window that ends at the row."""
     upto = order.rangeBetween(Window.unboundedPreceding, 0)
     gone = order.rangeBetween(Window.unboundedPreceding, -seconds - 1)
     known = F.count(amount).over(upto) - F.count(amount).over(gone)
     return F.when(known > 0, F.sum(amount).over(upto) - F.coalesce(F.sum(amount).over(gone), F.lit(0)))
 
 
+def _block_frames(part: Sequence[str], block: str, order: Sequence[str]):
+    """From the beginning of a row's block up to it, and from it to the end, both as running frames."""
+    inside = Window.partitionBy(*part, block)
+    return [
+        inside.orderBy(*way).rowsBetween(Window.unboundedPreceding, 0)
+        for way in (list(order), [F.col(c).desc() for c in order])
+    ]
+
+
+def _block_sums(rows: DataFrame, part: Sequence[str], time: str, seconds: int, sums: Mapping[str, str]) -> DataFrame:
+    """Add sums of any amounts over the window: ``{amount: new column}``, one row a second."""
+    block = f"_block_{seconds}"
+    rows = rows.withColumn(block, F.floor(F.col(time) / (seconds + 1)))
+    up, down = _block_frames(part, block, [time])
+    rows = rows.select(
+        "*", *[F.sum(a).over(f).alias(f"{way}_{n}") for way, f in (("_up", up), ("_down", down)) for a, n in sums.items()]
+    )
+    ends = F.struct(F.col(block).alias("block"), *[F.col(f"_down_{n}").alias(n) for n in sums.values()])
+    rows = rows.withColumn("_front", at_front(ends, time, seconds, Window.partitionBy(*part).orderBy(time)))
+    added = []
+    for n in sums.values():
+        here, there = F.col(f"_up_{n}"), F.col("_front")[n]
+        both = F.coalesce(here + there, here, there)
+        added.append(F.when(F.col("_front")["block"] < F.col(block), both).otherwise(here).alias(n))
+    return rows.select("*", *added).drop("_front", block, *[f"{way}_{n}" for way in ("_up", "_down") for n in sums.values()])
+
+
 def trailing_count(log: DataFrame, windows: Sequence[int], weight: Column | None = None, **how) -> DataFrame:
     """Events, or the sum of their weights, in the past W minutes: ``cnt_<W>m``."""
     return trailing_sums(log, windows, {"cnt": F.lit(1) if weight is None else weight}, **how)
@@ -178,20 +223,46 @@ def trailing_variance(
 ) -> DataFrame:
     """Population variance of the values in the past W minutes: ``var_<W>m``, null without values.
 
-    ``weight`` tells how many log rows a row stands for. Spark's own moments are taken in each
-    window anew: they are stable for values of any size and keep nothing of what has left.
+    ``weight`` tells how many log rows a row stands for, 1 if it is missing or less. Equal values of a second
+    are added up first. In a block the moments grow row by row (West's update: every term is a product of two
+    deviations of one sign, so nothing cancels out); the two parts of a window are merged by their means.
     """
-    rows = log.select(*by, time, F.col(value).cast("double").alias("_x"), *([] if weight is None else [weight.alias("_w")]))
-    if weight is not None:
-        rows = rows.withColumn("_w", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("_w", F.lit(0)), F.lit(1)).cast("int"))))
+    heavy = F.lit(1) if weight is None else F.greatest(F.coalesce(weight, F.lit(0)), F.lit(1))
+    rows = log.select(*by, time, F.col(value).cast("double").alias("_x"), heavy.cast("double").alias("_w"))
+    rows = rows.groupBy(*by, time, "_x").agg(F.sum("_w").alias("_w"))
+    rows = rows.withColumn("_w", F.when(F.col("_x").isNotNull(), F.col("_w")).otherwise(0.0))
     spread, part = chunked(rows, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
+    ways = ("up", "down")
+    for w in windows:
+        spread = spread.withColumn(f"_block_{w}", F.floor(F.col(time) / (w * MINUTE + 1)))
+        for way, frame in zip(ways, _block_frames(part, f"_block_{w}", [time, "_x"]), strict=True):
+            held = F.sum("_w").over(frame)
+            spread = spread.withColumn(f"_{way}_{w}", F.struct(held.alias("n"), (F.sum(F.col("_x") * F.col("_w")).over(frame) / F.when(held > 0, held)).alias("mean")))
+            along = Window.partitionBy(*part, f"_block_{w}").orderBy(*([time, "_x"] if way == "up" else [F.col(time).desc(), F.col("_x").desc()]))
+            mean, before = F.col(f"_{way}_{w}")["mean"], F.lag(F.col(f"_{way}_{w}")["mean"]).over(along)
+            # the first value adds nothing, or what is no number
+            grown = F.coalesce(F.col("_w") * (F.col("_x") - before) * (F.col("_x") - mean), F.col("_x") * 0)
+            spread = spread.withColumn("_grown", grown).withColumn(
+                f"_{way}_{w}",
+                F.struct(F.col(f"_{way}_{w}")["n"].alias("n"), mean.alias("mean"), F.coalesce(F.sum("_grown").over(frame), F.lit(0.0)).alias("m2")),
+            )
     order = Window.partitionBy(*part).orderBy(time)
-    found = spread.select(
-        "*",
-        F.lag(time).over(order).alias("_before"),
-        *[F.var_pop("_x").over(order.rangeBetween(-w * MINUTE, 0)).alias(f"var_{w}m") for w in windows],
-    )
-    return _one_a_second(found, by, time, [f"var_{w}m" for w in windows])
+    single = Window.partitionBy(*part).orderBy(time, "_x")
+    fronts = [at_front(F.struct(F.col(f"_block_{w}").alias("block"), F.col(f"_down_{w}").alias("m")), time, w * MINUTE, order, single).alias(f"_front_{w}") for w in windows]
+    found = spread.select("*", F.lead(time).over(single).alias("_after"), *fronts)
+    # all rows of a second are in the running moments of its last one
+    last = F.col("_after").isNull() | (F.col("_after") != F.col(time))
+    outs = [_variance(F.col(f"_up_{w}"), F.when(F.col(f"_front_{w}")["block"] < F.col(f"_block_{w}"), F.col(f"_front_{w}")["m"])).alias(f"var_{w}m") for w in windows]
+    return at_home(found).where(last).select(*by, time, *outs)
+
+
+def _variance(a: Column, b: Column) -> Column:
+    """Population variance of two parts (n, mean, m2), each of which may be missing or empty."""
+    n = F.coalesce(a["n"], F.lit(0.0)) + F.coalesce(b["n"], F.lit(0.0))
+    apart = F.coalesce(a["mean"] - b["mean"], F.lit(0.0))
+    both = F.when((a["n"] > 0) & (b["n"] > 0), apart * apart * a["n"] * b["n"] / n).otherwise(0.0)
+    m2 = F.coalesce(F.when(a["n"] > 0, a["m2"]), F.lit(0.0)) + F.coalesce(F.when(b["n"] > 0, b["m2"]), F.lit(0.0)) + both
+    return F.when(n > 0, m2 / n)
 
 
 def trailing_bin_sums(

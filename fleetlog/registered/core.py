@@ -126,6 +126,18 @@ class Tables:
             F.col("k").cast("double").alias("pred_min"),
         )
 
+    def shapes(self) -> DataFrame:
+        """Messages of two shapes that only share their first words, with words that vary and no digits."""
+        word = lambda n: F.translate(n.cast("string"), "0123456789", "abcdefghij")
+        a, b = word(F.floor(F.col("k") / 10)), word(F.col("k") % 10)
+        raised = F.concat_ws(" ", F.lit("unit seven"), "cat", F.lit("raised by"), a, F.lit("while"), b, F.lit("asleep"))
+        fan = F.concat_ws(" ", F.lit("unit seven fan speed below"), a, F.lit("limit"), b, F.lit("now"))
+        return self.ev().select("id", "sn", "t", "cat", F.when(F.col("cat").isin("click", "error"), raised).otherwise(fan).alias("msg"))
+
+    def lines(self) -> DataFrame:
+        """Every line of every document as a message."""
+        return self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "msg"))
+
     def docs(self) -> DataFrame:
         return self.table("documents").select("doc_id", "text", "lang")
 
@@ -148,6 +160,12 @@ VIEWS = {
     "ticket": "SELECT id AS ticket_id, sn, t AS fault_t, k % 4 AS label FROM ev WHERE cat = 'signup'",
     "msg": """SELECT id, sn, t, cat, k, upper(cat) || '_' || k || ' | port' || (k % 8) || ' dimm' || (k % 4)
         || ' | 0' || k || ' cpu' || (k % 2) || '_x asserted' AS msg FROM ev""",
+    "shapes": """SELECT id, sn, t, cat, CASE WHEN cat IN ('click', 'error')
+        THEN 'unit seven ' || cat || ' raised by ' || translate(CAST(k // 10 AS VARCHAR), '0123456789', 'abcdefghij')
+          || ' while ' || translate(CAST(k % 10 AS VARCHAR), '0123456789', 'abcdefghij') || ' asleep'
+        ELSE 'unit seven fan speed below ' || translate(CAST(k // 10 AS VARCHAR), '0123456789', 'abcdefghij')
+          || ' limit ' || translate(CAST(k % 10 AS VARCHAR), '0123456789', 'abcdefghij') || ' now' END AS msg FROM ev""",
+    "lines": "SELECT doc_id, unnest(string_split(text, chr(10))) AS msg FROM documents",
     "modules": """SELECT id, sn, k FROM ev WHERE cat = 'purchase'""",
     "code": "SELECT id, k, 'a.b.c.' || lower(hex(k)) AS fault_code FROM ev WHERE cat = 'click'",
     "scored": """SELECT id, sn, t, cat, k, v, failure_t, least(v / 500, 1.0) AS proba,
@@ -165,7 +183,7 @@ VIEWS = {
 }
 _NEEDS = {
     "binned": "ev", "ev_null": "ev", "addr": "binned", "fail": "ev", "ticket": "ev", "msg": "ev",
-    "modules": "ev", "code": "ev", "scored": "ev fail", "norm": "msg", "toks": "norm",
+    "shapes": "ev", "modules": "ev", "code": "ev", "scored": "ev fail", "norm": "msg", "toks": "norm",
 }
 
 
@@ -185,4 +203,7 @@ def with_views(names: str, sql: str) -> str:
         return sql
     views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
     lead = sql.lstrip()
-    return f"WITH {views},\n{lead[5:]}" if lead.startswith("WITH ") else f"WITH {views}\n{lead}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if lead.startswith(start):
+            return f"{start}{views},\n{lead[len(start):]}"
+    return f"WITH {views}\n{lead}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlog.functions.scores import argmax_class as argmax
-from fleetlog.operators import bins, corpus, dictionary, evaluate, joins, vectors
+from fleetlog.operators import bins, corpus, dictionary, evaluate, joins, lookback, vectors
 from fleetlog.registered.core import ORIGIN, Tables, query, r6, rounded
 
 
@@ -196,7 +196,7 @@ _LB = """WITH l AS (SELECT ticket_id, fault_t, e.t AS t, e.id AS id, e.v AS v, e
 )
 def lookback_time_stats(x: Tables):
     logs = x.ev().where("cat <> 'signup'")
-    stats = joins.lookback_time_stats(logs, x.ticket(), days=40)
+    stats = lookback.lookback_time_stats(logs, x.ticket(), days=40)
     names = ["min", "max", "std", "ptp", "mean", "median"]
     return stats.select(
         "ticket_id",
@@ -229,7 +229,7 @@ def lookback_histogram(x: Tables):
 )
 def lookback_quantile(x: Tables):
     logs = x.ev().where("cat <> 'signup'").select("sn", "t", "v")
-    found = joins.lookback_quantile(logs, x.ticket(), "v", {"q10": 0.1, "q90": 0.9}, days=40)
+    found = lookback.lookback_quantile(logs, x.ticket(), "v", {"q10": 0.1, "q90": 0.9}, days=40)
     return rounded(found.select("ticket_id", "q10", "q90"), ["q10", "q90"])
 
 

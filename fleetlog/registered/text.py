@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlog.functions import logtext
-from fleetlog.operators import corpus, joins, templates, vectors
+from fleetlog.operators import corpus, templates, vectors
 from fleetlog.registered.core import Tables, query, r6, rounded
+from fleetlog.session import stored
 
 DIM = 64
 
@@ -25,31 +26,75 @@ def masked_message_counts(x: Tables):
     return templates.masked_counts(x.msg(), rules=[("[0-9]+", "NUM")])
 
 
-_MINED = r"""WITH m AS (SELECT masked, count(*) AS n FROM (SELECT regexp_replace(msg, '[0-9]+', '<:NUM:>', 'g') AS masked FROM msg) GROUP BY masked),
-    k AS (SELECT masked, n, list_filter(regexp_split_to_array(trim(translate(masked, '_|', '  ')), '\s+'), lambda w: w <> '') AS tokens FROM m),
-    g AS (SELECT *, concat_ws(' ', CAST(len(tokens) AS VARCHAR), array_to_string(list_transform(tokens[1:2],
-      lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ')) AS grp FROM k),
-    c AS (SELECT grp, i, count(DISTINCT w) AS kinds FROM (SELECT grp, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM g) GROUP BY grp, i),
-    h AS (SELECT grp, count(*) AS texts, max(len(tokens)) AS width FROM g GROUP BY grp),
-    v AS (SELECT grp, i, row_number() OVER (PARTITION BY grp ORDER BY kinds DESC, i) AS r, width FROM c JOIN h USING (grp)
-      WHERE kinds > greatest(1, texts * 0.3)),
-    p AS (SELECT grp, list(i) AS places FROM v WHERE r <= floor((1 - 0.6::DOUBLE) * width) GROUP BY grp),
-    f AS (SELECT grp, n, masked, array_to_string(list_transform(tokens, lambda w, i: CASE WHEN list_contains(coalesce(places, []), i) THEN '<*>' ELSE w END), ' ') AS template
-      FROM g LEFT JOIN p USING (grp))
+def _mined(source: str) -> str:
+    """Templates of the view ``source``: bands, their most frequent texts, links, what linked texts have in common."""
+    return rf"""WITH RECURSIVE m AS (SELECT masked, count(*) AS n FROM (SELECT regexp_replace(msg, '[0-9]+', '<:NUM:>', 'g') AS masked FROM {source}) GROUP BY masked),
+    k AS (SELECT masked, n, CAST('0x' || substr(md5(masked), 1, 15) AS BIGINT) AS node,
+      list_filter(regexp_split_to_array(trim(translate(masked, '_|', '  ')), '\s+'), lambda w: w <> '') AS tokens FROM m WHERE masked IS NOT NULL),
+    g AS (SELECT *, len(tokens) AS width, CAST(ceil(0.6::DOUBLE * len(tokens)) AS BIGINT) AS need,
+      concat_ws(' ', CAST(len(tokens) AS VARCHAR), array_to_string(list_transform(tokens[1:2],
+        lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ')) AS grp FROM k),
+    d AS (SELECT *, least(width - need + 1, greatest(width - 2, 0)) AS bands FROM g),
+    b AS (SELECT grp, node, n, -1 AS band, '' AS words FROM d
+      UNION ALL SELECT grp, node, n, j, array_to_string(tokens[3 + j * (width - 2) // bands : 2 + (j + 1) * (width - 2) // bands], ' ')
+      FROM (SELECT *, unnest(range(0, bands)) AS j FROM d)),
+    h AS (SELECT grp, band, words, arg_min(node, (-n, node)) AS head FROM b GROUP BY grp, band, words HAVING count(*) > 1),
+    p AS (SELECT DISTINCT b.node, head FROM b JOIN h USING (grp, band, words) WHERE node <> head),
+    l AS (SELECT p.node, head FROM p JOIN d x ON x.node = p.node JOIN d y ON y.node = head
+      WHERE len(list_filter(list_zip(x.tokens, y.tokens), lambda z: z[1] = z[2])) >= x.need),
+    e AS (SELECT node, head FROM l UNION SELECT head, node FROM l),
+    reached AS (SELECT node, node AS low FROM d UNION SELECT e.head, low FROM reached JOIN e ON e.node = reached.node),
+    roots AS (SELECT node, min(low) AS root FROM reached GROUP BY node),
+    c AS (SELECT root, i, CASE WHEN min(w) = max(w) THEN min(w) ELSE '<*>' END AS w
+      FROM (SELECT root, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM d JOIN roots USING (node)) GROUP BY root, i),
+    s AS (SELECT root, list(w ORDER BY i) AS places FROM c GROUP BY root),
+    f AS (SELECT grp, n, masked, node, tokens, width, coalesce(places, []) AS places, coalesce(array_to_string(places, ' '), '') AS template
+      FROM d JOIN roots USING (node) LEFT JOIN s USING (root)),
+    u AS (SELECT DISTINCT grp, places, template FROM f),
+    a AS (SELECT masked, arg_min(u.template, (len(list_filter(u.places, lambda w: w = '<*>')), u.template)) AS template FROM f JOIN u USING (grp)
+      WHERE len(list_filter(list_zip(f.tokens, u.places), lambda z: z[2] = '<*>' OR z[1] = z[2])) = width GROUP BY masked)
     """
 
 
-@query(_MINED + "SELECT template, CAST(sum(n) AS BIGINT) AS size FROM f GROUP BY grp, template", "msg")
+_DIGITS = [("[0-9]+", "NUM")]
+_SIZES = "SELECT template, CAST(sum(n) AS BIGINT) AS size FROM f GROUP BY grp, template"
+_FOUND = "SELECT {keys}, template FROM {source} JOIN a ON regexp_replace(msg, '[0-9]+', '<:NUM:>', 'g') = a.masked"
+
+
+def _assigned(log, *keys):
+    mined = templates.mine_templates(log, rules=_DIGITS)
+    tagged = templates.assign_template(log.select(*keys, "msg"), mined, rules=_DIGITS)
+    return tagged.join(mined.select("template_id", "template"), "template_id").select(*keys, "template")
+
+
+@query(_mined("msg") + _SIZES, "msg")
 def mine_templates_plain(x: Tables):
-    return templates.mine_templates(x.msg(), rules=[("[0-9]+", "NUM")]).select("template", "size")
+    return templates.mine_templates(x.msg(), rules=_DIGITS).select("template", "size")
 
 
-@query(_MINED + "SELECT id, template FROM msg JOIN f ON regexp_replace(msg, '[0-9]+', '<:NUM:>', 'g') = f.masked", "msg")
+@query(_mined("msg") + _FOUND.format(keys="id", source="msg"), "msg")
 def assign_template_plain(x: Tables):
-    rules = [("[0-9]+", "NUM")]
-    mined = templates.mine_templates(x.msg(), rules=rules)
-    tagged = templates.assign_template(x.msg().select("id", "msg"), mined, rules=rules)
-    return tagged.join(mined.select("template_id", "template"), "template_id").select("id", "template")
+    return _assigned(x.msg(), "id")
+
+
+@query(_mined("shapes") + _SIZES, "shapes")
+def mine_templates_of_shapes(x: Tables):
+    return templates.mine_templates(x.shapes(), rules=_DIGITS).select("template", "size")
+
+
+@query(_mined("shapes") + _FOUND.format(keys="id", source="shapes"), "shapes")
+def assign_template_of_shapes(x: Tables):
+    return _assigned(x.shapes(), "id")
+
+
+@query(_mined("lines") + _SIZES, "lines")
+def mine_templates_of_lines(x: Tables):
+    return templates.mine_templates(x.lines(), rules=_DIGITS).select("template", "size")
+
+
+@query(_mined("lines") + "SELECT doc_id, template, count(*) AS n FROM lines JOIN a ON regexp_replace(msg, '[0-9]+', '<:NUM:>', 'g') = a.masked GROUP BY doc_id, template", "lines")
+def assign_template_of_lines(x: Tables):
+    return _assigned(x.lines(), "doc_id").groupBy("doc_id", "template").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -134,17 +179,14 @@ def _message_tokens(x: Tables):
     return x.msg().select("sn", "t", "id", tokens.alias("tokens"))
 
 
-def _ticket_parts(x: Tables, log, days: int = 40):
-    return joins.lookback_join(x.ticket(), log, days=days, keep_empty=False)
-
-
 @query(_TICKET_TERMS, "ticket toks")
 def tfidf_features_of_tickets(x: Tables):
     """Vocabulary and idf from the machine corpora, applied to the look-back of each ticket."""
     log = _message_tokens(x)
-    machines = corpus.term_counts(log, "sn", "tokens", (1, 2), ["t", "id"])
-    model = corpus.tfidf_fit(machines, log.select("sn").distinct(), 800)
-    tickets = corpus.term_counts(_ticket_parts(x, log), "ticket_id", "tokens", (1, 2), ["t", "id"])
+    grams = stored(corpus.timed_grams(log, ["sn"], "tokens", (1, 2)), "grams")
+    machines = grams.groupBy("sn", "term").agg(F.sum("n").alias("tf"))
+    model = stored(corpus.tfidf_fit(machines, log.select("sn").distinct(), 800), "vocabulary")
+    tickets = corpus.lookback_term_counts(grams, x.ticket(), model)
     return rounded(corpus.tfidf_transform(tickets, model, "ticket_id"), ["x"])
 
 

@@ -9,6 +9,8 @@ from fleetlog.operators import alarms, bins, trailing
 from fleetlog.registered.core import Tables, query, rounded
 
 ADDRESS_WINDOWS = [15, 120, 360, 720, 1440, 2880]
+FLAG_WINDOWS = [120, 720, 1440, 2880]
+SPREAD_WINDOWS = [5, 30, 360, 1440, 2880, 20_160]
 CATS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -61,9 +63,9 @@ _FLAGS = (
 )
 
 
-@query(_FLAGS + _change_sql([120, 720, 2880], {"cnt": "1"})[5:], "ev")
+@query(_FLAGS + _change_sql(ADDRESS_WINDOWS, {"cnt": "1"})[5:], "ev")
 def trailing_count_change(x: Tables):
-    return trailing.trailing_count(x.ev(), [120, 720, 2880], change=True)
+    return trailing.trailing_count(x.ev(), ADDRESS_WINDOWS, change=True)
 
 
 def _flag_amounts():
@@ -82,9 +84,21 @@ def trailing_sum(x: Tables):
     return trailing.trailing_sums(x.ev(), [120, 720, 1440, 2880], _flag_amounts())
 
 
-@query(_FLAGS + _change_sql([720, 2880], {c: c for c in CATS})[5:], "ev")
+@query(_FLAGS + _change_sql(FLAG_WINDOWS, {c: c for c in CATS})[5:], "ev")
 def trailing_sum_change(x: Tables):
-    return trailing.trailing_sums(x.ev(), [720, 2880], _flag_amounts(), change=True)
+    return trailing.trailing_sums(x.ev(), FLAG_WINDOWS, _flag_amounts(), change=True)
+
+
+@query(
+    "SELECT DISTINCT sn, t, "
+    + ", ".join(f"round(sum(v) OVER w{w}, 6) AS v_{w}m" for w in [120, 720, 1440, 2880])
+    + " FROM ev WINDOW "
+    + ", ".join(f"w{w} AS (PARTITION BY sn ORDER BY t RANGE BETWEEN {w * 60} PRECEDING AND CURRENT ROW)" for w in [120, 720, 1440, 2880]),
+    "ev",
+)
+def trailing_sum_of_fractions(x: Tables):
+    found = trailing.trailing_sums(x.ev(), FLAG_WINDOWS, {"v": F.col("v")})
+    return rounded(found, [f"v_{w}m" for w in FLAG_WINDOWS])
 
 
 @query(
@@ -122,16 +136,31 @@ def trailing_active_hours(x: Tables):
     return trailing.trailing_distinct(x.ev(), [1440, 2880], hour, "hours")
 
 
+_SPREAD_BY = "sn, memory, rankid, bankid"
+
+
 @query(
-    """SELECT DISTINCT sn, memory, rankid, bankid, t, round(var_pop(row) OVER w1, 6) AS var_1440m,
-      round(var_pop(row) OVER w2, 6) AS var_20160m FROM addr
-    WINDOW w1 AS (PARTITION BY sn, memory, rankid, bankid ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW),
-    w2 AS (PARTITION BY sn, memory, rankid, bankid ORDER BY t RANGE BETWEEN 1209600 PRECEDING AND CURRENT ROW)""",
+    f"SELECT DISTINCT {_SPREAD_BY}, t, "
+    + ", ".join(f"round(var_pop(row) OVER w{w}, 6) AS var_{w}m" for w in SPREAD_WINDOWS)
+    + " FROM addr WINDOW "
+    + ", ".join(f"w{w} AS (PARTITION BY {_SPREAD_BY} ORDER BY t RANGE BETWEEN {w * 60} PRECEDING AND CURRENT ROW)" for w in SPREAD_WINDOWS),
     "addr",
 )
 def trailing_variance(x: Tables):
-    found = trailing.trailing_variance(x.addr(), [1440, 20_160], "row")
-    return rounded(found, ["var_1440m", "var_20160m"])
+    found = trailing.trailing_variance(x.addr(), SPREAD_WINDOWS, "row")
+    return rounded(found, [f"var_{w}m" for w in SPREAD_WINDOWS])
+
+
+@query(
+    "SELECT DISTINCT sn, t, "
+    + ", ".join(f"round(var_pop(v) OVER w{w}, 6) AS var_{w}m" for w in FLAG_WINDOWS)
+    + " FROM ev WINDOW "
+    + ", ".join(f"w{w} AS (PARTITION BY sn ORDER BY t RANGE BETWEEN {w * 60} PRECEDING AND CURRENT ROW)" for w in FLAG_WINDOWS),
+    "ev",
+)
+def trailing_variance_of_fractions(x: Tables):
+    found = trailing.trailing_variance(x.ev(), FLAG_WINDOWS, "v", by=["sn"])
+    return rounded(found, [f"var_{w}m" for w in FLAG_WINDOWS])
 
 
 @query(

@@ -114,3 +114,23 @@ def replay(spark: SparkSession, path: str, schema: T.StructType, files_per_trigg
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     )
+
+
+def replay_logs(
+    spark: SparkSession, logs: Mapping[str, tuple[str, T.StructType]], common: Sequence[str], files_per_trigger: int = 1
+) -> DataFrame:
+    """Stored logs of different columns as one stream: ``log`` (their name), the common columns, and ``body``.
+
+    ``logs`` gives each log's folder and schema. ``body`` holds the columns of a log that are not common as JSON, missing ones
+    left out.
+    """
+    streams = []
+    for name, (path, schema) in logs.items():
+        own = [F.col(f.name) for f in schema.fields if f.name not in common]
+        body = F.to_json(F.struct(*own)) if own else F.lit("{}")
+        rows = replay(spark, path, schema, files_per_trigger)
+        streams.append(rows.select(F.lit(name).alias("log"), *common, body.alias("body")))
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s)
+    return out

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from fleetlog.operators.alarms import WEEK, keep_spaced
 from fleetlog.session import shared_dir
@@ -26,15 +26,177 @@ def with_event_time(log: DataFrame, ts: str = "ts", delay: str = "0 seconds") ->
     return log.withColumn(EVENT_TIME, shifted).withWatermark(EVENT_TIME, delay)
 
 
+def _right_edge(step: int) -> Column:
+    """End, in seconds, of the right-closed window of a row; the shifted time lies below it."""
+    return ((F.floor(F.unix_micros(EVENT_TIME) / F.lit(step * 1_000_000.0)) + 1) * step).cast("bigint")
+
+
+#: The state of ``transformWithState`` lives in RocksDB.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Timed(StatefulProcessor):
+    """A processor with at most one event-time timer a key."""
+
+    def _wake(self, at: int, now: int, instead: bool = False) -> None:
+        """Wake at that millisecond of the watermark, now being ``now``; or earlier if it is to already, unless ``instead``."""
+        waiting = [t for t in self.handle.listTimers() if t > now]
+        if instead or not waiting or at < min(waiting):
+            for t in waiting:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+class MinuteRows(_Timed):
+    """Keeps the rows of open minutes and gives out a minute's rows, in order, when the watermark has passed it."""
+
+    def __init__(self, schema: T.StructType, order: Sequence[str]):
+        self.schema, self.order = schema, list(order)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            some = batch[self.schema.names]
+            self.rows.appendList(_plain(some, self.schema))
+            least = int(some["minute_end"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake(first * 1000, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame([tuple(r) for r in self.rows.get()], columns=self.schema.names)
+        closed = held["minute_end"] * 1000 <= now
+        out, still = held[closed], held[~closed]
+        if len(still):
+            self.rows.put(_plain(still, self.schema))
+            self._wake(int(still["minute_end"].min()) * 1000, now)
+        else:
+            self.rows.clear()
+        out = out.sort_values(["minute_end", *self.order], kind="stable")
+        yield out.assign(place=out.groupby("minute_end").cumcount() + 1)
+
+
+def _plain(rows: pd.DataFrame, schema: T.StructType) -> list[tuple]:
+    """Rows of Python values, missing ones as None; pandas makes fractions of whole numbers beside missing ones."""
+    columns = []
+    for f in schema.fields:
+        kind = int if isinstance(f.dataType, T.IntegralType) else lambda v: v
+        columns.append([None if pd.isna(v) else kind(v) for v in rows[f.name].tolist()])
+    return list(zip(*columns, strict=True))
+
+
 def minute_batches(
-    log: DataFrame, kind: str, ts: str = "ts", delay: str = "0 seconds"
+    log: DataFrame, columns: Sequence[str], order: Sequence[str], shard: Column, ts: str = "ts", delay: str = "0 seconds"
 ) -> DataFrame:
-    """Per minute and log type: the number of rows. The key is the end of the minute."""
+    """The rows of every minute once it is over: ``shard, minute_end, columns, place``.
+
+    ``columns`` are numbers and texts. Rows are spread over shards (a column), which bound what one task holds: the
+    rows of the minutes that are still open. Inside a minute and shard rows come in the given order, numbered from 1 by ``place``.
+    A row is late, and dropped, if its time is not after the watermark: the latest time seen in earlier
+    batches less ``delay``. A minute stays open until the watermark has reached its end.
+    """
     timed = with_event_time(log, ts, delay)
-    counts = timed.groupBy(F.window(EVENT_TIME, "1 minute").alias("_w"), kind).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return counts.select(F.unix_seconds("_w.end").alias("minute_end"), kind, "n")
+    keyed = timed.select(EVENT_TIME, shard.cast("bigint").alias("shard"), _right_edge(60).alias("minute_end"), *columns)
+    kept = T.StructType([f for f in keyed.schema.fields if f.name not in (EVENT_TIME, "shard")])
+    out = T.StructType([keyed.schema["shard"], *kept.fields, T.StructField("place", T.LongType())])
+    return _stateful(keyed, ["shard"], MinuteRows(kept, order), out)
+
+
+def _stateful(rows: DataFrame, key: Sequence[str], processor: _Timed, out: T.StructType) -> DataFrame:
+    """Rows by key through a processor in event time; what it gives out gets its key back."""
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # a micro-batch commits its changes, not its whole state
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return rows.groupBy(*key).transformWithStateInPandas(_Keyed(processor, key, out.names), out, "append", "eventTime")
+
+
+class _Keyed(StatefulProcessor):
+    """A processor whose rows are completed by the columns of their key."""
+
+    def __init__(self, inner: _Timed, key: Sequence[str], names: Sequence[str]):
+        self.inner, self.key, self.names = inner, list(key), list(names)
+
+    def init(self, handle) -> None:
+        self.inner.init(handle)
+
+    def _whole(self, key: tuple, made: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in made:
+            if len(rows):
+                yield rows.assign(**dict(zip(self.key, key, strict=True)))[self.names]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        return self._whole(key, self.inner.handleInputRows(key, rows, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._whole(key, self.inner.handleExpiredTimer(key, timerValues, expiredTimerInfo))
+
+    def close(self) -> None:
+        self.inner.close()
+
+
+class PaneSums(_Timed):
+    """Sums per observation window of a machine, and over the windows of the past, kept as long as the longest look-back."""
+
+    def __init__(self, amounts: Sequence[str], trailing: Mapping[str, Sequence[int]]):
+        self.amounts, self.trailing = list(amounts), {a: list(w) for a, w in trailing.items()}
+        self.longest = 60 * max((m for w in self.trailing.values() for m in w), default=0)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        fields = ", ".join(f"{a} array<bigint>" for a in self.amounts)
+        self.state = handle.getValueState("panes", f"edge array<bigint>, done array<boolean>, {fields}")
+
+    def _read(self) -> pd.DataFrame:
+        held = self.state.get() if self.state.exists() else None
+        names = ["edge", "done", *self.amounts]
+        return pd.DataFrame(dict(zip(names, (list(x) for x in held), strict=True))) if held else pd.DataFrame({n: [] for n in names}).astype({"edge": "int64", "done": bool})
+
+    def _write(self, panes: pd.DataFrame) -> None:
+        self.state.update(tuple(panes[c].tolist() for c in ("edge", "done", *self.amounts)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [self._read()]
+        for batch in rows:
+            summed = batch.groupby("edge", as_index=False)[self.amounts].sum()
+            parts.append(summed.assign(done=False))
+        # a pane that is open is in the state at most once; closed ones get no more rows
+        panes = pd.concat([p for p in parts if len(p)] or parts[:1]).groupby("edge", as_index=False).agg({"done": "max", **dict.fromkeys(self.amounts, "sum")})
+        panes[self.amounts] = panes[self.amounts].astype("int64")
+        self._write(panes.sort_values("edge"))
+        if (~panes["done"].astype(bool)).any():
+            self._wake(int(panes.loc[~panes["done"].astype(bool), "edge"].min()) * 1000, timerValues.getCurrentWatermarkInMs(), instead=True)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        panes = self._read()
+        edges, done = panes["edge"].to_numpy(np.int64), panes["done"].to_numpy(bool)
+        fresh = ~done & (edges * 1000 <= now)
+        out = panes.loc[fresh, ["edge", *self.amounts]].copy()
+        for amount, windows in self.trailing.items():
+            upto = np.concatenate([[0], np.cumsum(panes[amount].to_numpy(np.int64))])
+            for minutes in windows:
+                begin = np.searchsorted(edges, edges - 60 * minutes)
+                out[f"{amount}_{minutes}m"] = (upto[np.arange(len(edges)) + 1] - upto[begin])[fresh]
+        panes["done"] = done | fresh
+        open_ = edges[~panes["done"].to_numpy(bool)]
+        # what no later window can reach: panes end no earlier than the watermark from now on
+        if len(open_) or (edges * 1000 > now - 1000 * self.longest).any():
+            self._write(panes[(edges * 1000 > now - 1000 * self.longest) | ~panes["done"].to_numpy(bool)])
+            self._wake(int(open_.min()) * 1000 if len(open_) else int(edges.max() + self.longest) * 1000, now, instead=True)
+        else:
+            self.state.clear()
+        yield out
 
 
 def bin_features(
@@ -42,61 +204,76 @@ def bin_features(
     amounts: Mapping[str, Column],
     by: Sequence[str] = ("sn",),
     ts: str = "ts",
-    step: str = "5 minutes",
+    step: int = 300,
     delay: str = "0 seconds",
+    trailing: Mapping[str, Sequence[int]] | None = None,
 ) -> DataFrame:
-    """Per machine and observation window: sums, keyed by the right edge of the window."""
+    """Per machine and observation window, once it is over: sums, keyed by the right edge of the window.
+
+    ``trailing`` adds sums over the past minutes' windows, ``<amount>_<W>m``, given out with the window. Amounts are whole
+    numbers; null ones count for nothing. The state of a machine holds its windows of the longest look-back and is
+    dropped when none of them can be reached any more.
+    """
     timed = with_event_time(log, ts, delay)
-    sums = timed.groupBy(F.window(EVENT_TIME, step).alias("_w"), *by).agg(
-        *[F.sum(c).alias(n) for n, c in amounts.items()]
-    )
-    return sums.select(*by, F.unix_seconds("_w.end").alias("edge"), *amounts)
+    rows = timed.select(EVENT_TIME, *by, _right_edge(step).alias("edge"), *[F.coalesce(c.cast("bigint"), F.lit(0)).alias(n) for n, c in amounts.items()])
+    trailing = trailing or {}
+    sums = [f"{a}_{m}m" for a, w in trailing.items() for m in w]
+    out = T.StructType([*[rows.schema[b] for b in by], *[T.StructField(n, T.LongType()) for n in ("edge", *amounts, *sums)]])
+    return _stateful(rows, by, PaneSums(list(amounts), trailing), out)
+
+
+class Cooldown(_Timed):
+    """The last kept alarm of a machine, forgotten when the watermark is a whole gap behind it."""
+
+    def __init__(self, time: str, gap: int):
+        self.time, self.gap = time, gap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "last bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.state.get()[0] if self.state.exists() else None
+        times = np.zeros(0, np.int64)
+        for batch in rows:  # distinct seconds only
+            times = np.union1d(times, batch[self.time].dropna().to_numpy(np.int64))
+        kept, last = keep_spaced(times, last, self.gap)
+        if last is not None:
+            self.state.update((int(last),))
+            self._wake((int(last) + self.gap) * 1000, timerValues.getCurrentWatermarkInMs(), instead=True)
+        yield pd.DataFrame({self.time: kept})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # any alarm from now on is later than the watermark, so it is kept with and without this state
+        self.state.clear()
+        yield pd.DataFrame()
 
 
 def alarm_cooldown_stream(
-    alarms: DataFrame, gap: int = WEEK, machine: str = "sn", time: str = "t"
+    alarms: DataFrame, gap: int = WEEK, machine: str = "sn", time: str = "t", ts: str = "ts", delay: str = "0 seconds"
 ) -> DataFrame:
-    """Online cooldown: the state is the last kept time of a machine.
+    """Online cooldown: the state is the last kept time of a machine, for as long as it can matter.
 
     Alarms of a machine must not arrive in an earlier batch than alarms before them; inside a
-    batch they may be in any order. Only the distinct seconds of a batch are kept while it is
-    worked on.
+    batch they may be in any order. Alarms not after the watermark are late and dropped.
     """
-    kind = alarms.schema[machine].dataType.simpleString()
-
-    def keep(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = np.unique(np.concatenate([b[time].to_numpy() for b in batches]))
-        kept, last = keep_spaced(times, last, gap)
-        state.update((last,))
-        yield pd.DataFrame({machine: [key[0]] * len(kept), time: kept})
-
-    return (
-        alarms.select(machine, time)
-        .groupBy(machine)
-        .applyInPandasWithState(
-            keep,
-            f"{machine} {kind}, {time} bigint",
-            "last bigint",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+    timed = with_event_time(alarms, ts, delay).select(EVENT_TIME, machine, time)
+    out = T.StructType([timed.schema[machine], T.StructField(time, T.LongType())])
+    return _stateful(timed, [machine], Cooldown(time, gap), out)
 
 
 def run_to_table(
-    stream: DataFrame, key: Sequence[str], mode: str, release: Callable[[], bool] | None = None
+    stream: DataFrame, key: Sequence[str], mode: str, release: Callable[[], bool] | None = None, state: str | None = None
 ) -> DataFrame:
     """Run over everything available and return the result as a table.
 
     Every micro-batch is written below its own number, so a batch that is repeated after a
     failure replaces itself; for updated keys the latest batch wins. ``release`` puts the next
-    piece of history in place and tells whether there was one: pieces are run in that order.
+    piece of history in place and tells whether there was one: pieces are run in that order. ``state`` is a
+    folder for the state, to go on from or to look into.
     """
     spark = stream.sparkSession
-    out, state = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-state")
+    out, state = shared_dir(spark, "stream-out"), state or shared_dir(spark, "stream-state")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")

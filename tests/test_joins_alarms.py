@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from fleetlog.operators import alarms, evaluate, joins
+from fleetlog.operators import alarms, evaluate, joins, lookback
 
 DAY = 86_400
 
@@ -34,7 +34,7 @@ def test_lookback_borders_and_empty_ticket(spark):
     assert rows(got, "ticket_id", "id") == [(7, 2), (7, 3), (8, None)]
     counts = joins.lookback_count(logs, tickets, 5 * DAY)
     assert rows(counts, "ticket_id", "n") == [(7, 3), (8, 0)]
-    stats = {r.ticket_id: r for r in joins.lookback_time_stats(logs, tickets, 5).collect()}
+    stats = {r.ticket_id: r for r in lookback.lookback_time_stats(logs, tickets, 5).collect()}
     assert (stats[7].gap_min, stats[7].gap_median, stats[7].gap_std) == (5 * DAY - 1, 5 * DAY - 1, 0.0)
     assert stats[8].gap_min is None and stats[8].rel_mean is None
 
@@ -42,7 +42,7 @@ def test_lookback_borders_and_empty_ticket(spark):
 def test_time_stats_count_ties(spark):
     tickets = spark.createDataFrame([(7, 1, 1000)], "ticket_id int, sn int, fault_t long")
     logs = spark.createDataFrame([(1, 10), (1, 10), (1, 10), (1, 100)], "sn int, t long")
-    r = joins.lookback_time_stats(logs, tickets, 1).first()
+    r = lookback.lookback_time_stats(logs, tickets, 1).first()
     assert (r.gap_min, r.gap_max, r.gap_mean, r.gap_median) == (0.0, 90.0, 30.0, 0.0)
     assert r.rel_mean == pytest.approx(0.0325)
 

@@ -9,49 +9,72 @@ from fleetlog.operators import alarms, evaluate, models, splits
 from fleetlog.streaming import jobs
 
 
-def test_cooldown_released_day_by_day(spark, tmp_path):
-    rng = random.Random(0)
-    data = [(rng.randrange(3), rng.randrange(4 * 86_400)) for _ in range(300)]
-    df = spark.createDataFrame(data, "sn long, t long")
-    live, days = str(tmp_path / "live"), iter(range(4))
+def released(spark, live, pieces, schema):
+    """A stream over a folder, and what puts the next piece of rows there."""
+    spark.createDataFrame([], schema).write.parquet(live)
+    queue = iter(pieces)
 
     def release() -> bool:
-        day = next(days, None)
-        if day is None:
+        piece = next(queue, None)
+        if piece is None:
             return False
-        df.where(F.floor(F.col("t") / 86_400) == day).write.mode("append").parquet(live)
+        spark.createDataFrame(piece, schema).write.mode("append").parquet(live)
         return True
 
-    df.limit(0).write.parquet(live)
-    stream = jobs.alarm_cooldown_stream(jobs.events_stream(spark, live, df.schema), gap=50_000)
-    got = jobs.run_to_table(stream, ["sn"], "append", release)
-    assert rows(got) == rows(alarms.alarm_cooldown(df, 50_000))
+    stream = jobs.events_stream(spark, live, spark.createDataFrame([], schema).schema)
+    return stream.withColumn("ts", F.timestamp_seconds("t")), release
 
 
-def test_minutes_are_right_closed_and_updates_add_up(spark, tmp_path):
-    live = str(tmp_path / "live")
-    pieces = iter([[("2024-01-01 00:01:00", "a"), ("2024-01-01 00:01:01", "a")], [("2024-01-01 00:02:00", "a")]])
-    schema = spark.createDataFrame([], "ts timestamp, cat string").schema
+START = 1_704_067_200
 
-    def release() -> bool:
-        piece = next(pieces, None)
-        if piece is None:
-            return False
-        df = spark.createDataFrame(piece, "s string, cat string").select(F.to_timestamp("s").alias("ts"), "cat")
-        df.write.mode("append").parquet(live)
-        return True
-
-    spark.createDataFrame([], schema).write.parquet(live)
-    stream = jobs.minute_batches(jobs.events_stream(spark, live, schema), "cat", delay="1 day")
-    got = jobs.run_to_table(stream, ["minute_end", "cat"], "update", release)
-    start = 1_704_067_200
-    assert rows(got) == [(start + 60, "a", 1), (start + 120, "a", 2)]
 
-
-def easy(spark):
-    rng = random.Random(1)
-    data = [(i, i % 9, x := rng.random(), rng.random(), int(x > 0.6), 0.01 if x > 0.6 else None, int(x * 4)) for i in range(240)]
-    return spark.createDataFrame(data, "id int, sn int, a double, b double, y int, days double, label int")
+def test_cooldown_released_day_by_day_forgets_silent_machines(spark, tmp_path):
+    rng = random.Random(0)
+    data = [(rng.randrange(3), START + rng.randrange(4 * 86_400)) for _ in range(300)] + [(9, START + 5)]
+    days = [[r for r in data if (r[1] - START) // 86_400 == d] for d in range(4)]
+    stream, release = released(spark, str(tmp_path / "live"), [*days, [(0, START + 20 * 86_400)]], "sn long, t long")
+    folder = str(tmp_path / "state")
+    got = jobs.run_to_table(jobs.alarm_cooldown_stream(stream, gap=50_000), ["sn"], "append", release, state=folder)
+    assert rows(got) == rows(alarms.alarm_cooldown(spark.createDataFrame([*data, (0, START + 20 * 86_400)], "sn long, t long"), 50_000))
+    left = spark.read.format("statestore").option("path", folder).option("stateVarName", "last").load()
+    # twenty days later only the machine that has just spoken is remembered
+    assert [r.key.sn for r in left.select("key").collect()] == [0]
+
+
+def test_minutes_come_out_in_order_and_late_rows_do_not(spark, tmp_path):
+    at = lambda m, s=0: START + 60 * m + s
+    pieces = [
+        [(1, at(1), "b"), (2, at(1), "a"), (3, at(1, 1), "a"), (4, at(0, 30), "a")],
+        [(5, at(2), "a"), (6, at(3), "c"), (7, at(8), "a")],
+        [(8, at(2, 10), "late"), (9, at(9), "a")],
+        [(10, at(60), "end")],
+    ]
+    stream, release = released(spark, str(tmp_path / "live"), pieces, "id long, t long, cat string")
+    found = jobs.minute_batches(stream, ["id", "t", "cat"], ["cat", "t", "id"], F.lit(0), delay="2 minutes")
+    got = jobs.run_to_table(found, ["id"], "append", release)
+    # (minute, place) of each row; 8 came when the watermark was at minute 6, minute 60 is still open
+    want = {4: (1, 1), 2: (1, 2), 1: (1, 3), 3: (2, 1), 5: (2, 2), 6: (3, 1), 7: (8, 1), 9: (9, 1)}
+    assert {r.id: ((r.minute_end - START) // 60, r.place) for r in got.collect()} == want
+
+
+def test_panes_and_their_trailing_sums_come_from_the_stream(spark, tmp_path):
+    rng = random.Random(3)
+    data = [(i, rng.randrange(4), START + int(rng.random() ** 2 * 86_400), rng.choice([None, 1, 5])) for i in range(400)]
+    data.sort(key=lambda r: r[2])
+    pieces = [data[:90], data[90:91], data[91:300], data[300:], [(999, None, START + 9 * 86_400, 0)]]
+    stream, release = released(spark, str(tmp_path / "live"), pieces, "id long, sn long, t long, k long")
+    found = jobs.bin_features(stream, {"n": F.lit(1), "k": F.col("k")}, trailing={"n": [10, 60], "k": [60]}, delay="1 minute")
+    got = {(r.sn, r.edge): r for r in jobs.run_to_table(found, ["sn", "edge"], "append", release).collect()}
+    panes = {}
+    for _, sn, t, k in data:
+        edge = -(-t // 300) * 300
+        n, s = panes.get((sn, edge), (0, 0))
+        panes[sn, edge] = (n + 1, s + (k or 0))
+    assert set(got) == set(panes)
+    for (sn, edge), (n, s) in panes.items():
+        upto = lambda w, j: sum(v[j] for (m, e), v in panes.items() if m == sn and edge - 60 * w <= e <= edge)
+        r = got[sn, edge]
+        assert (r.n, r.k, r.n_10m, r.n_60m, r.k_60m) == (n, s, upto(10, 0), upto(60, 0), upto(60, 1))
 
 
 def test_recall_and_regression(spark):
