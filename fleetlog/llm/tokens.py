@@ -33,7 +33,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
+from string import ascii_lowercase
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.letters = _Letters(self.tokenizer)
+        self.own_letters = all(self.letters[c] == c for c in ascii_lowercase)
         self._forget()
         self._check()
         self._forget()
@@ -123,12 +125,15 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, spelled: list[bytes]) -> None:
         words = [b.decode("utf-8", "replace") for b in spelled]
-        plain = [w.isalpha() and w.lower() == w and max(w) < "\u0250" for w in words]
-        full = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
-        model, letters = self.tokenizer.model, self.letters
+        # words of a-z are spelled as they are; other small Latin letters by the splitter's symbols
+        plain = [w.isascii() and w.isalpha() and w.islower() and self.own_letters for w in words]
+        near = [not p and w.isalpha() and w.lower() == w and max(w) < "\u0250" for w, p in zip(words, plain, strict=True)]
+        whole = [w for w, p, q in zip(words, plain, near, strict=True) if not (p or q)]
+        full = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
         lists = [
-            [t.id for t in model.tokenize("".join([letters[c] for c in w]))] if p else next(full).ids
-            for w, p in zip(words, plain, strict=True)
+            [t.id for t in tokenize(w)] if p else [t.id for t in tokenize("".join([letters[c] for c in w]))] if q else next(full).ids
+            for w, p, q in zip(words, plain, near, strict=True)
         ]
         size = np.array([len(x) for x in lists], np.int64)
         n, ids = self.count + len(hashes), self.used + int(size.sum())
@@ -138,7 +143,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         new = slice(self.count, n)
         self.hashes[new], self.size[new], self.begin[new] = hashes, size, self.used + np.cumsum(size) - size
-        self.flat[self.used : ids] = np.fromiter((i for x in lists for i in x), np.uint32, ids - self.used)
+        self.flat[self.used : ids] = np.fromiter(chain.from_iterable(lists), np.uint32, ids - self.used)
         fresh = np.arange(self.count, n, dtype=np.int32)
         self.count, self.used = n, ids
         if 2 * n > len(self.cells):
@@ -173,11 +178,26 @@ class Encoder:
             where[codes] = np.arange(len(codes))
             place[missing] = np.arange(self.count, self.count + int(missing.sum()))
             self._learn(uniques[missing], [words.data[words.start[k] : words.end[k]].tobytes() for k in where[missing]])
-        sequence = np.insert(place[codes], words.first[1:], 0)
-        lengths = self.size[sequence].astype(np.int64)
-        upto = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.begin[sequence] - (upto - lengths), lengths) + np.arange(lengths.sum())]
-        bounds = np.concatenate([[0], upto[words.first[1:] + np.arange(len(texts))]])
+        # a text's end is one more word behind its own
+        ends = words.first[1:] + np.arange(len(texts))
+        inside = np.ones(len(codes) + len(texts), bool)
+        inside[ends] = False
+        sequence = np.zeros(len(inside), np.int32)
+        sequence[inside] = place.astype(np.int32)[codes]
+        lengths = self.size[sequence]
+        upto = np.cumsum(lengths, dtype=np.int64)
+        total = int(upto[-1]) if len(upto) else 0
+        # steps from id to id in ``flat``: 1 inside a word, a jump to the next one's begin at its border
+        step = np.ones(total, np.int64)
+        begin = self.begin[sequence]
+        first = upto - lengths
+        some = lengths > 0
+        first, begin, last = first[some], begin[some], (begin + lengths - 1)[some]
+        step[first[1:]] = begin[1:] - last[:-1]
+        if total:
+            step[0] = begin[0]
+        ids = self.flat[np.cumsum(step, out=step)]
+        bounds = np.concatenate([[0], upto[ends]])
         return ids, bounds
 
 
@@ -191,8 +211,8 @@ def _frequent(pair: np.ndarray, least: int) -> np.ndarray:
     return common[np.lexsort((common, -counts))]
 
 
-def _ranks(pair: np.ndarray, common: np.ndarray, turn: int, bits: int = 18) -> np.ndarray:
-    """The rank of each pair in ``common``, or len(common); one more such entry at either end.
+def _found(pair: np.ndarray, inner: np.ndarray, common: np.ndarray, turn: int, bits: int = 18) -> tuple[np.ndarray, np.ndarray]:
+    """Where inner pairs are in ``common``, and their ranks there.
 
     A table without chains: of two common pairs in one cell the more frequent one stays, the other
     waits for the next round, whose table has another salt.
@@ -200,13 +220,12 @@ def _ranks(pair: np.ndarray, common: np.ndarray, turn: int, bits: int = 18) -> n
     kind, width = pair.dtype.type, 8 * pair.dtype.itemsize
     salt = kind((0x9E3779B97F4A7C15 >> (64 - width)) | 1) + kind(2 * turn)
     cell = lambda x: (x * salt) >> kind(width - bits)
-    table = np.full(1 << bits, len(common), np.int32)
+    table = np.full(1 << bits, -1, np.int32)
     table[cell(common[::-1])] = np.arange(len(common), dtype=np.int32)[::-1]
-    rank = np.full(len(pair) + 2, len(common), np.int32)
-    rank[1:-1] = table[cell(pair)]
-    wrong = np.append(common, common[:1])[rank[1:-1]] != pair
-    rank[1:-1][wrong] = len(common)
-    return rank
+    at = np.flatnonzero((table >= 0)[cell(pair)] & inner)
+    rank = table[cell(pair[at])]
+    same = common[rank] == pair[at]
+    return at[same], rank[same]
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_COUNT) -> bytes:
@@ -226,22 +245,23 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
         common = _frequent(pair[inner], least)
         if not len(common):
             break
-        around = _ranks(pair, common, turn)
         none = len(common)
-        rank = around[1:-1]
-        rank[end[:-1]] = none
+        at, rank = _found(pair, inner, common, turn)
+        before, after = np.full(len(at), none, np.int32), np.full(len(at), none, np.int32)
+        near = at[1:] == at[:-1] + 1
+        before[1:][near], after[:-1][near] = rank[:-1][near], rank[1:][near]
         # in a run of one pair (aaaa) every second place: equal neighbours never overlap
-        place = np.arange(len(rank))
-        head = np.maximum.accumulate(np.where(rank != around[:-2], place, 0))
-        take = np.flatnonzero((rank <= around[:-2]) & (rank <= around[2:]) & ((place - head) % 2 == 0))
-        take = take[rank[take] < none]
-        used = np.bincount(rank[take], minlength=none)
+        head = np.maximum.accumulate(np.where(rank != before, at, 0))
+        some = (rank <= before) & (rank <= after) & ((at - head) % 2 == 0)
+        take, rank = at[some], rank[some]
+        used = np.bincount(rank, minlength=none)
         keep = np.flatnonzero(used >= min(4, least))  # fewer do not pay for their rule
         if not len(keep):
             break
         number = np.full(none + 1, -1, np.int64)
         number[keep] = base + made + np.arange(len(keep))
-        take = take[number[rank[take]] >= 0]
+        kept = number[rank] >= 0
+        take, rank = take[kept], rank[kept]
         chosen = common[keep].astype(np.uint64)
         shift = np.uint64(32 if wide else 16)
         left.append((chosen >> shift).astype(np.uint32))
@@ -249,7 +269,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
         known = np.concatenate(size)
         size.append(known[left[-1]] + known[right[-1]])
         made += len(keep)
-        seq[take] = number[rank[take]]
+        seq[take] = number[rank]
         gone = np.zeros(len(seq), bool)
         gone[take + 1] = True
         end[take] = end[take + 1]
