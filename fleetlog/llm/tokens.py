@@ -126,7 +126,7 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, spelled: list[bytes]) -> None:
         words = [b.decode("utf-8", "replace") for b in spelled]
         # words of a-z are spelled as they are; other small Latin letters by the splitter's symbols
-        plain = [w.isascii() and w.isalpha() and w.islower() and self.own_letters for w in words]
+        plain = [b.isalpha() and b.islower() and self.own_letters for b in spelled]  # bytes: ASCII letters only
         near = [not p and w.isalpha() and w.lower() == w and max(w) < "\u0250" for w, p in zip(words, plain, strict=True)]
         whole = [w for w, p, q in zip(words, plain, near, strict=True) if not (p or q)]
         full = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
@@ -177,7 +177,8 @@ class Encoder:
             where = np.empty(len(uniques), np.int64)
             where[codes] = np.arange(len(codes))
             place[missing] = np.arange(self.count, self.count + int(missing.sum()))
-            self._learn(uniques[missing], [words.data[words.start[k] : words.end[k]].tobytes() for k in where[missing]])
+            spelled, raw = where[missing], words.data.tobytes()
+            self._learn(uniques[missing], [raw[a:b] for a, b in zip(words.start[spelled].tolist(), words.end[spelled].tolist(), strict=True)])
         # a text's end is one more word behind its own
         ends = words.first[1:] + np.arange(len(texts))
         inside = np.ones(len(codes) + len(texts), bool)
@@ -201,14 +202,30 @@ class Encoder:
         return ids, bounds
 
 
-def _frequent(pair: np.ndarray, least: int) -> np.ndarray:
-    """Pairs that occur at least so often, the most frequent first."""
+def _counted(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that occur at least so often, and how often."""
     pair = np.sort(pair)
     first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
     counts = np.diff(np.append(first, len(pair)))
     some = counts >= least
-    common, counts = pair[first[some]], counts[some]
-    return common[np.lexsort((common, -counts))]
+    return pair[first[some]], counts[some]
+
+
+def _cells(pair: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    kind, width = pair.dtype.type, 8 * pair.dtype.itemsize
+    salt = kind((0x9E3779B97F4A7C15 >> (64 - width)) | 1) + kind(2 * turn)
+    return (pair * salt) >> kind(width - bits)
+
+
+def _still(pair: np.ndarray, inner: np.ndarray, known: np.ndarray, least: int, bits: int = 18) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the known pairs occur at least so often, and how often."""
+    known = np.sort(known)
+    there = np.zeros(1 << bits, bool)
+    there[_cells(known, 0, bits)] = True
+    some = pair[there[_cells(pair, 0, bits)] & inner]
+    at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+    counts = np.bincount(at[known[at] == some], minlength=len(known))
+    return known[counts >= least], counts[counts >= least]
 
 
 def _found(pair: np.ndarray, inner: np.ndarray, common: np.ndarray, turn: int, bits: int = 18) -> tuple[np.ndarray, np.ndarray]:
@@ -217,13 +234,11 @@ def _found(pair: np.ndarray, inner: np.ndarray, common: np.ndarray, turn: int, b
     A table without chains: of two common pairs in one cell the more frequent one stays, the other
     waits for the next round, whose table has another salt.
     """
-    kind, width = pair.dtype.type, 8 * pair.dtype.itemsize
-    salt = kind((0x9E3779B97F4A7C15 >> (64 - width)) | 1) + kind(2 * turn)
-    cell = lambda x: (x * salt) >> kind(width - bits)
     table = np.full(1 << bits, -1, np.int32)
-    table[cell(common[::-1])] = np.arange(len(common), dtype=np.int32)[::-1]
-    at = np.flatnonzero((table >= 0)[cell(pair)] & inner)
-    rank = table[cell(pair[at])]
+    table[_cells(common[::-1], turn, bits)] = np.arange(len(common), dtype=np.int32)[::-1]
+    cell = _cells(pair, turn, bits)
+    at = np.flatnonzero((table >= 0)[cell] & inner)
+    rank = table[cell[at]]
     same = common[rank] == pair[at]
     return at[same], rank[same]
 
@@ -242,9 +257,16 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
         pair <<= pair.dtype.type(32 if wide else 16)
         pair |= seq[1:].astype(pair.dtype)
         inner = ~end[:-1]
-        common = _frequent(pair[inner], least)
+        if turn == 0 or pair.dtype != common.dtype:
+            common, counts = _counted(pair[inner], least)
+        else:
+            # a pair that has become frequent holds a symbol of the last round; any other was frequent before
+            new = seq >= base + made - len(keep)
+            known = _still(pair, inner, common, least)
+            common, counts = (np.concatenate(x) for x in zip(known, _counted(pair[(new[:-1] | new[1:]) & inner], least), strict=True))
         if not len(common):
             break
+        common = common[np.lexsort((common, -counts))]
         none = len(common)
         at, rank = _found(pair, inner, common, turn)
         before, after = np.full(len(at), none, np.int32), np.full(len(at), none, np.int32)
@@ -323,17 +345,19 @@ class Block:
                     at_k += hi - lo
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        seq = seq.astype(np.int64)
-        rule = seq >= self.base
-        length = np.ones(len(seq), np.int64)
-        length[rule] = self.size[seq[rule] - self.base]
-        out_at = np.cumsum(length) - length
-        out = np.empty(int(length.sum()), np.uint32)
-        out[out_at[~rule]] = seq[~rule]
-        n = length[rule]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(out_at[rule], n) + inner] = self.flat[np.repeat(self.flat_at[seq[rule] - self.base], n) + inner]
-        return out
+        """Ids of some symbols: those of the rules lie in ``flat``, the others behind it."""
+        if not len(seq):
+            return np.zeros(0, np.uint32)
+        whole = np.concatenate([self.flat, np.arange(self.base, dtype=np.uint32)])
+        begin_of = np.concatenate([len(self.flat) + np.arange(self.base), self.flat_at[:-1]])
+        length_of = np.concatenate([np.ones(self.base, np.int64), self.size])
+        begin, length = begin_of[seq], length_of[seq]
+        upto = np.cumsum(length)
+        # from id to id: 1 inside an expansion, a jump to the next one's begin at its end
+        step = np.ones(int(upto[-1]), np.int64)
+        step[0] = begin[0]
+        step[upto[:-1]] = begin[1:] - (begin + length - 1)[:-1]
+        return whole[np.cumsum(step, out=step)]
 
     def all_ids(self) -> np.ndarray:
         return self._expand(self.seq)
