@@ -68,21 +68,24 @@ def feature_report(
     columns: Sequence[str],
     quantiles: Sequence[float] = (0.25, 0.5, 0.75, 0.95, 0.99),
 ) -> DataFrame:
-    """Per numeric column: nulls, distinct values (null is one), type, mean, std, quantiles.
+    """Per column: nulls, distinct values (null is one), type; of numbers also mean, std, least, largest, quantiles.
 
     Columns become (feature, value, count) rows, so distinct values and exact quantiles of all
-    columns come from the same counts without one task holding a column.
+    columns come from the same counts without one task holding a column. Values that are no numbers are
+    told apart by their text and have nulls in the columns of numbers.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    points = scan.cut_points(df, {c: F.col(c).cast("double") for c in columns})
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name in columns]
+    number = lambda c: F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")
+    points = scan.cut_points(df, {c: F.col(c).cast("double") for c in numbers}) if numbers else {}
     cells = F.array(
         *[
             F.struct(
                 F.lit(c).alias("feature"),
-                F.col(c).cast("double").alias("_x"),
+                number(c).alias("_x"),
                 # whole numbers and decimals that are one double are still different values
                 (F.lit(None).cast("string") if kinds[c] in ("double", "float") else F.col(c).cast("string")).alias("_own"),
-                scan.chunk_of(F.col(c).cast("double"), points[c]).alias(scan.CHUNK),
+                scan.chunk_of(number(c), points.get(c, [])).alias(scan.CHUNK),
             )
             for c in columns
         ]
@@ -93,7 +96,11 @@ def feature_report(
         .groupBy("feature", "_x", scan.CHUNK, "_own")
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("feature", "_x", scan.CHUNK)
-        .agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_own"))
+        .agg(
+            F.sum("_n").alias("_n"),
+            F.sum(F.when(F.col("_x").isNull() & F.col("_own").isNull(), F.col("_n")).otherwise(0)).alias("_missing"),
+            F.count(F.lit(1)).alias("_own"),
+        )
     )
     x, n = F.col("_x"), F.col("_n")
     known = F.when(x.isNotNull(), n).otherwise(0)
@@ -108,11 +115,11 @@ def feature_report(
     named = {f"p{round(q * 100)}": q for q in quantiles}
     kind = F.create_map(*[F.lit(v) for c in columns for v in (c, kinds[c])])
     return ranked.groupBy("feature").agg(
-        F.sum(n - F.col("_k")).alias("missing"),
+        F.sum("_missing").alias("missing"),
         F.sum("_own").alias("uniques"),
-        count.alias("count"),
-        (F.sum(x * n) / count).alias("mean"),
-        F.sqrt(F.try_divide(F.greatest(squares, F.lit(0.0)), count - 1)).alias("std"),
+        F.sum(n - F.col("_missing")).alias("count"),
+        F.try_divide(F.sum(x * n), count).alias("mean"),
+        F.when(F.max("_x").isNotNull(), F.sqrt(F.try_divide(F.greatest(squares, F.lit(0.0)), count - 1))).alias("std"),
         F.min("_x").alias("min"),
         F.max("_x").alias("max"),
         *scan.quantile_aggregates("_x", "_k", named),

@@ -200,6 +200,10 @@ def multilabel_time_model(
     return scored, [found.get(i, 0.0) for i in range(len(labels))]
 
 
+#: The weights of a fold's model and of the one on all data, in the blend for unlabelled rows.
+FOLD_WEIGHT, FULL_WEIGHT = 0.08, 0.5
+
+
 def fault_classifier(
     df: DataFrame,
     features: Sequence[str],
@@ -207,28 +211,65 @@ def fault_classifier(
     fold: str,
     folds: int,
     trees: int = 100,
-    depth: int = 6,
+    depth: int = 4,
     seed: int = 2022,
 ) -> DataFrame:
-    """Weighted four-class forest per fold: out-of-fold probabilities and the winning class."""
+    """Weighted four-class forests, one per fold and one on all labelled rows: ``probs`` and ``pred`` of every row.
+
+    A labelled row gets the probabilities of the model that has not seen its fold. A row without a label
+    (null or negative) gets the weighted mean of all models, the fold's ones and the full one.
+    """
+    known = F.coalesce(F.col(label) >= 0, F.lit(False))
     rows = assemble(df, features).withColumns(
-        {"_y": F.col(label).cast("double"), "_w": sample_weight(F.col(label))}
+        {"_y": F.when(known, F.col(label)).cast("double"), "_w": sample_weight(F.when(known, F.col(label)))}
     )
     rows = stored(rows, "classifier-rows")
-    parts = []
-    for i in range(folds):
-        model = RandomForestClassifier(
-            featuresCol="features",
-            labelCol="_y",
-            weightCol="_w",
-            numTrees=trees,
-            maxDepth=depth,
-            seed=seed + i,
-        ).fit(rows.where(F.col(fold) != i))
-        scored = model.transform(rows.where(F.col(fold) == i))
-        parts.append(scored.select(*df.columns, vector_to_array("probability").alias("probs")))
-    out = parts[0]
-    for part in parts[1:]:
+    labelled, new = rows.where(known), rows.where(~known)
+
+    def fit(part: DataFrame, number: int):
+        return RandomForestClassifier(
+            featuresCol="features", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth, seed=seed + number
+        ).fit(part)
+
+    def add(part: DataFrame, model, name: str) -> DataFrame:
+        scored = model.transform(part).withColumn(name, vector_to_array("probability"))
+        return scored.drop("rawPrediction", "probability", "prediction")
+
+    parts, blend = [], []
+    for i in [*range(folds), None]:
+        model = fit(labelled if i is None else labelled.where(F.col(fold) != i), folds if i is None else i)
+        if i is not None:
+            parts.append(add(labelled.where(F.col(fold) == i), model, "probs").select(*df.columns, "probs"))
+        new = add(new, model, f"_p{len(blend)}")
+        blend.append(FULL_WEIGHT if i is None else FOLD_WEIGHT)
+    mixed = F.transform(
+        F.arrays_zip(*[f"_p{j}" for j in range(len(blend))]),
+        lambda p: sum((p[f"_p{j}"] * w for j, w in enumerate(blend)), F.lit(0.0)) / sum(blend),
+    )
+    out = new.withColumn("probs", mixed).select(*df.columns, "probs")
+    for part in parts:
         out = out.unionByName(part)
     best = F.array_position(F.col("probs"), F.array_max("probs")) - 1
     return out.withColumn("pred", best.cast("long"))
+
+
+def alarm_chain(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    days: str,
+    train: Column,
+    valid: Column | None = None,
+    recall_settings: Sequence[Boosting] = (),
+    time_settings: Sequence[Boosting] = (),
+    threshold: float = RECALL_THRESHOLD,
+    limit: float = 0.25,
+    alarm_at: float = 0.1,
+) -> DataFrame:
+    """From rows to judged rows: recall, the filter at its threshold, days to failure of what is left, alarms.
+
+    The regressor learns from recalled training rows only; rows that are not recalled raise no alarm
+    and are not returned.
+    """
+    scored = stored(recall_ensemble(df, features, label, train, valid, recall_settings), "recall")
+    return fault_time_regressor(recalled(scored, threshold=threshold), features, days, train, limit, alarm_at, time_settings)

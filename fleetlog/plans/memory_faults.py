@@ -17,7 +17,7 @@ from fleetlog.functions import encode, timegrid
 from fleetlog.operators import bins, joins, trailing
 from fleetlog.operators.dictionary import encode as apply_dictionary
 from fleetlog.session import stored
-from fleetlog.sources.logs import KERNEL_FLAGS
+from fleetlog.sources.logs import KERNEL_FLAGS, bucketed
 
 KEY = ["sn", "bin"]
 
@@ -194,8 +194,9 @@ def memory_table(
     families |= {
         k: v for k, v in kernel_families(kernel, flags, origin, weight=n).items() if k != "kernel_volume"
     }
-    families = {name: stored(family, name) for name, family in families.items()}
-    table = join_families(bins.bin_last(address), families, fill=0)
+    # a shuffle by the key for each family when it is stored, none when they are joined
+    families = {name: bucketed(family, name, KEY) for name, family in families.items()}
+    table = join_families(bucketed(bins.bin_last(address), "windows", KEY), families, fill=0)
     fields = timegrid.calendar_fields(F.col("last_t"))
     table = table.withColumns(
         {"month": fields["month"], "global_day": timegrid.elapsed_days(F.col("last_t"), origin)}

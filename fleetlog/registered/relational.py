@@ -141,11 +141,14 @@ _REPORT = """SELECT '{c}' AS feature, '{kind}' AS type, count(*) - count({c}) AS
 
 
 @query(
-    " UNION ALL ".join(_REPORT.format(c=c, kind=k) for c, k in [("v", "double"), ("k", "int"), ("k7", "int")]),
+    " UNION ALL ".join(_REPORT.format(c=c, kind=k) for c, k in [("v", "double"), ("k", "int"), ("k7", "int")])
+    + """ UNION ALL SELECT 'cat', 'string', count(*) - count(cat), count(DISTINCT cat) + CASE WHEN count(*) > count(cat) THEN 1 ELSE 0 END, count(cat),
+    NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT nullif(cat, 'view') AS cat FROM ev_null)""",
     "ev_null",
 )
 def feature_report(x: Tables):
-    report = dictionary.feature_report(x.ev_null(), ["v", "k", "k7"])
+    log = x.ev_null().withColumn("cat", F.expr("nullif(cat, 'view')"))
+    report = dictionary.feature_report(log, ["v", "k", "k7", "cat"])
     return rounded(report, ["mean", "std", "p25", "p50", "p75", "p95", "p99"])
 
 

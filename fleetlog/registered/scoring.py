@@ -69,6 +69,7 @@ def _model_rows(x: Tables):
     return scored.select(
         "id",
         "sn",
+        "t",
         "y",
         "v",
         F.col("k").cast("double").alias("kd"),
@@ -83,21 +84,33 @@ def _model_rows(x: Tables):
 FEATURES = ["v", "kd", "hour", "is_error"]
 
 
+#: Drawn as in production; fewer trees, because boosting takes its trees one after the other.
+TREES = 10
+
+
 @query()
 def recall_ensemble(x: Tables):
     rows = _model_rows(x)
-    small = [models.Boosting(2, 0.1, 3, 0.98, 7 + i) for i in range(3)]
-    found = models.recall_ensemble(rows, FEATURES, "y", F.col("day") < 20, F.col("day") >= 25, small)
-    return models.recalled(found, threshold=0.0).select("id", r6("recall_proba").alias("recall_proba"))
+    found = models.recall_ensemble(rows, FEATURES, "y", F.col("day") < 20, F.col("day") >= 25, models.draw_settings(3, TREES))
+    return models.recalled(found).select("id", r6("recall_proba").alias("recall_proba"))
+
+
+def _judged(x: Tables):
+    settings = models.draw_settings(3, TREES)
+    return models.alarm_chain(_model_rows(x), FEATURES, "y", "days_to_failure", F.col("day") < 20, F.col("day") >= 25, settings, settings)
 
 
 @query()
 def fault_time_regressor(x: Tables):
-    small = [models.Boosting(2, 0.1, 3, 0.98, 7 + i) for i in range(2)]
-    found = models.fault_time_regressor(
-        _model_rows(x), FEATURES, "days_to_failure", F.col("day") < 20, settings=small
-    )
-    return found.select("id", r6("pred_days").alias("pred_days"), r6("score").alias("score"), "pred_label")
+    """Days to failure of the rows that the recall models keep."""
+    return _judged(x).select("id", r6("pred_days").alias("pred_days"), r6("score").alias("score"), "pred_label")
+
+
+@query()
+def fault_alarm_chain(x: Tables):
+    """Recall, filter, days to failure, first alarms, and what they are worth."""
+    late = _judged(x).where("day >= 20 and pred_label = 1")
+    return rounded(alarms.alarm_f1(late, x.fail()), ["precision", "recall", "f1"])
 
 
 @query(
@@ -128,8 +141,10 @@ def multilabel_time_model(x: Tables):
 
 @query()
 def fault_classifier(x: Tables):
-    folded = splits.group_kfold(_model_rows(x), "sn", 3)
-    found = models.fault_classifier(folded, FEATURES, "label", "fold", 3, trees=3, depth=3)
+    """Out-of-fold classes of labelled rows, blended ones of the tenth that has no label."""
+    rows = _model_rows(x).withColumn("label", F.when(F.col("id") % 10 == 9, -1).otherwise(F.col("label")))
+    folded = splits.group_kfold(rows, "sn", 5)
+    found = models.fault_classifier(folded, FEATURES, "label", "fold", 5)
     return found.select("id", "fold", "label", "pred", *[r6(F.col("probs")[i]).alias(f"p{i}") for i in range(4)])
 
 

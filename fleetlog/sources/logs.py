@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlog.session import shared_dir
+
 # The 24 kernel-log flags.
 KERNEL_FLAGS = [
     "1_hwerr_f", "1_hwerr_e", "2_hwerr_c", "2_sel", "3_hwerr_n", "2_hwerr_s",
@@ -90,9 +92,22 @@ def load_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Write a table bucketed by machine, so that joins and aggregations on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def bucketed(df: DataFrame, purpose: str, key: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Store an intermediate table in buckets of its key, and read it back.
+
+    Joins and aggregations on the whole key of tables with as many buckets (by default the session's shuffle
+    partitions) need no exchange. A bucket is one file of one task. The table's name is given back at
+    once: its files lie in the shared folder like those of ``stored``.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_dir(spark, purpose)
+    name = "stored_" + path.rsplit("-", 1)[1]
+    spread = df.repartition(buckets, *key)
+    spread.write.option("path", path).bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def write_csv(df: DataFrame, path: str) -> None:

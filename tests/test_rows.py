@@ -189,3 +189,22 @@ def test_machines_go_to_the_lightest_fold(spark):
     dealt = splits._deal([(50, 1), (20, 7), (3, 100)], 3)
     got = [sum(size * (e[f] - (e[f - 1] if f else 0)) for size, e in dealt) for f in range(3)]
     assert got == loads
+
+
+def test_bucketed_families_join_without_an_exchange(spark, monkeypatch):
+    from fleetlog.operators import joins
+    from fleetlog.sources.logs import bucketed
+
+    key = ["sn", "bin"]
+    base = spark.range(500).select((F.col("id") % 7).alias("sn"), F.col("id").alias("bin"), F.lit(1).alias("x"))
+    families = [base.where(f"bin % {m} = 0").select(*key, (F.col("bin") * m).alias(f"f{m}")) for m in (2, 3, 5)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.feature_join(bucketed(base, "base", key), [bucketed(f, "family", key) for f in families], key)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
+        got = {r.bin: (r.f2, r.f3, r.f5) for r in joined.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {i: tuple(i * m if i % m == 0 else 0 for m in (2, 3, 5)) for i in range(500)}

@@ -77,6 +77,12 @@ def test_panes_and_their_trailing_sums_come_from_the_stream(spark, tmp_path):
         assert (r.n, r.k, r.n_10m, r.n_60m, r.k_60m) == (n, s, upto(10, 0), upto(60, 0), upto(60, 1))
 
 
+def easy(spark):
+    rng = random.Random(1)
+    data = [(i, i % 9, x := rng.random(), rng.random(), int(x > 0.6), 0.01 if x > 0.6 else None, int(x * 4)) for i in range(240)]
+    return spark.createDataFrame(data, "id int, sn int, a double, b double, y int, days double, label int")
+
+
 def test_recall_and_regression(spark):
     small = [models.Boosting(2, 0.3, 5, 1.0, 1)]
     df = models.recall_ensemble(easy(spark), ["a", "b"], "y", F.col("id") < 160, F.col("id") >= 160, small)
@@ -97,5 +103,28 @@ def test_multilabel_and_classifier(spark):
     assert evaluate.class_summary(found, "label", "pred").first().accuracy > 0.6
 
 
+def test_unlabelled_rows_get_the_blend_of_all_models(spark):
+    df = easy(spark).withColumn("label", F.when(F.col("id") % 6 == 0, -1).when(F.col("id") % 6 == 1, F.lit(None)).otherwise(F.col("label")))
+    truth = easy(spark).select(F.col("id").alias("i"), F.col("label").alias("truth"))
+    folded = splits.group_kfold(df, "sn", 3)
+    found = models.fault_classifier(folded, ["a", "b"], "label", "fold", 3, trees=5, depth=4)
+    assert found.count() == df.count()
+    new = found.where("label is null or label < 0").join(truth, F.col("id") == F.col("i"))
+    assert new.count() == df.where("id % 6 < 2").count()
+    for r in new.collect():
+        assert abs(sum(r.probs) - 1) < 1e-9
+    assert new.where("pred = truth").count() > 0.7 * new.count()
+
+
+def test_the_chain_judges_recalled_rows_only(spark):
+    small = [models.Boosting(2, 0.3, 5, 1.0, 1)]
+    rows_ = easy(spark)
+    scored = models.recall_ensemble(rows_, ["a", "b"], "y", F.col("id") < 160, None, small)
+    kept = {r.id for r in models.recalled(scored, threshold=0.5).collect()}
+    judged = models.alarm_chain(rows_, ["a", "b"], "y", "days", F.col("id") < 160, None, small, small, threshold=0.5).collect()
+    assert {r.id for r in judged} == kept and 0 < len(kept) < rows_.count()
+    assert all((r.pred_label == 1) == (r.pred_days <= 0.1) for r in judged)
+
+
 def test_settings_are_drawn_with_a_seed():
     assert models.draw_settings(3, 10, seed=5) == models.draw_settings(3, 10, seed=5)
