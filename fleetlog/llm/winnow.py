@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ WINDOW = 47
 #: Blocks of half a window that are worked on at once.
 PIECE = 256
 #: Code points of text in one range of ids, and the most ranges.
-CHUNK_CHARS = 16_000_000
-MOST_CHUNKS = 1 << 16
+CHUNK_CHARS = 2_000_000
+MOST_CHUNKS = 1 << 15
 
 _LOW = (1 << 32) - 1
 #: A quarter of all 64-bit hashes lie below.
@@ -139,6 +140,11 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, window: int =
     ), name
 
 
+def _numbers(values: list[int]) -> Column:
+    """Whole numbers as one literal array."""
+    return F.lit(np.array(values, np.int64)).cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def followed(docs: DataFrame, carried: list[str], doc_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Rows with ``next_<c>`` of the row behind them in descending order of the id; the first follows the last.
 
@@ -153,7 +159,7 @@ def followed(docs: DataFrame, carried: list[str], doc_id: str = "doc_id", text:
     chunks = max(1, min(MOST_CHUNKS, -(-(total or 0) // chunk_chars)))
     at = [i / chunks for i in range(1, chunks)]
     cuts = sorted(set(docs.agg(F.percentile_approx(key, at, 10 * chunks)).first()[0] or [])) if at else []
-    points = F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<bigint>")
+    points = _numbers(cuts)
     steps = len(cuts).bit_length()
     halving = F.array(*[F.lit(1 << (steps - 1 - s)) for s in range(steps)]).cast("array<int>")
     # cuts below the id, by binary search
@@ -163,8 +169,10 @@ def followed(docs: DataFrame, carried: list[str], doc_id: str = "doc_id", text:
     order = sorted(heads)
     above = {c: order[i + 1] if i + 1 < len(order) else order[0] for i, c in enumerate(order)}
     span = range(len(cuts) + 1)
-    head_of = F.get(F.array(*[F.lit(heads.get(c)).cast("long") for c in span]), F.col("_chunk"))
-    goes_to = F.get(F.array(*[F.lit(above.get(c)).cast("int") for c in span]), F.col("_chunk"))
+    # a range of rows without an id has no head: theirs is null like their ids
+    head_of = F.get(_numbers([heads.get(c) or 0 for c in span]), F.col("_chunk"))
+    head_of = F.when(F.col("_chunk").isin([c for c in order if heads[c] is None]), F.lit(None)).otherwise(head_of)
+    goes_to = F.get(_numbers([above.get(c, c) for c in span]), F.col("_chunk")).cast("int")
     placed = docs.withColumn("_chunk", chunk)
     stay = F.struct(F.col("_chunk").alias("at"), F.lit(0).alias("lap"), F.lit(True).alias("home"))
     lap = F.when(F.col("_chunk") == order[-1], 1).otherwise(0)
