@@ -203,13 +203,13 @@ def best_f1_threshold_few(x: Tables):
 
 @query(
     f"""WITH s AS (SELECT sn, {_DAY} // 16 AS month, proba AS p, y FROM scored),
-    th AS (SELECT unnest(range(256)) AS i), g AS (SELECT i, i * (0.25 / 255) AS th FROM th),
+    th AS (SELECT unnest(range(2048)) AS i), g AS (SELECT i, i * (0.25 / 2047) AS th FROM th),
     r AS (SELECT month, i, count(*) FILTER (y = 1 AND p > th) AS tp, count(*) FILTER (y = 0 AND p > th) AS fp,
       count(*) FILTER (y = 1 AND p <= th) AS fn FROM s, g GROUP BY month, i),
     m AS (SELECT month, sn, max(p) AS p, max(y) AS y FROM s GROUP BY month, sn),
     c AS (SELECT month, i, count(*) FILTER (y = 1 AND p > th) / CAST(count(*) FILTER (y = 1) AS DOUBLE) AS caught,
       count(*) FILTER (p > th) / CAST(count(*) AS DOUBLE) AS flagged FROM m, g GROUP BY month, i)
-    SELECT i, round(i * (0.25 / 255), 6) AS threshold, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)), 6) AS sample_f1,
+    SELECT i, round(i * (0.25 / 2047), 6) AS threshold, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)), 6) AS sample_f1,
     round(avg(caught), 6) AS machine_recall, round(avg(flagged), 6) AS flagged_share
     FROM r JOIN c USING (month, i) GROUP BY i""",
     "scored",
@@ -217,7 +217,7 @@ def best_f1_threshold_few(x: Tables):
 def recall_threshold_curve(x: Tables):
     half = F.floor(timegrid.elapsed_days(F.col("t"), ORIGIN) / 16)
     rows = x.scored().withColumn("month", half)
-    curve = evaluate.recall_threshold_curve(rows, "proba", "y", n=256)
+    curve = evaluate.recall_threshold_curve(rows, "proba", "y", n=2048)
     return rounded(curve, ["threshold", "sample_f1", "machine_recall", "flagged_share"])
 
 

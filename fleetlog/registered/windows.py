@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from fleetlog.functions import timegrid
 from fleetlog.operators import alarms, bins, trailing
-from fleetlog.registered.core import Tables, query, rounded
+from fleetlog.registered.core import Tables, query, r6, rounded
 
 ADDRESS_WINDOWS = [15, 120, 360, 720, 1440, 2880]
 FLAG_WINDOWS = [120, 720, 1440, 2880]
+BIN_WINDOWS = [30, 720, 1440, 2880]
+DISTINCT_WINDOWS = [5, 15, 120, 720, 1440, 2880]
 SPREAD_WINDOWS = [5, 30, 360, 1440, 2880, 20_160]
 CATS = ["click", "error", "purchase", "signup", "view"]
 
@@ -34,9 +36,9 @@ def trailing_count(x: Tables):
     return trailing.trailing_count(x.ev(), ADDRESS_WINDOWS)
 
 
-@query(_trailing_sql([120, 720, 2880], "sum(k::HUGEINT)", "cnt"), "ev")
+@query(_trailing_sql(ADDRESS_WINDOWS, "sum(k::HUGEINT)", "cnt"), "ev")
 def trailing_count_weighted(x: Tables):
-    return trailing.trailing_count(x.ev(), [120, 720, 2880], weight=F.col("k"))
+    return trailing.trailing_count(x.ev(), ADDRESS_WINDOWS, weight=F.col("k"))
 
 
 def _change_sql(windows, sums):
@@ -102,15 +104,33 @@ def trailing_sum_of_fractions(x: Tables):
 
 
 @query(
-    """WITH b AS (SELECT sn, bin, bin * 300 AS t, count(*) FILTER (cat = 'error') AS n FROM binned GROUP BY sn, bin)
-    SELECT sn, bin, CAST(sum(n) OVER w30 AS BIGINT) AS n_30m, CAST(sum(n) OVER w2880 AS BIGINT) AS n_2880m FROM b
-    WINDOW w30 AS (PARTITION BY sn ORDER BY t RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW),
-    w2880 AS (PARTITION BY sn ORDER BY t RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW)""",
+    "WITH b AS (SELECT sn, bin, bin * 300 AS t, count(*) FILTER (cat = 'error') AS n FROM binned GROUP BY sn, bin) SELECT sn, bin, "
+    + ", ".join(f"CAST(sum(n) OVER w{w} AS BIGINT) AS n_{w}m" for w in BIN_WINDOWS)
+    + " FROM b WINDOW "
+    + ", ".join(f"w{w} AS (PARTITION BY sn ORDER BY t RANGE BETWEEN {w * 60} PRECEDING AND CURRENT ROW)" for w in BIN_WINDOWS),
     "binned",
 )
 def trailing_sum_of_bins(x: Tables):
     error = F.when(F.col("cat") == "error", 1).otherwise(0)
-    return trailing.trailing_bin_sums(x.binned(), [30, 2880], {"n": error})
+    return trailing.trailing_bin_sums(x.binned(), BIN_WINDOWS, {"n": error})
+
+
+@query("WITH flags AS (SELECT 0 AS sn, t FROM ev), " + _change_sql(ADDRESS_WINDOWS, {"cnt": "1"})[5:], "ev")
+def trailing_change_of_one_machine(x: Tables):
+    """All events on one machine: thousands of rows in a window."""
+    return trailing.trailing_count(x.ev().withColumn("sn", F.lit(0)), ADDRESS_WINDOWS, change=True)
+
+
+@query(
+    "SELECT DISTINCT t, "
+    + ", ".join(f"round(ln(1 + var_pop(v) OVER w{w}), 6) AS log_var_{w}m" for w in FLAG_WINDOWS)
+    + " FROM ev WINDOW "
+    + ", ".join(f"w{w} AS (ORDER BY t RANGE BETWEEN {w * 60} PRECEDING AND CURRENT ROW)" for w in FLAG_WINDOWS),
+    "ev",
+)
+def trailing_variance_of_one_machine(x: Tables):
+    found = trailing.trailing_variance(x.ev().withColumn("sn", F.lit(0)), FLAG_WINDOWS, "v", by=["sn"])
+    return found.select("t", *_log_variances())
 
 
 @query(
@@ -121,11 +141,11 @@ def trailing_distinct(x: Tables):
 
 
 @query(
-    _trailing_sql([120, 2880], "count(DISTINCT (bankid, row))", "cells", source="addr"), "addr"
+    _trailing_sql(DISTINCT_WINDOWS, "count(DISTINCT (bankid, row))", "cells", source="addr"), "addr"
 )
 def trailing_distinct_cells(x: Tables):
     cell = F.struct("bankid", "row")
-    return trailing.trailing_distinct(x.addr(), [120, 2880], cell, "cells")
+    return trailing.trailing_distinct(x.addr(), DISTINCT_WINDOWS, cell, "cells")
 
 
 @query(
@@ -151,16 +171,21 @@ def trailing_variance(x: Tables):
     return rounded(found, [f"var_{w}m" for w in SPREAD_WINDOWS])
 
 
+def _log_variances():
+    """Variances of amounts with two decimals often lie right between two rounded ones; their logarithms do not."""
+    return [r6(F.log(F.col(f"var_{w}m") + 1)).alias(f"log_var_{w}m") for w in FLAG_WINDOWS]
+
+
 @query(
     "SELECT DISTINCT sn, t, "
-    + ", ".join(f"round(var_pop(v) OVER w{w}, 6) AS var_{w}m" for w in FLAG_WINDOWS)
+    + ", ".join(f"round(ln(1 + var_pop(v) OVER w{w}), 6) AS log_var_{w}m" for w in FLAG_WINDOWS)
     + " FROM ev WINDOW "
     + ", ".join(f"w{w} AS (PARTITION BY sn ORDER BY t RANGE BETWEEN {w * 60} PRECEDING AND CURRENT ROW)" for w in FLAG_WINDOWS),
     "ev",
 )
 def trailing_variance_of_fractions(x: Tables):
     found = trailing.trailing_variance(x.ev(), FLAG_WINDOWS, "v", by=["sn"])
-    return rounded(found, [f"var_{w}m" for w in FLAG_WINDOWS])
+    return found.select("sn", "t", *_log_variances())
 
 
 @query(
