@@ -36,6 +36,8 @@ SAMPLE_CHARS = 20_000
 BUCKET_BITS = 16
 DIMENSIONS = 16
 EPOCHS = 6
+#: Steps of the descent at least, however few the rows: small samples are gone through more often.
+LEAST_STEPS = 18_000
 RATE = 0.5
 #: At most this share of the rightly predicted calibration rows may be rejected, by either limit.
 REJECT_SHARE = 0.001
@@ -124,8 +126,9 @@ def train(texts: list[str], labels: list[str], bits: int = BUCKET_BITS, seed: in
     embed = rng.normal(0, 0.1, (1 << bits, DIMENSIONS)).astype(np.float32)
     out = np.zeros((DIMENSIONS, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
-    total = EPOCHS * len(inner)
-    for step, i in enumerate(np.concatenate([rng.permutation(inner) for _ in range(EPOCHS)])):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(inner)))
+    total = epochs * len(inner)
+    for step, i in enumerate(np.concatenate([rng.permutation(inner) for _ in range(epochs)])):
         index, share = bags[i]
         rate = RATE * (1 - step / total)
         hidden = share @ embed[index]
