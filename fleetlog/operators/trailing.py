@@ -13,16 +13,20 @@ Two strategies give the same numbers:
 
 No frame slides: every number comes from running frames, so a row costs the same however full its
 window is. Whole and decimal amounts are differences of two running sums of the chunk, which are
-exact. Fractional amounts and variances take a window apart instead (``at_front``): time is cut into blocks as long
+exact. Fractional amounts take a window apart instead (``at_front``): time is cut into blocks as long
 as the window, so a window is the end of one block and the beginning of the next, each a running aggregate
-of its own block. Nothing that has left a window, not even a NaN, stays behind, and nothing cancels out.
+of its own block. Variances put a window together from parts inside it (``trailing_variance``). Nothing that has left
+a window, not even a NaN, stays behind, and nothing cancels out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,45 +228,142 @@ def trailing_variance(
     """Population variance of the values in the past W minutes: ``var_<W>m``, null without values.
 
     ``weight`` tells how many log rows a row stands for, 1 if it is missing or less. Equal values of a second
-    are added up first. In a block the moments grow row by row (West's update: every term is a product of two
-    deviations of one sign, so nothing cancels out); the two parts of a window are merged by their means.
+    are added up first. A chunk is sorted once and read as a stream of batches, of which a task keeps twice its longest
+    window; the moments of a window are put together
+    from those of halves, quarters, ... of the batch that lie inside it, for all rows and windows of a batch at a time. Parts
+    are merged by their means, so nothing cancels out, and nothing outside a window plays a part in it.
     """
     heavy = F.lit(1) if weight is None else F.greatest(F.coalesce(weight, F.lit(0)), F.lit(1))
     rows = log.select(*by, time, F.col(value).cast("double").alias("_x"), heavy.cast("double").alias("_w"))
     rows = rows.groupBy(*by, time, "_x").agg(F.sum("_w").alias("_w"))
     rows = rows.withColumn("_w", F.when(F.col("_x").isNotNull(), F.col("_w")).otherwise(0.0))
     spread, part = chunked(rows, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
-    ways = ("up", "down")
-    for w in windows:
-        spread = spread.withColumn(f"_block_{w}", F.floor(F.col(time) / (w * MINUTE + 1)))
-        for way, frame in zip(ways, _block_frames(part, f"_block_{w}", [time, "_x"]), strict=True):
-            held = F.sum("_w").over(frame)
-            spread = spread.withColumn(f"_{way}_{w}", F.struct(held.alias("n"), (F.sum(F.col("_x") * F.col("_w")).over(frame) / F.when(held > 0, held)).alias("mean")))
-            along = Window.partitionBy(*part, f"_block_{w}").orderBy(*([time, "_x"] if way == "up" else [F.col(time).desc(), F.col("_x").desc()]))
-            mean, before = F.col(f"_{way}_{w}")["mean"], F.lag(F.col(f"_{way}_{w}")["mean"]).over(along)
-            # the first value adds nothing, or what is no number
-            grown = F.coalesce(F.col("_w") * (F.col("_x") - before) * (F.col("_x") - mean), F.col("_x") * 0)
-            spread = spread.withColumn("_grown", grown).withColumn(
-                f"_{way}_{w}",
-                F.struct(F.col(f"_{way}_{w}")["n"].alias("n"), mean.alias("mean"), F.coalesce(F.sum("_grown").over(frame), F.lit(0.0)).alias("m2")),
-            )
-    order = Window.partitionBy(*part).orderBy(time)
-    single = Window.partitionBy(*part).orderBy(time, "_x")
-    fronts = [at_front(F.struct(F.col(f"_block_{w}").alias("block"), F.col(f"_down_{w}").alias("m")), time, w * MINUTE, order, single).alias(f"_front_{w}") for w in windows]
-    found = spread.select("*", F.lead(time).over(single).alias("_after"), *fronts)
-    # all rows of a second are in the running moments of its last one
-    last = F.col("_after").isNull() | (F.col("_after") != F.col(time))
-    outs = [_variance(F.col(f"_up_{w}"), F.when(F.col(f"_front_{w}")["block"] < F.col(f"_block_{w}"), F.col(f"_front_{w}")["m"])).alias(f"var_{w}m") for w in windows]
-    return at_home(found).where(last).select(*by, time, *outs)
-
-
-def _variance(a: Column, b: Column) -> Column:
-    """Population variance of two parts (n, mean, m2), each of which may be missing or empty."""
-    n = F.coalesce(a["n"], F.lit(0.0)) + F.coalesce(b["n"], F.lit(0.0))
-    apart = F.coalesce(a["mean"] - b["mean"], F.lit(0.0))
-    both = F.when((a["n"] > 0) & (b["n"] > 0), apart * apart * a["n"] * b["n"] / n).otherwise(0.0)
-    m2 = F.coalesce(F.when(a["n"] > 0, a["m2"]), F.lit(0.0)) + F.coalesce(F.when(b["n"] > 0, b["m2"]), F.lit(0.0)) + both
-    return F.when(n > 0, m2 / n)
+    if strategy == "range":
+        spread = spread.repartition(*part) if part else spread.coalesce(1)
+    asked = (F.col("_home") == F.col("_chunk")).alias("_asked")
+    cells = spread.sortWithinPartitions(*by, "_chunk", time, "_x").select(
+        *by, time, "_chunk", F.col(time).cast("bigint").alias("_t"), F.coalesce("_x", F.lit(0.0)).alias("_x"), "_w", asked
+    )
+    named = {f"var_{w}m": w * MINUTE for w in windows}
+    out = T.StructType([*[cells.schema[c] for c in (*by, time)], *[T.StructField(n, T.DoubleType()) for n in named]])
+    return cells.mapInArrow(_window_variances([*by, "_chunk"], [*by, time], named), out)
+
+
+#: Rows put together before their windows are worked out.
+VARIANCE_ROWS = 100_000
+
+
+def _window_variances(
+    group: Sequence[str], kept: Sequence[str], windows: Mapping[str, int]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows to one row a group and second with the variances of its windows.
+
+    A group may span batches: seconds that are over are given out, and rows of the longest window are kept for those to come.
+    """
+    longest = max(windows.values())
+
+    def clock_of(table: pa.Table) -> np.ndarray:
+        """Groups one after the other on one clock, further apart than any window."""
+        begins = _group_begins(table, group)
+        t = pc.fill_null(table.column("_t"), 0).to_numpy()
+        ends = np.append(begins[1:], len(t)) - 1
+        lengths = t[ends] - t[begins] + longest + 1
+        return t + np.repeat(np.cumsum(lengths) - lengths - t[begins], ends - begins + 1)
+
+    def found(table: pa.Table, clock: np.ndarray, begin: int, end: int) -> pa.RecordBatch:
+        """The seconds that end in rows from ``begin`` to before ``end``."""
+        last = np.append(clock[1:] != clock[:-1], True)
+        at = begin + np.flatnonzero((last & table.column("_asked").to_numpy())[begin:end])
+        x, w = table.column("_x").to_numpy(), table.column("_w").to_numpy()
+        with np.errstate(invalid="ignore"):
+            tree = _moments(w, x, x * 0.0)  # what is no number has no deviation either
+        variances = []
+        for seconds in windows.values():
+            count, m2 = _between(tree, np.searchsorted(clock, clock[at] - seconds), at + 1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                variances.append(pa.array(m2 / count, pa.float64(), mask=count == 0))
+        columns = [c.combine_chunks() for c in table.select(list(kept)).take(pa.array(at)).columns]
+        return pa.RecordBatch.from_arrays([*columns, *variances], names=[*kept, *windows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, done, due = [], 0, 0, VARIANCE_ROWS
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < due:
+                continue
+            table = pa.Table.from_batches(held)
+            clock = clock_of(table)
+            # the last second may go on
+            over = int(np.searchsorted(clock, clock[-1]))
+            yield found(table, clock, done, over)
+            begin = int(np.searchsorted(clock, clock[-1] - longest))
+            rest = table.slice(begin)
+            held, size, done = rest.to_batches(), rest.num_rows, over - begin
+            due = max(VARIANCE_ROWS, 2 * size)
+        if size:
+            table = pa.Table.from_batches(held)
+            yield found(table, clock_of(table), done, size)
+
+    return run
+
+
+def _group_begins(table: pa.Table, group: Sequence[str]) -> np.ndarray:
+    """Places of the first rows of groups of equal keys; missing keys are equal, as are missing and known times apart."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    absent = pc.is_null(table.column("_t")).to_numpy()
+    new[1:] |= absent[1:] != absent[:-1]
+    for name in group:
+        keys = table.column(name).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = keys.indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _merged(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean and sum of squared deviations of two parts, either of which may be empty."""
+    (n, mean, m2), (k, other, more) = a, b
+    total = n + k
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        apart = other - mean
+        share = k / total
+        both = (n > 0) & (k > 0)
+        joint = np.where(both, mean + apart * share, np.where(k > 0, other, mean))
+        return total, joint, m2 + more + np.where(both, apart * apart * n * share, 0.0)
+
+
+def _moments(n: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Moments of rows, of pairs of rows, of pairs of pairs and so on; a part without a partner is left out."""
+    tree = [(n, mean, m2)]
+    while len(n := tree[-1][0]) > 1:
+        even = len(n) // 2 * 2
+        tree.append(_merged([v[0:even:2] for v in tree[-1]], [v[1:even:2] for v in tree[-1]]))
+    return tree
+
+
+def _between(tree: list[tuple[np.ndarray, ...]], begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count and sum of squared deviations of the rows from ``begin`` up to before ``end``."""
+    left = [np.zeros(len(begin)) for _ in range(3)]
+    right = [np.zeros(len(begin)) for _ in range(3)]
+    open_ = np.arange(len(begin))
+    low, high = begin.astype(np.int64), end.astype(np.int64)
+    for level in tree:
+        for edge, place, result, first in ((low, low, left, False), (high, high - 1, right, True)):
+            odd = np.flatnonzero((edge & 1 == 1) & (low < high))
+            to, part = open_[odd], [v[place[odd]] for v in level]
+            mine = [v[to] for v in result]
+            for v, merged in zip(result, _merged(part, mine) if first else _merged(mine, part), strict=True):
+                v[to] = merged
+            if not first:
+                low = low + (low & 1)
+        low, high = low >> 1, high >> 1
+        still = low < high
+        open_, low, high = open_[still], low[still], high[still]
+        if not len(open_):
+            break
+    count, _, m2 = _merged(left, right)
+    return count, m2
 
 
 def trailing_bin_sums(

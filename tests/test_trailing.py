@@ -183,3 +183,29 @@ def test_rows_without_a_machine_are_one_machine(spark):
     df = spark.createDataFrame([(None, 10, 1), (None, 20, 2), (1, 20, 2)], "sn bigint, t bigint, k int")
     found = trailing.attach(df, trailing.trailing_count(df, [5], change=True))
     assert rows(found, "sn", "t", "cnt_5m", "cnt_5m_change") == [(1, 20, 1, 1), (None, 10, 1, 1), (None, 20, 2, 2)]
+
+
+def test_variance_in_one_sort(spark, capsys):
+    """However many windows: rows are sorted once and no frame holds them (it was two sorts and frames a window)."""
+    df = log(spark, random_log(spark))
+    trailing.trailing_variance(df, [5, 30, 60, 120], "k", by=["sn"]).explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 1 and "Window" not in plan
+
+
+def test_variance_of_groups_over_many_batches(spark):
+    """A machine of more rows than are put together at a time, machines without an id, far values, NaN that has left."""
+    n = trailing.VARIANCE_ROWS + 20_000
+    far = 1e9
+    value = F.when(F.col("id") == 100, float("nan")).otherwise(F.lit(far) + F.col("id") % 7)
+    dense = spark.range(n).select(F.when(F.col("id") < 5_000, F.lit(None)).otherwise(F.lit(1)).cast("long").alias("sn"), "id", value.alias("v"))
+    dense = dense.withColumn("t", F.floor(F.col("id") / 2))
+    got = {(r.sn, r.t): r.var_60m for r in trailing.trailing_variance(dense, [60], "v", by=["sn"]).collect()}
+    assert len(got) == n // 2
+    for sn, t in ((1, 2_500), (1, 30_000), (1, n // 2 - 1), (None, 10), (None, 2_400)):
+        lo = max(t - 3_600, 0 if sn is None else 2_500)
+        inside = [i % 7 for i in range(2 * lo, 2 * t + 2)]
+        if sn is None and 100 in range(2 * lo, 2 * t + 2):
+            assert got[sn, t] != got[sn, t]
+        else:
+            assert got[sn, t] == pytest.approx(np.var(inside), rel=1e-6)
