@@ -72,6 +72,18 @@ def _mean(columns: Sequence[str]) -> Column:
     return total / len(columns)
 
 
+#: Partitions of training rows per core of the cluster.
+PARTS_PER_CORE = 4
+
+
+def _in_few_parts(rows: DataFrame) -> DataFrame:
+    """Rows in a number of partitions that the cluster gives and not the input.
+
+    Boosting runs several jobs for each level of each tree, and each task of them reports to the driver.
+    """
+    return rows.coalesce(PARTS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def recall_ensemble(
     df: DataFrame,
     features: Sequence[str],
@@ -86,7 +98,7 @@ def recall_ensemble(
     used = rows.where(train | valid) if valid is not None else rows.where(train)
     if valid is not None:
         used = used.withColumn("_valid", F.coalesce(valid, F.lit(False)))
-    used = used.persist(StorageLevel.MEMORY_AND_DISK)
+    used = _in_few_parts(used).persist(StorageLevel.MEMORY_AND_DISK)
     names = []
     for i, s in enumerate(settings or draw_settings(3, 100)):
         model = GBTClassifier(
@@ -133,7 +145,7 @@ def fault_time_regressor(
 ) -> DataFrame:
     """Boosted regression of the clipped days to failure, turned into scores and alarms."""
     rows = assemble(df, features).withColumn("_y", failure_target(F.col(days), limit)[0])
-    used = rows.where(train).persist(StorageLevel.MEMORY_AND_DISK)
+    used = _in_few_parts(rows.where(train)).persist(StorageLevel.MEMORY_AND_DISK)
     names = []
     for i, s in enumerate(settings or draw_settings(3, 100)):
         model = GBTRegressor(
