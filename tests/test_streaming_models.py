@@ -128,3 +128,12 @@ def test_the_chain_judges_recalled_rows_only(spark):
 
 def test_settings_are_drawn_with_a_seed():
     assert models.draw_settings(3, 10, seed=5) == models.draw_settings(3, 10, seed=5)
+
+
+def test_training_parts_do_not_follow_the_input(spark):
+    """Each task of each boosting job reports to the driver: their number is the cluster's, not that of the input's files."""
+    few = models.PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 2_000, 1, 500)
+    assert models._in_few_parts(rows).rdd.getNumPartitions() == few
+    assert models._in_few_parts(rows).count() == 2_000
+    assert models._in_few_parts(spark.range(0, 2_000, 1, 2)).rdd.getNumPartitions() == 2
