@@ -99,16 +99,18 @@ def minute_batches(
 ) -> DataFrame:
     """The rows of every minute once it is over: ``shard, minute_end, columns, place``.
 
-    ``columns`` are numbers and texts. Rows are spread over shards (a column), which bound what one task holds: the
-    rows of the minutes that are still open. Inside a minute and shard rows come in the given order, numbered from 1 by ``place``.
+    ``columns`` are numbers and texts. Rows are spread over shards (a column) and hours, which bound what one call holds: the
+    rows of an hour's minutes that are still open. Inside a minute and shard rows come in the given order, numbered from 1 by ``place``.
     A row is late, and dropped, if its time is not after the watermark: the latest time seen in earlier
     batches less ``delay``. A minute stays open until the watermark has reached its end.
     """
     timed = with_event_time(log, ts, delay)
-    keyed = timed.select(EVENT_TIME, shard.cast("bigint").alias("shard"), _right_edge(60).alias("minute_end"), *columns)
-    kept = T.StructType([f for f in keyed.schema.fields if f.name not in (EVENT_TIME, "shard")])
-    out = T.StructType([keyed.schema["shard"], *kept.fields, T.StructField("place", T.LongType())])
-    return _stateful(keyed, ["shard"], MinuteRows(kept, order), out)
+    key = ["shard", "_hour"]
+    keyed = timed.where(F.col(EVENT_TIME).isNotNull()).select(EVENT_TIME, shard.cast("bigint").alias("shard"), _right_edge(60).alias("minute_end"), *columns)
+    keyed = keyed.withColumn("_hour", F.floor(F.col("minute_end") / 3600))
+    kept = T.StructType([f for f in keyed.schema.fields if f.name not in (EVENT_TIME, *key)])
+    out = T.StructType([*[keyed.schema[k] for k in key], *kept.fields, T.StructField("place", T.LongType())])
+    return _stateful(keyed, key, MinuteRows(kept, order), out).drop("_hour")
 
 
 def _stateful(rows: DataFrame, key: Sequence[str], processor: _Timed, out: T.StructType) -> DataFrame:
@@ -145,55 +147,62 @@ class _Keyed(StatefulProcessor):
 
 
 class PaneSums(_Timed):
-    """Sums per observation window of a machine, and over the windows of the past, kept as long as the longest look-back."""
+    """Sums per observation window of the machines of a shard, and over the windows of the past, kept as long as the longest look-back."""
 
     def __init__(self, amounts: Sequence[str], trailing: Mapping[str, Sequence[int]]):
         self.amounts, self.trailing = list(amounts), {a: list(w) for a, w in trailing.items()}
         self.longest = 60 * max((m for w in self.trailing.values() for m in w), default=0)
+        self.names = ["machine", "edge", "done", *self.amounts]
 
     def init(self, handle) -> None:
         self.handle = handle
         fields = ", ".join(f"{a} array<bigint>" for a in self.amounts)
-        self.state = handle.getValueState("panes", f"edge array<bigint>, done array<boolean>, {fields}")
+        self.state = handle.getValueState("panes", f"machine array<string>, edge array<bigint>, done array<boolean>, {fields}")
 
     def _read(self) -> pd.DataFrame:
-        held = self.state.get() if self.state.exists() else None
-        names = ["edge", "done", *self.amounts]
-        return pd.DataFrame(dict(zip(names, (list(x) for x in held), strict=True))) if held else pd.DataFrame({n: [] for n in names}).astype({"edge": "int64", "done": bool})
+        held = self.state.get() if self.state.exists() else [[] for _ in self.names]
+        panes = pd.DataFrame(dict(zip(self.names, (list(x) for x in held), strict=True)))
+        return panes.astype({"machine": object, "edge": "int64", "done": bool, **dict.fromkeys(self.amounts, "int64")})
 
     def _write(self, panes: pd.DataFrame) -> None:
-        self.state.update(tuple(panes[c].tolist() for c in ("edge", "done", *self.amounts)))
+        self.state.update(tuple(panes[c].tolist() for c in self.names))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         parts = [self._read()]
         for batch in rows:
-            summed = batch.groupby("edge", as_index=False)[self.amounts].sum()
+            summed = batch.groupby(["machine", "edge"], as_index=False)[self.amounts].sum()
             parts.append(summed.assign(done=False))
         # a pane that is open is in the state at most once; closed ones get no more rows
-        panes = pd.concat([p for p in parts if len(p)] or parts[:1]).groupby("edge", as_index=False).agg({"done": "max", **dict.fromkeys(self.amounts, "sum")})
+        whole = {"done": "max", **dict.fromkeys(self.amounts, "sum")}
+        panes = pd.concat([p for p in parts if len(p)] or parts[:1]).groupby(["machine", "edge"], as_index=False).agg(whole)
         panes[self.amounts] = panes[self.amounts].astype("int64")
-        self._write(panes.sort_values("edge"))
-        if (~panes["done"].astype(bool)).any():
-            self._wake(int(panes.loc[~panes["done"].astype(bool), "edge"].min()) * 1000, timerValues.getCurrentWatermarkInMs(), instead=True)
+        self._write(panes)
+        waiting = panes.loc[~panes["done"].astype(bool), "edge"]
+        if len(waiting):
+            self._wake(int(waiting.min()) * 1000, timerValues.getCurrentWatermarkInMs(), instead=True)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        panes = self._read()
+        panes = self._read().sort_values(["machine", "edge"], ignore_index=True)
         edges, done = panes["edge"].to_numpy(np.int64), panes["done"].to_numpy(bool)
         fresh = ~done & (edges * 1000 <= now)
-        out = panes.loc[fresh, ["edge", *self.amounts]].copy()
+        out = panes.loc[fresh, ["machine", "edge", *self.amounts]].copy()
+        # machines one after the other on one clock, further apart than any window
+        turn = pd.factorize(panes["machine"])[0].astype(np.int64)
+        clock = edges + turn * (int(np.ptp(edges)) + self.longest + 1 if len(edges) else 0)
         for amount, windows in self.trailing.items():
             upto = np.concatenate([[0], np.cumsum(panes[amount].to_numpy(np.int64))])
             for minutes in windows:
-                begin = np.searchsorted(edges, edges - 60 * minutes)
+                begin = np.searchsorted(clock, clock - 60 * minutes)
                 out[f"{amount}_{minutes}m"] = (upto[np.arange(len(edges)) + 1] - upto[begin])[fresh]
         panes["done"] = done | fresh
-        open_ = edges[~panes["done"].to_numpy(bool)]
+        open_ = ~panes["done"].to_numpy(bool)
         # what no later window can reach: panes end no earlier than the watermark from now on
-        if len(open_) or (edges * 1000 > now - 1000 * self.longest).any():
-            self._write(panes[(edges * 1000 > now - 1000 * self.longest) | ~panes["done"].to_numpy(bool)])
-            self._wake(int(open_.min()) * 1000 if len(open_) else int(edges.max() + self.longest) * 1000, now, instead=True)
+        kept = open_ | (edges * 1000 > now - 1000 * self.longest)
+        if kept.any():
+            self._write(panes[kept])
+            self._wake(int(edges[open_].min()) * 1000 if open_.any() else int(edges.max() + self.longest) * 1000, now, instead=True)
         else:
             self.state.clear()
         yield out
@@ -207,19 +216,26 @@ def bin_features(
     step: int = 300,
     delay: str = "0 seconds",
     trailing: Mapping[str, Sequence[int]] | None = None,
+    shards: int = 256,
 ) -> DataFrame:
     """Per machine and observation window, once it is over: sums, keyed by the right edge of the window.
 
     ``trailing`` adds sums over the past minutes' windows, ``<amount>_<W>m``, given out with the window. Amounts are whole
-    numbers; null ones count for nothing. The state of a machine holds its windows of the longest look-back and is
+    numbers; null ones count for nothing. Machines are spread over shards, so that a micro-batch makes a call for each shard and not for
+    each machine; the state of a shard holds its machines' windows of the longest look-back, which are
     dropped when none of them can be reached any more.
     """
     timed = with_event_time(log, ts, delay)
-    rows = timed.select(EVENT_TIME, *by, _right_edge(step).alias("edge"), *[F.coalesce(c.cast("bigint"), F.lit(0)).alias(n) for n, c in amounts.items()])
+    # the ids as one text: whole numbers beside missing ones stay what they are
+    machine = F.to_json(F.struct(*by))
+    shard = F.pmod(F.xxhash64(machine), F.lit(shards)).cast("bigint").alias("shard")
+    rows = timed.select(EVENT_TIME, shard, machine.alias("machine"), _right_edge(step).alias("edge"), *[F.coalesce(c.cast("bigint"), F.lit(0)).alias(n) for n, c in amounts.items()])
     trailing = trailing or {}
     sums = [f"{a}_{m}m" for a, w in trailing.items() for m in w]
-    out = T.StructType([*[rows.schema[b] for b in by], *[T.StructField(n, T.LongType()) for n in ("edge", *amounts, *sums)]])
-    return _stateful(rows, by, PaneSums(list(amounts), trailing), out)
+    longs = [T.StructField(n, T.LongType()) for n in ("edge", *amounts, *sums)]
+    found = _stateful(rows, ["shard"], PaneSums(list(amounts), trailing), T.StructType([rows.schema["shard"], T.StructField("machine", T.StringType()), *longs]))
+    ids = F.from_json("machine", T.StructType([timed.schema[b] for b in by]))
+    return found.select(ids.alias("_ids"), *[f.name for f in longs]).select("_ids.*", *[f.name for f in longs])
 
 
 class Cooldown(_Timed):
