@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlog.functions import timegrid
 from fleetlog.registered.core import ORIGIN, Tables, query
-from fleetlog.session import shared_dir
+from fleetlog.session import shared_dir, stored
 from fleetlog.sources import logs
 from fleetlog.streaming import jobs
 
@@ -74,6 +74,7 @@ def minute_replay_source(x: Tables):
     """Three logs of different columns, replayed as one stream and given out minute by minute."""
     base = x.ev().join(x.table("events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts")), "id")
     common = ["id", "sn", "t", "ts"]
+    base = stored(base, "replay")  # read for each week and log
     parts = {
         "address": (F.col("cat").isin("click", "view"), [F.col("k").alias("row"), F.floor("v").cast("int").alias("col")]),
         "mce": (F.col("cat") == "error", [F.concat(F.lit("m"), "k").alias("mca_id"), (F.col("k") % 4).alias("transaction")]),
