@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlog.operators import scan
 
@@ -39,6 +43,9 @@ def bin_stats(
     ``weight`` tells how many log rows a row stands for (per-second tables); it matters to
     mean and median. Medians of raw rows come from ranks, so a crowded window needs no list.
     """
+    asked = {name for names in stats.values() for name in names}
+    if weight and "median" in asked <= {"median", "max"} and all(isinstance(df.schema[c].dataType, (T.LongType, T.DoubleType)) for c in stats):
+        return _medians_and_maxima(df, stats, key, weight)
     aggregates, medians = [], []
     for column, names in stats.items():
         for name in names:
@@ -63,6 +70,85 @@ def bin_stats(
     return out
 
 
+def _medians_and_maxima(df: DataFrame, stats: Mapping[str, Sequence[str]], key: Sequence[str], weight: str) -> DataFrame:
+    """Weighted medians and maxima of whole numbers and fractions per window, from rows sorted by window.
+
+    A per-second table has at most as many rows in a window as the window has seconds; a task holds one batch and the window it ends in.
+    """
+    rows = df.select(*key, F.coalesce(F.col(weight), F.lit(0)).cast("bigint").alias("_n"), *stats)
+    kinds = {f"{c}_{n}": T.DoubleType() if n == "median" else df.schema[c].dataType for c, names in stats.items() for n in names}
+    out = T.StructType([*[df.schema[k] for k in key], *[T.StructField(n, kind) for n, kind in kinds.items()]])
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_by_window(list(key), {c: list(n) for c, n in stats.items()}), out)
+
+
+#: Rows put together before the windows in them are worked out.
+WINDOW_ROWS = 100_000
+
+
+def _by_window(key: Sequence[str], stats: Mapping[str, Sequence[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def begins_of(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for name in key:
+            codes = table.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new)
+
+    def found(table: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, table.num_rows)))
+        weights = table.column("_n").to_numpy()
+        columns = [c.combine_chunks() for c in table.select(list(key)).take(pa.array(begins)).columns]
+        for column, names in stats.items():
+            cells = table.column(column)
+            values, valid = pc.fill_null(cells, 0).to_numpy(), pc.is_valid(cells).to_numpy()
+            for name in names:
+                if name == "max":
+                    least = -np.inf if values.dtype.kind == "f" else np.iinfo(np.int64).min
+                    highest = np.maximum.reduceat(np.where(valid, values, least), begins)
+                    columns.append(pa.array(highest, mask=~np.logical_or.reduceat(valid, begins)))
+                else:
+                    counted = valid & (weights > 0)
+                    columns.append(_weighted_medians(values[counted].astype(np.float64), group[counted], weights[counted], len(begins)))
+        return pa.RecordBatch.from_arrays(columns, names=[*key, *[f"{c}_{n}" for c, names in stats.items() for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, due = [], 0, WINDOW_ROWS
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < due:
+                continue
+            table = pa.Table.from_batches(held)
+            begins = begins_of(table)
+            # the last window may go on
+            over = int(begins[-1])
+            if over:
+                yield found(table.slice(0, over), begins[:-1])
+            rest = table.slice(over)
+            held, size = rest.to_batches(), rest.num_rows
+            due = max(WINDOW_ROWS, 2 * size)
+        if size:
+            table = pa.Table.from_batches(held)
+            yield found(table, begins_of(table))
+
+    return run
+
+
+def _weighted_medians(values: np.ndarray, group: np.ndarray, weights: np.ndarray, groups: int) -> pa.Array:
+    """The middle value of each group, or the middle of the two, each value standing for its weight of rows."""
+    total = np.zeros(groups, np.int64)
+    np.add.at(total, group, weights)
+    order = np.lexsort((values, group))
+    upto, ordered = np.cumsum(weights[order]), values[order]
+    some = np.flatnonzero(total)
+    before = (np.cumsum(total) - total)[some]
+    low = ordered[np.searchsorted(upto, before + (total[some] - 1) // 2, side="right")]
+    high = ordered[np.searchsorted(upto, before + total[some] // 2, side="right")]
+    medians = np.zeros(groups)
+    medians[some] = np.where(low == high, low, 0.5 * low + 0.5 * high)
+    return pa.array(medians, pa.float64(), mask=total == 0)
+
+
 def bin_category_counts(
     log: DataFrame, category: str, values: Sequence, key: Sequence[str] = KEY
 ) -> DataFrame:

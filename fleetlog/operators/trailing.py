@@ -11,9 +11,10 @@ Two strategies give the same numbers:
   there after the window function. One shuffle by (machine, chunk); the largest task is a chunk.
 * ``range``: Spark's RANGE frame over the whole machine, without copies; good for an even fleet.
 
-No frame slides: every number comes from running frames, so a row costs the same however full its
+No frame slides: every number comes from running sums, so a row costs the same however full its
 window is. Whole and decimal amounts are differences of two running sums of the chunk, which are
-exact. Fractional amounts take a window apart instead (``at_front``): time is cut into blocks as long
+exact. Whole amounts, distinct values and variances are worked out on the sorted chunk, a batch at a time
+(``_over_windows``). Fractional amounts take a window apart instead (``at_front``): time is cut into blocks as long
 as the window, so a window is the end of one block and the beginning of the next, each a running aggregate
 of its own block. Variances put a window together from parts inside it (``trailing_variance``). Nothing that has left
 a window, not even a NaN, stays behind, and nothing cancels out.
@@ -81,6 +82,8 @@ def trailing_sums(
     # the sum at the oldest second looks back one more window
     reach = max(windows) * MINUTE * (2 if change else 1)
     spread, part = chunked(seconds, by, time, reach, strategy, chunk_seconds)
+    if all(isinstance(seconds.schema[a].dataType, T.IntegralType) for a in amounts):
+        return _whole_sums(spread, part, by, time, list(amounts), windows, reach, change, strategy)
     order = Window.partitionBy(*part).orderBy(time)
     exact = {a: isinstance(seconds.schema[a].dataType, (T.IntegralType, T.DecimalType)) for a in amounts}
     whole = [(a, w, n) for a, w, n in outs if exact[a]]
@@ -96,6 +99,56 @@ def trailing_sums(
     return at_home(summed).select(*by, time, *[n for _, _, n in outs], *(changes if change else []))
 
 
+def _whole_sums(
+    spread: DataFrame,
+    part: Sequence[str],
+    by: Sequence[str],
+    time: str,
+    amounts: Sequence[str],
+    windows: Sequence[int],
+    reach: int,
+    change: bool,
+    strategy: str,
+) -> DataFrame:
+    """Sums of whole amounts: differences of running sums, for all rows and windows of a batch at a time."""
+    named = [f"{n}{c}" for c in (["", "_change"] if change else [""]) for _, _, n in _names(amounts, windows)]
+    first = [F.col("_first").cast("bigint").alias("_first")] if change else []
+    cells = _cells(spread, part, by, time, [time], strategy, [*[F.col(a).cast("bigint").alias(f"_a_{a}") for a in amounts], *first])
+
+    def found(table: pa.Table, clock: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        sums, changes = [], []
+        begins = {w: np.searchsorted(clock, clock - w * MINUTE) for w in windows}
+        if change:
+            since = {w: pc.fill_null(pc.less(table.column("_first"), pc.subtract(table.column("_t"), w * MINUTE)), False).to_numpy()[at] for w in windows}
+        for a in amounts:
+            cells = table.column(f"_a_{a}")
+            upto = _upto(pc.fill_null(cells, 0).to_numpy())
+            known = _upto(pc.is_valid(cells).to_numpy()) if cells.null_count else None
+
+            def window(rows: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+                """Sums of the windows that end at the rows, and whether they are missing."""
+                begin = begins[w][rows]
+                none = known[rows + 1] == known[begin] if known is not None else np.zeros(len(rows), bool)
+                return upto[rows + 1] - upto[begin], none
+
+            for w in windows:
+                now, none = window(at, w)
+                sums.append(pa.array(now, pa.int64(), mask=none))
+                if change:
+                    then, absent = window(begins[w][at], w)
+                    changes.append(pa.array(np.where(since[w], now - then, now), pa.int64(), mask=none | (since[w] & absent)))
+        return [*sums, *changes]
+
+    kinds = [T.StructField(n, T.LongType()) for n in named]
+    out = T.StructType([*[cells.schema[c] for c in (*by, time)], *kinds])
+    return cells.mapInArrow(_over_windows([*by, "_chunk"], [*by, time], reach, named, found), out)
+
+
+def _upto(values: np.ndarray) -> np.ndarray:
+    """Sums of the values before each place, and of all."""
+    return np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+
+
 def at_front(value: str | Column, time: str, seconds: int, order, rows_order=None) -> Column:
     """The value at the oldest row still in the window: the one behind the last row that has left.
 
@@ -177,48 +230,101 @@ def trailing_count(log: DataFrame, windows: Sequence[int], weight: Column | None
 
 def trailing_distinct(
     log: DataFrame,
-    windows: Sequence[int],
-    value: Column | str,
+    windows: Sequence[int] | Mapping[str, Sequence[int]],
+    value: Column | str | Mapping[str, Sequence[str]],
     name: str = "distinct",
     by: Sequence[str] = ("sn",),
     time: str = "t",
     strategy: str = "halo",
     chunk_seconds: int = scan.SECOND_GRAIN_CHUNK,
 ) -> DataFrame:
-    """Distinct non-null values (a struct for composite keys) in the past W minutes.
+    """Distinct non-null values (a struct for composite keys) in the past W minutes: ``<name>_<W>m``.
 
-    A value counts from the first second of a run of sightings at most W apart until W minutes
+    Several values are counted in one pass: ``{name: its columns}``, a value being null if none of its columns is known;
+    ``windows`` may then tell those of each name. A value counts from the first second of a run of sightings at most W apart until W minutes
     after the last one: starts so far minus stops that are more than W minutes ago.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    seen = log.select(*by, time, value.alias("_value")).distinct()
-    spread, part = chunked(seen, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
-    along = Window.partitionBy(*part, "_value").orderBy(time)
-    order = Window.partitionBy(*part).orderBy(time)
-    near = spread.select("*", F.lag(time).over(along).alias("_prev"), F.lead(time).over(along).alias("_next"))
-    t, known = F.col(time), F.col("_value").isNotNull()
-    flags, counts = [], []
-    for w in windows:
-        starts = known & (F.col("_prev").isNull() | (t - F.col("_prev") > w * MINUTE))
-        stops = known & (F.col("_next").isNull() | (F.col("_next") - t > w * MINUTE))
-        flags += [F.when(starts, 1).otherwise(0).alias(f"_on_{w}"), F.when(stops, 1).otherwise(0).alias(f"_off_{w}")]
-        gone = F.sum(f"_off_{w}").over(order.rangeBetween(Window.unboundedPreceding, -w * MINUTE - 1))
-        came = F.sum(f"_on_{w}").over(order.rangeBetween(Window.unboundedPreceding, 0))
-        counts.append((came - F.coalesce(gone, F.lit(0))).alias(f"{name}_{w}m"))
-    flagged = near.select(*by, time, "_home", "_chunk", *flags)
-    return _one_a_second(flagged.select("*", *counts, F.lag(time).over(order).alias("_before")), by, time, [f"{name}_{w}m" for w in windows])
-
-
-def _one_a_second(rows: DataFrame, by: Sequence[str], time: str, outs: Sequence[str]) -> DataFrame:
-    """Home rows, the first of those of one second (``_before``: the second of the row before)."""
-    first = F.col("_before").isNull() | (F.col("_before") != F.col(time))
-    return at_home(rows).where(first).select(*by, time, *outs)
+    if isinstance(value, Mapping):
+        parts = list(dict.fromkeys(c for columns in value.values() for c in columns))
+        seen = log.select(*by, time, *[F.col(c).alias(f"_p_{c}") for c in parts]).distinct()
+        leaves = {c: _leaves(seen.schema[f"_p_{c}"].dataType, F.col(f"_p_{c}"), f"_p_{c}") for c in parts}
+        keys = {n: [k for c in columns for k in leaves[c]] for n, columns in value.items()}
+    else:
+        seen = log.select(*by, time, (F.col(value) if isinstance(value, str) else value).alias("_value")).distinct()
+        leaves = {"": _leaves(seen.schema["_value"].dataType, F.col("_value"), "_value")}
+        keys = {name: list(leaves[""])}
+    windows = windows if isinstance(windows, Mapping) else dict.fromkeys(keys, list(windows))
+    columns = {k: c for of in leaves.values() for k, c in of.items()}
+    named = [f"{n}_{w}m" for n in keys for w in windows[n]]
+    # a struct of unknown fields is a value, columns that are all unknown are none
+    single = not isinstance(value, Mapping)
+    flag = [F.col("_value").isNotNull().alias("_known")] if single else []
+    reach = max(max(w) for w in windows.values()) * MINUTE
+    spread, part = chunked(seen, by, time, reach, strategy, chunk_seconds)
+    cells = _cells(spread, part, by, time, [time], strategy, [*[c.alias(k) for k, c in columns.items()], *flag])
+    leaf_names, all_windows = list(columns), sorted({w for of in windows.values() for w in of})
+
+    def found(table: pa.Table, clock: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        begins = {w: np.searchsorted(clock, clock[at] - w * MINUTE) for w in all_windows}
+        codes = {k: _codes(table.column(k)) for k in leaf_names}
+        counts = []
+        for n, of in keys.items():
+            known = table.column("_known").to_numpy() if single else reduce(np.logical_or, [pc.is_valid(table.column(k)).to_numpy() for k in of])
+            before, after = _gaps(_joint([codes[k] for k in of], len(known)), clock)
+            for w in windows[n]:
+                came = np.cumsum(known & (before > w * MINUTE), dtype=np.int64)
+                gone = _upto(known & (after > w * MINUTE))
+                counts.append(pa.array(came[at] - gone[begins[w]]))
+        return counts
+
+    out = T.StructType([*[cells.schema[c] for c in (*by, time)], *[T.StructField(n, T.LongType()) for n in named]])
+    return cells.mapInArrow(_over_windows([*by, "_chunk"], [*by, time], reach, named, found), out)
+
+
+def _leaves(kind: T.DataType, column: Column, name: str) -> dict[str, Column]:
+    """A value as plain columns that are equal where it is."""
+    if isinstance(kind, T.StructType):
+        return {k: c for i, f in enumerate(kind.fields) for k, c in _leaves(f.dataType, column.getField(f.name), f"{name}_{i}").items()}
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return {name: column + F.lit(0.0)}  # one zero
+    if isinstance(kind, (T.ArrayType, T.MapType, T.VariantType)):
+        return {name: F.to_json(F.struct(column))}
+    return {name: column}
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, int]:
+    """Numbers of equal values, missing ones being equal, and how many there are."""
+    if pa.types.is_null(column.type):
+        return np.zeros(len(column), np.int64), 1
+    found = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(found.dictionary)
+
+
+def _joint(codes: Sequence[tuple[np.ndarray, int]], size: int) -> np.ndarray:
+    """Numbers of equal rows of several columns, as narrow as they can be."""
+    joint, total = np.zeros(size, np.int64), 1
+    for code, many in codes:
+        if total * many >= 2**62:
+            kinds, joint = np.unique(joint, return_inverse=True)
+            total = len(kinds)
+        joint, total = joint * many + code, total * many
+    return joint.astype(np.uint16) if total <= 2**16 else joint
+
+
+def _gaps(codes: np.ndarray, clock: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far the rows of the same number before and after are; as far as can be without one."""
+    order = np.argsort(codes, kind="stable")
+    sorted_, along = codes[order], clock[order]
+    apart = np.where(sorted_[1:] == sorted_[:-1], along[1:] - along[:-1], np.iinfo(np.int64).max)
+    before, after = np.full((2, len(codes)), np.iinfo(np.int64).max)
+    before[order[1:]], after[order[:-1]] = apart, apart
+    return before, after
 
 
 def trailing_variance(
     log: DataFrame,
     windows: Sequence[int],
-    value: str,
+    value: str | Sequence[str],
     by: Sequence[str] = ("sn", "memory", "rankid", "bankid"),
     time: str = "t",
     weight: Column | None = None,
@@ -227,40 +333,68 @@ def trailing_variance(
 ) -> DataFrame:
     """Population variance of the values in the past W minutes: ``var_<W>m``, null without values.
 
+    Several values are read in one pass: ``<value>_var_<W>m``.
     ``weight`` tells how many log rows a row stands for, 1 if it is missing or less. Equal values of a second
     are added up first. A chunk is sorted once and read as a stream of batches, of which a task keeps twice its longest
     window; the moments of a window are put together
     from those of halves, quarters, ... of the batch that lie inside it, for all rows and windows of a batch at a time. Parts
     are merged by their means, so nothing cancels out, and nothing outside a window plays a part in it.
     """
+    values = {value: "var"} if isinstance(value, str) else {v: f"{v}_var" for v in value}
+    xs = [f"_x{i}" for i in range(len(values))]
     heavy = F.lit(1) if weight is None else F.greatest(F.coalesce(weight, F.lit(0)), F.lit(1))
-    rows = log.select(*by, time, F.col(value).cast("double").alias("_x"), heavy.cast("double").alias("_w"))
-    rows = rows.groupBy(*by, time, "_x").agg(F.sum("_w").alias("_w"))
-    rows = rows.withColumn("_w", F.when(F.col("_x").isNotNull(), F.col("_w")).otherwise(0.0))
-    spread, part = chunked(rows, by, time, max(windows) * MINUTE, strategy, chunk_seconds)
+    rows = log.select(*by, time, *[F.col(v).cast("double").alias(x) for v, x in zip(values, xs, strict=True)], heavy.cast("double").alias("_w"))
+    rows = rows.groupBy(*by, time, *xs).agg(F.sum("_w").alias("_w"))
+    reach = max(windows) * MINUTE
+    spread, part = chunked(rows, by, time, reach, strategy, chunk_seconds)
+    cells = _cells(spread, part, by, time, [time, *xs], strategy, [*xs, "_w"])
+    named = [f"{n}_{w}m" for n in values.values() for w in windows]
+
+    def found(table: pa.Table, clock: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        weights, variances = table.column("_w").to_numpy(), []
+        begins = {w: np.searchsorted(clock, clock[at] - w * MINUTE) for w in windows}
+        for name in xs:
+            cells = table.column(name)
+            x, w = pc.fill_null(cells, 0.0).to_numpy(), np.where(pc.is_valid(cells).to_numpy(), weights, 0.0)
+            with np.errstate(invalid="ignore"):
+                tree = _moments(w, x, x * 0.0)  # what is no number has no deviation either
+            for begin in begins.values():
+                count, m2 = _between(tree, begin, at + 1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    variances.append(pa.array(m2 / count, pa.float64(), mask=count == 0))
+        return variances
+
+    out = T.StructType([*[cells.schema[c] for c in (*by, time)], *[T.StructField(n, T.DoubleType()) for n in named]])
+    return cells.mapInArrow(_over_windows([*by, "_chunk"], [*by, time], reach, named, found), out)
+
+
+def _cells(
+    spread: DataFrame, part: Sequence[str], by: Sequence[str], time: str, order: Sequence[str], strategy: str, columns: Sequence[Column | str]
+) -> DataFrame:
+    """The rows of a chunk in order, with the columns a scan over windows needs."""
     if strategy == "range":
         spread = spread.repartition(*part) if part else spread.coalesce(1)
     asked = (F.col("_home") == F.col("_chunk")).alias("_asked")
-    cells = spread.sortWithinPartitions(*by, "_chunk", time, "_x").select(
-        *by, time, "_chunk", F.col(time).cast("bigint").alias("_t"), F.coalesce("_x", F.lit(0.0)).alias("_x"), "_w", asked
+    return spread.sortWithinPartitions(*by, "_chunk", *order).select(
+        *by, time, "_chunk", F.col(time).cast("bigint").alias("_t"), *columns, asked
     )
-    named = {f"var_{w}m": w * MINUTE for w in windows}
-    out = T.StructType([*[cells.schema[c] for c in (*by, time)], *[T.StructField(n, T.DoubleType()) for n in named]])
-    return cells.mapInArrow(_window_variances([*by, "_chunk"], [*by, time], named), out)
 
 
 #: Rows put together before their windows are worked out.
 VARIANCE_ROWS = 100_000
 
 
-def _window_variances(
-    group: Sequence[str], kept: Sequence[str], windows: Mapping[str, int]
+def _over_windows(
+    group: Sequence[str],
+    kept: Sequence[str],
+    longest: int,
+    names: Sequence[str],
+    work: Callable[[pa.Table, np.ndarray, np.ndarray], list[pa.Array]],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted rows to one row a group and second with the variances of its windows.
+    """Sorted rows to one row a group and second with what ``work`` makes of the rows, their clock and the places of the seconds' last rows.
 
-    A group may span batches: seconds that are over are given out, and rows of the longest window are kept for those to come.
+    A group may span batches: seconds that are over are given out, and rows of the longest reach are kept for those to come.
     """
-    longest = max(windows.values())
 
     def clock_of(table: pa.Table) -> np.ndarray:
         """Groups one after the other on one clock, further apart than any window."""
@@ -274,16 +408,8 @@ def _window_variances(
         """The seconds that end in rows from ``begin`` to before ``end``."""
         last = np.append(clock[1:] != clock[:-1], True)
         at = begin + np.flatnonzero((last & table.column("_asked").to_numpy())[begin:end])
-        x, w = table.column("_x").to_numpy(), table.column("_w").to_numpy()
-        with np.errstate(invalid="ignore"):
-            tree = _moments(w, x, x * 0.0)  # what is no number has no deviation either
-        variances = []
-        for seconds in windows.values():
-            count, m2 = _between(tree, np.searchsorted(clock, clock[at] - seconds), at + 1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                variances.append(pa.array(m2 / count, pa.float64(), mask=count == 0))
         columns = [c.combine_chunks() for c in table.select(list(kept)).take(pa.array(at)).columns]
-        return pa.RecordBatch.from_arrays([*columns, *variances], names=[*kept, *windows])
+        return pa.RecordBatch.from_arrays([*columns, *work(table, clock, at)], names=[*kept, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, done, due = [], 0, 0, VARIANCE_ROWS

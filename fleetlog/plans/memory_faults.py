@@ -103,24 +103,20 @@ def address_families(
     """Volume, active hours, recency, distinct parts and spread of memory-error addresses."""
     volume = _counts(log, ADDRESS_COUNT, "median", origin, weight)
     shifted = [c for c in volume.columns if c not in KEY]
-    hour = timegrid.elapsed_hours(F.col("t"), origin)
-    hours = trailing.trailing_distinct(log, ADDRESS_HOURS, hour, "hours")
+    # all parts of an address, and its hours, are counted in one pass over the log
+    parts = {"hours": ["_hour"], **IDENTITIES}
+    windows = {name: ADDRESS_HOURS if name == "hours" else ADDRESS_DISTINCT for name in parts}
+    timed = log.withColumn("_hour", timegrid.elapsed_hours(F.col("t"), origin))
+    found = trailing.trailing_distinct(timed, windows, parts)
     recency = bins.time_since_nth_last(log, [5, 50])
-    families = {
+    spread = trailing.trailing_variance(log, ADDRESS_SPREAD, ["row", "col"], weight=weight)
+    spreads = [f"{part}_var_{w}m" for part in ("row", "col") for w in ADDRESS_SPREAD]
+    return {
         "volume": bins.shift_bins(volume, shifted, [10, 50, 150]),
-        "hours": _highest(hours, [f"hours_{w}m" for w in ADDRESS_HOURS], origin),
+        "parts": _highest(found, [f"{name}_{w}m" for name, some in windows.items() for w in some], origin),
         "recency": bins.shift_bins(recency, ["since_5_mean", "since_50_mean"], [10, 50]),
+        "spread": _highest(spread.select("sn", "t", *spreads), spreads, origin),
     }
-    for name, parts in IDENTITIES.items():
-        found = trailing.trailing_distinct(log, ADDRESS_DISTINCT, encode.composite_key(*parts), name)
-        families[name] = _highest(found, [f"{name}_{w}m" for w in ADDRESS_DISTINCT], origin)
-    for part in ("row", "col"):
-        spread = trailing.trailing_variance(log, ADDRESS_SPREAD, part, weight=weight)
-        named = {f"{part}_var_{w}m": F.col(f"var_{w}m") for w in ADDRESS_SPREAD}
-        families[f"{part}_spread"] = _highest(
-            spread.select("sn", "t", *[c.alias(n) for n, c in named.items()]), list(named), origin
-        )
-    return families
 
 
 def kernel_families(
