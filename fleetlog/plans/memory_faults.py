@@ -33,6 +33,9 @@ MCE_DISTINCT = [5, 15, 60, 720, 1440, 2880]
 TRANSACTION_DISTINCT = [15, 120, 720, 1440, 2880]
 TRANSACTION_SUM = [30, 720, 1440, 2880]
 
+#: Families whose last step goes along a machine; the others end with an aggregation by the key.
+ALONG_MACHINE = ("volume", "recency", "transactions")
+
 PARTS = ["memory", "rankid", "bankid", "row", "col"]
 IDENTITIES = {
     "memory": ["memory"],
@@ -147,16 +150,15 @@ def mce_families(
     log: DataFrame, origin: int = timegrid.ORIGIN_2019, weight: Column | None = None
 ) -> dict[str, DataFrame]:
     """Volume, distinct identifiers and transactions, and trailing transaction sums over windows."""
-    ids = trailing.trailing_distinct(log, MCE_DISTINCT, "mca_id", "mca")
-    kinds = trailing.trailing_distinct(log, TRANSACTION_DISTINCT, "transaction", "kinds")
+    windows = {"mca": MCE_DISTINCT, "kinds": TRANSACTION_DISTINCT}
+    found = trailing.trailing_distinct(log, windows, {"mca": ["mca_id"], "kinds": ["transaction"]})
     # An unknown transaction counts as transaction 0, as in the one-hot encoding.
     coded = log.withColumn("_tx", F.when(F.col("transaction").isin(1, 2, 3), F.col("transaction")).otherwise(0))
     one = F.lit(1) if weight is None else weight
     amounts = {f"tx{i}": F.when(F.col("_tx") == i, one).otherwise(0) for i in range(4)}
     return {
         "mce_volume": _counts(log, MCE_COUNT, "mean", origin, weight),
-        "mca": _highest(ids, [f"mca_{w}m" for w in MCE_DISTINCT], origin),
-        "kinds": _highest(kinds, [f"kinds_{w}m" for w in TRANSACTION_DISTINCT], origin),
+        "identifiers": _highest(found, [f"{name}_{w}m" for name, some in windows.items() for w in some], origin),
         "transactions": trailing.trailing_bin_sums(coded, TRANSACTION_SUM, amounts, change=True),
     }
 
@@ -190,9 +192,9 @@ def memory_table(
     families |= {
         k: v for k, v in kernel_families(kernel, flags, origin, weight=n).items() if k != "kernel_volume"
     }
-    # a shuffle by the key for each family when it is stored, none when they are joined
-    families = {name: bucketed(family, name, KEY) for name, family in families.items()}
-    table = join_families(bucketed(bins.bin_last(address), "windows", KEY), families, fill=0)
+    # at most a shuffle by the key for each family when it is stored, none when they are joined
+    families = {name: bucketed(family, name, KEY, placed=name not in ALONG_MACHINE) for name, family in families.items()}
+    table = join_families(bucketed(bins.bin_last(address), "windows", KEY, placed=True), families, fill=0)
     fields = timegrid.calendar_fields(F.col("last_t"))
     table = table.withColumns(
         {"month": fields["month"], "global_day": timegrid.elapsed_days(F.col("last_t"), origin)}

@@ -92,18 +92,19 @@ def load_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bucketed(df: DataFrame, purpose: str, key: Sequence[str], buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, purpose: str, key: Sequence[str], buckets: int | None = None, placed: bool = False) -> DataFrame:
     """Store an intermediate table in buckets of its key, and read it back.
 
     Joins and aggregations on the whole key of tables with as many buckets (by default the session's shuffle
-    partitions) need no exchange. A bucket is one file of one task. The table's name is given back at
+    partitions) need no exchange. A bucket is one file of one task. A table that an aggregation by the key has just
+    ``placed`` is written where it is. The table's name is given back at
     once: its files lie in the shared folder like those of ``stored``.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_dir(spark, purpose)
     name = "stored_" + path.rsplit("-", 1)[1]
-    spread = df.repartition(buckets, *key)
+    spread = df if placed else df.repartition(buckets, *key)
     spread.write.option("path", path).bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
