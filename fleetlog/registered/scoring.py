@@ -84,8 +84,9 @@ def _model_rows(x: Tables):
 FEATURES = ["v", "kd", "hour", "is_error"]
 
 
-#: Drawn as in production; fewer trees, because boosting takes its trees one after the other.
-TREES = 10
+#: As in production: the most trees a recall model may grow, of which its validation rows stop it, and those of a
+#: regressor, which has no validation rows.
+TREES, TIME_TREES = 5000, 10
 
 
 @query()
@@ -96,8 +97,8 @@ def recall_ensemble(x: Tables):
 
 
 def _judged(x: Tables):
-    settings = models.draw_settings(3, TREES)
-    return models.alarm_chain(_model_rows(x), FEATURES, "y", "days_to_failure", F.col("day") < 20, F.col("day") >= 25, settings, settings)
+    recall, time = models.draw_settings(3, TREES), models.draw_settings(3, TIME_TREES)
+    return models.alarm_chain(_model_rows(x), FEATURES, "y", "days_to_failure", F.col("day") < 20, F.col("day") >= 25, recall, time)
 
 
 @query()

@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from fleetlog.operators import alarms, evaluate, models, splits
+from fleetlog.registered import scoring
 from fleetlog.streaming import jobs
 
 
@@ -152,3 +153,49 @@ def test_training_parts_do_not_follow_the_input(spark):
     assert models._in_few_parts(rows).rdd.getNumPartitions() == few
     assert models._in_few_parts(rows).count() == 2_000
     assert models._in_few_parts(spark.range(0, 2_000, 1, 2)).rdd.getNumPartitions() == 2
+
+
+def rare(spark, n=6_000):
+    """One row in fifty is told by ``a``; one in 139 fails without a sign."""
+    data = [(i, 1.0 if i % 50 == 0 else (i * 37 % 11) / 22, i * 31 % 7 / 7, int(i % 50 == 0 or i % 139 == 7)) for i in range(n)]
+    return spark.createDataFrame(data, "id int, a double, b double, y int")
+
+
+def test_recall_drops_rows_far_from_failures(spark):
+    """With the trees and the threshold of the registered query: ten trees left every row above it."""
+    settings = models.draw_settings(1, scoring.TREES)
+    found = models.recall_ensemble(rare(spark), ["a", "b"], "y", F.col("id") < 4_000, F.col("id") >= 4_000, settings)
+    assert found.count() == 6_000
+    kept = {r.id for r in models.recalled(found).collect()}
+    assert {i for i in range(6_000) if i % 50 == 0} <= kept and len(kept) < 1_500
+
+
+def test_one_class_or_no_row_to_learn_from(spark):
+    none = rare(spark, 100).withColumn("y", F.lit(0)).withColumn("days", F.lit(None).cast("double"))
+    found = models.recall_ensemble(none, ["a", "b"], "y", F.col("id") < 50, F.col("id") >= 50)
+    assert {r.recall_proba for r in found.collect()} == {0.0} and models.recalled(found).count() == 0
+    judged = models.fault_time_regressor(none, ["a", "b"], "days", F.lit(False)).collect()
+    assert len(judged) == 100 and {(r.pred_days, r.score, r.pred_label) for r in judged} == {(0.25, 0.0, 0)}
+
+
+def test_rows_that_share_their_classes_are_scored_once_and_all_returned(spark):
+    once = easy(spark).withColumn("b", F.when(F.col("id") % 10 != 0, F.col("b"))).withColumn("_y", F.col("y").cast("double"))
+    copies = once.crossJoin(spark.range(20).withColumnRenamed("id", "copy"))
+    assert not models._Cells(once, ["a", "b"], F.lit(True), None).shared
+    cells = models._Cells(copies, ["a", "b"], F.lit(True), None)
+    fitted = cells.boosted(models.GBTRegressor, [models.Boosting(2, 0.3, 5, 1.0, 1)])
+    assert cells.shared
+    joined = rows(cells.scored(copies, fitted, F.col("prediction")), "id", "copy", "_m0")
+    cells.shared = False
+    assert joined == rows(cells.scored(copies, fitted, F.col("prediction")), "id", "copy", "_m0") and len(joined) == 4_800
+
+
+def test_classes_of_features(spark):
+    values = [(1.0 if i else 0.0, float(i), None if i == 5 else float("nan") if i == 6 else 3.0) for i in range(1_000)]
+    df = spark.createDataFrame(values, "flag double, many double, gap double")
+    cuts = models._cuts(df, ["flag", "many", "gap"])
+    assert cuts[0] == [1.0] and len(cuts[1]) == models.BINS - 2 and cuts[2] == [3.0]
+    classed = models._classed(df, ["flag", "many", "gap"], cuts)
+    assert classed.where("_c0 = 0").count() == 1 and classed.where("_c2 = 2").count() == 2
+    assert not any(classed.schema[f"_c{i}"].metadata for i in range(3))
+    assert classed.groupBy("_c1").count().agg(F.max("count")).first()[0] <= 40
