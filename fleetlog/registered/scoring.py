@@ -86,7 +86,7 @@ FEATURES = ["v", "kd", "hour", "is_error"]
 
 #: As in production: the most trees a recall model may grow, of which its validation rows stop it, and those of a
 #: regressor, which has no validation rows.
-TREES, TIME_TREES = 5000, 10
+TREES, TIME_TREES = 5000, 100
 
 
 @query()
